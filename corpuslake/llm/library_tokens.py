@@ -9,18 +9,18 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import unicodedata
+from array import array
+from collections.abc import Iterable, Iterator
 
 from .bpe import RUNS
-from .common import Memo
 
 #: Vocabularies that drop white space: any ASCII white space is a border.
 WORDS = re.compile(r"[^ \t\n\r]+")
 
 
 class LibraryTokens:
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -28,17 +28,53 @@ class LibraryTokens:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.parts = RUNS if isinstance(self.library.pre_tokenizer, pre_tokenizers.ByteLevel) else WORDS
-        self.memo = Memo(self._ids, cache)
+        byte_level = isinstance(self.library.pre_tokenizer, pre_tokenizers.ByteLevel)
+        self.parts = RUNS if byte_level else WORDS
+        self.lower = not byte_level and "Lowercase" in repr(self.library.normalizer)
+        self.memo, self.old, self.limit = {}, {}, cache
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Ids as unsigned 32-bit integers (machine order, little-endian where this runs)."""
+    def _split(self, text: str) -> list[str] | None:
+        """Parts of a text; None if it holds a special token's string."""
         if any(s in text for s in self.special):
-            return self._ids(text)
-        return b"".join(map(self.memo.__getitem__, self.parts.findall(text)))
+            return None
+        # Lower case is the same for a word in any place, but for these two letters.
+        if self.lower and (text.isascii() or "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text)):
+            text = text.lower()
+        return self.parts.findall(text)
+
+    def _learn(self, words: Iterable[str]) -> None:
+        memo, old, fresh = self.memo, self.old, []
+        for w in words:
+            if w not in memo:
+                if w in old:
+                    memo[w] = old[w]
+                else:
+                    fresh.append(w)
+        for w, found in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False)):
+            memo[w] = array("I", found.ids).tobytes()
+
+    def encode_all(self, texts: Iterable[str], at_once: int = 500_000) -> Iterator[bytes]:
+        """Ids of each text as unsigned 32-bit integers; new words of about ``at_once`` letters go to the library together."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= at_once:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        split = [self._split(t) for t in texts]
+        self._learn(set().union(*filter(None, split)))
+        for text, parts in zip(texts, split):
+            yield self._ids(text) if parts is None else b"".join(map(self.memo.__getitem__, parts))
+        if len(self.memo) > self.limit:
+            self.memo, self.old = {}, self.memo
 
 
 _LOADED: dict[str, LibraryTokens] = {}

@@ -136,8 +136,8 @@ def pack(docs: DataFrame, vocab: str, size: int = 1024, end_id: int = 0, block:
             return made.astype({"id": "Int64"})
 
         for batch in batches:
-            for doc, text in zip(batch["id"], batch["text"]):
-                ids = np.frombuffer(tokens.encode(text) + end_id.to_bytes(4, "little"), np.uint32)
+            for doc, coded in zip(batch["id"], tokens.encode_all(batch["text"])):
+                ids = np.frombuffer(coded + end_id.to_bytes(4, "little"), np.uint32)
                 packer.add(None if pd.isna(doc) else int(doc), ids, len(ids))
                 seen += 1
                 if seen % block == 0:

@@ -7,7 +7,7 @@ bits). A table at the file's end holds where each block starts, so a reader can
 
 Layout, little-endian: blocks; then int64 block starts, int64 document ids (nulls are flagged), uint8
 null flags, int64 document lengths; then the footer (uint64 documents, ids, blocks, magic).
-Block: uint32 minimum, uint8 width, uint16 values, uint16 exceptions, packed bits, uint16 positions,
+Block: uint32 minimum, uint8 width, uint16 values, uint16 exceptions, packed bits in lanes, uint16 positions,
 uint32 high parts.
 
 Files are written by the tasks into a shared folder under names that hold the task attempt; a
@@ -30,52 +30,69 @@ from .common import shared_dir, text_of, written
 from .library_tokens import library_tokens
 
 BLOCK = 1024
-PERCENTILE = 0.9
+PERCENTILE = 0.98
 MAGIC = 0x31524F4650
 HEAD, FOOT = struct.Struct("<IBHH"), struct.Struct("<QQQQ")
 
 
+LANES = 32  # a block is packed as BLOCK / LANES rows of LANES values, each lane into its own 32-bit words
+
+
 def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
-    """Blocks of ``BLOCK`` ids each; the last may be shorter."""
-    whole = len(ids) // BLOCK * BLOCK
-    groups = [ids[:whole].reshape(-1, BLOCK)] if whole else []
-    if whole < len(ids):
-        groups.append(ids[whole:].reshape(1, -1))
-    out: list[bytes] = []
-    for group in groups:
-        low = group.min(axis=1)
-        rest = group - low[:, None]
-        mark = np.partition(rest, min(rest.shape[1] - 1, int(percentile * rest.shape[1])), axis=1)[:, min(rest.shape[1] - 1, int(percentile * rest.shape[1]))]
-        widths = np.ceil(np.log2(mark.astype(np.float64) + 1)).astype(np.int64)
-        blocks: list = [b""] * len(group)
-        for width in np.unique(widths):
-            own = np.flatnonzero(widths == width)
-            values, width = rest[own], int(width)
-            bits = ((values[:, :, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
-            packed = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")
-            high = values >> np.uint32(width)
-            for row, at in enumerate(own):
-                odd = np.flatnonzero(high[row])
-                blocks[at] = HEAD.pack(int(low[at]), width, group.shape[1], len(odd)) + packed[row].tobytes() + odd.astype("<u2").tobytes() + high[row][odd].astype("<u4").tobytes()
-        out += blocks
-    return out
-
-
-def unpack_block(data: bytes, at: int = 0) -> np.ndarray:
-    low, width, count, odd = HEAD.unpack_from(data, at)
-    at += HEAD.size
-    size = (count * width + 7) // 8
-    if width:
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little", count=count * width).reshape(count, width)
-        wide = np.zeros((count, 32 if width > 16 else 16), np.uint8)
-        wide[:, :width] = bits
-        values = np.packbits(wide, axis=1, bitorder="little").view("<u4" if width > 16 else "<u2").reshape(-1).astype(np.uint32)
-    else:
-        values = np.zeros(count, np.uint32)
-    if odd:
-        where = np.frombuffer(data, "<u2", odd, at + size)
-        values[where] |= np.frombuffer(data, "<u4", odd, at + size + 2 * odd) << np.uint32(width)
-    return values + np.uint32(low)
+    """Blocks of ``BLOCK`` ids each; the last may hold fewer (its packed part is filled up with the minimum)."""
+    n = -(-len(ids) // BLOCK)
+    if not n:
+        return []
+    group = np.concatenate([ids, np.full(n * BLOCK - len(ids), ids[-1], ids.dtype)]).reshape(n, BLOCK)
+    low = group.min(axis=1)
+    rest = group - low[:, None]
+    at = min(BLOCK - 1, int(percentile * BLOCK))
+    mark = np.partition(rest, at, axis=1)[:, at]
+    widths = np.ceil(np.log2(mark.astype(np.float64) + 1)).astype(np.int64)
+    blocks: list = [b""] * n
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == width)
+        values = rest[own]
+        plain = (values & np.uint32((1 << width) - 1)).reshape(len(own), -1, LANES)
+        packed = np.zeros((len(own), width, LANES), np.uint32)
+        for row in range(plain.shape[1] if width else 0):
+            word, shift = divmod(row * width, 32)
+            packed[:, word] |= plain[:, row] << np.uint32(shift)
+            if shift + width > 32:
+                packed[:, word + 1] |= plain[:, row] >> np.uint32(32 - shift)
+        high = values >> np.uint32(width) if width < 32 else np.zeros_like(values)
+        for k, block in enumerate(own):
+            odd = np.flatnonzero(high[k])
+            count = min(BLOCK, len(ids) - int(block) * BLOCK)
+            blocks[block] = HEAD.pack(int(low[block]), width, count, len(odd)) + packed[k].tobytes() + odd.astype("<u2").tobytes() + high[k][odd].astype("<u4").tobytes()
+    return blocks
+
+
+def unpack_blocks(data: bytes, starts: list[int]) -> np.ndarray:
+    """Values of the blocks at ``starts``, one after the other."""
+    heads = [HEAD.unpack_from(data, at) for at in starts]
+    out = np.zeros((len(starts), BLOCK), np.uint32)
+    widths = np.array([h[1] for h in heads])
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == width)
+        size = width * LANES
+        packed = np.stack([np.frombuffer(data, "<u4", size, starts[k] + HEAD.size) for k in own]).reshape(len(own), width, LANES)
+        values = np.zeros((len(own), BLOCK // LANES, LANES), np.uint32)
+        for row in range(values.shape[1] if width else 0):
+            word, shift = divmod(row * width, 32)
+            values[:, row] = packed[:, word] >> np.uint32(shift)
+            if shift + width > 32:
+                values[:, row] |= packed[:, word + 1] << np.uint32(32 - shift)
+        out[own] = values.reshape(len(own), BLOCK) & np.uint32((1 << width) - 1)
+    for k, (low, width, _, odd) in enumerate(heads):
+        if odd:
+            at = starts[k] + HEAD.size + 4 * width * LANES
+            out[k, np.frombuffer(data, "<u2", odd, at)] |= np.frombuffer(data, "<u4", odd, at + 2 * odd) << np.uint32(width)
+        out[k] += np.uint32(low)
+    counts = [h[2] for h in heads]
+    if min(counts) == BLOCK:
+        return out.reshape(-1)
+    return np.concatenate([row[:n] for row, n in zip(out, counts)])
 
 
 class FileWriter:
@@ -136,8 +153,8 @@ class FileReader:
             return np.zeros(0, np.uint32)
         first, last = start // BLOCK, -(-stop // BLOCK)
         data = self.stream.read_at(int(self.starts[last] - self.starts[first]), int(self.starts[first]))
-        parts = [unpack_block(data, int(self.starts[b] - self.starts[first])) for b in range(first, last)]
-        return np.concatenate(parts)[start - first * BLOCK : stop - first * BLOCK]
+        found = unpack_blocks(data, (self.starts[first:last] - self.starts[first]).tolist())
+        return found[start - first * BLOCK : stop - first * BLOCK]
 
 
 def write_tokens(docs: DataFrame, vocab: str, folder: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,8 +175,8 @@ def write_tokens(docs: DataFrame, vocab: str, folder: str, end_id: int = 2, id_c
                 store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                 stream = store.open_output_stream(inner)
                 writer = FileWriter(stream)
-            for doc, text in zip(batch["id"], batch["text"]):
-                writer.add(None if pd.isna(doc) else int(doc), tokens.encode(text) + end)
+            for doc, coded in zip(batch["id"], tokens.encode_all(batch["text"])):
+                writer.add(None if pd.isna(doc) else int(doc), coded + end)
         if writer is not None:
             writer.close()
             stream.close()
