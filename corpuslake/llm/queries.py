@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, token_output
+from . import bpe, packing, quality, token_output, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -32,12 +32,20 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.store_and_read(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_token_output, op7_packing)}
+    return {f.__name__: f for f in (op1_bpe, op3_toxicity, op4_token_output, op7_packing, op8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
