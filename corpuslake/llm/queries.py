@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, token_output, toxicity
+from . import bpe, minhash, packing, quality, token_output, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -40,12 +40,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_toxicity, op4_token_output, op7_packing, op8_quality)}
+    return {f.__name__: f for f in (op1_bpe, op3_toxicity, op4_token_output, op7_packing, op8_quality, op9_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
