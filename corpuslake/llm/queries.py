@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing, quality, token_output, toxicity
+from . import bpe, exact_dedup, minhash, oracles, packing, quality, secrets, token_output, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -44,13 +44,21 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_toxicity, op4_token_output, op7_packing, op8_quality, op9_minhash)}
+    return {f.__name__: f for f in (op1_bpe, op3_toxicity, op4_token_output, op6_exact_dedup, op7_packing, op8_quality, op9_minhash, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_dedup": oracles.OP6, "op9_minhash": oracles.OP9, "op10_secrets": oracles.op10()}
