@@ -17,7 +17,7 @@ WITH RECURSIVE d AS (
   FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS g
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g
   FROM d
 ), u AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
 p AS (
@@ -39,19 +39,19 @@ def _found(kind: str, pattern: str) -> str:
 
 def _spans(kind: str, good: str = "true") -> str:
     no, m, g = secrets.KINDS.index(kind), f"m_{kind}", f"g_{kind}"
-    begin = f"(list_sum(list_transform({g}[1:i], x -> length(x))) + coalesce(list_sum(list_transform({m}[1:i - 1], x -> length(x))), 0))::INT"
+    begin = f"(list_sum(list_transform({g}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({m}[1:i - 1], lambda x: length(x))), 0))::INT"
     return (
-        f"list_filter(list_transform(range(1, len({m}) + 1), i -> {{'a': {begin}, 'k': {no}, 'b': ({begin} + length({m}[i]))::INT, 'ok': {good.replace('MATCH', m + '[i]')}}}), s -> s.ok) AS {kind}"
+        f"list_filter(list_transform(range(1, len({m}) + 1), lambda i: {{'a': {begin}, 'k': {no}, 'b': ({begin} + length({m}[i]))::INT, 'ok': {good.replace('MATCH', m + '[i]')}}}), lambda s: s.ok) AS {kind}"
     )
 
 
 def _near(one: str, others: str) -> str:
-    return f"len(list_filter({others}, o -> (o.a >= {one}.b AND o.a - {one}.b <= {secrets.WITHIN}) OR (o.b <= {one}.a AND {one}.a - o.b <= {secrets.WITHIN}))) > 0"
+    return f"len(list_filter({others}, lambda o: (o.a >= {one}.b AND o.a - {one}.b <= {secrets.WITHIN}) OR (o.b <= {one}.a AND {one}.a - o.b <= {secrets.WITHIN}))) > 0"
 
 
 def _listed(spans: str) -> str:
     names = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
-    return f"coalesce(array_to_string(list_transform(list_sort({spans}), s -> {names}[s.k + 1] || ':' || s.a || ':' || s.b), ','), '')"
+    return f"coalesce(array_to_string(list_transform(list_sort({spans}), lambda s: {names}[s.k + 1] || ':' || s.a || ':' || s.b), ','), '')"
 
 
 def op10() -> str:
@@ -62,11 +62,11 @@ def op10() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 f AS (SELECT doc_id, {', '.join(_found(k, p) for k, p in patterns.items())} FROM d),
 s AS (SELECT doc_id, {', '.join(_spans(k, good.get(k, 'true')) for k in patterns)} FROM f),
-b AS (SELECT *, assign || access || hex AS base, list_filter(opaque, o -> len(list_filter(assign || access || hex, x -> x.a < o.b AND o.a < x.b)) = 0) AS clear FROM s),
+b AS (SELECT *, assign || access || hex AS base, list_filter(opaque, lambda o: len(list_filter(assign || access || hex, lambda x: x.a < o.b AND o.a < x.b)) = 0) AS clear FROM s),
 w AS (SELECT *,
-  list_filter(account, e -> {_near('e', 'assign || hex || clear')}) AS accounts,
-  list_filter(clear, e -> {_near('e', 'access || account')} OR {_near('e', 'endpoint')}) AS opaques,
-  list_filter(endpoint, e -> {_near('e', 'assign || hex || clear')} AND {_near('e', 'access || account')}) AS endpoints
+  list_filter(account, lambda e: {_near('e', 'assign || hex || clear')}) AS accounts,
+  list_filter(clear, lambda e: {_near('e', 'access || account')} OR {_near('e', 'endpoint')}) AS opaques,
+  list_filter(endpoint, lambda e: {_near('e', 'assign || hex || clear')} AND {_near('e', 'access || account')}) AS endpoints
 FROM b)
 SELECT doc_id, len(assign)::BIGINT AS n_assign, len(access)::BIGINT AS n_access, len(hex)::BIGINT AS n_hex,
        sha256({_listed('base')}) AS base_sha256, {_listed('base || accounts || opaques || endpoints')} AS spans

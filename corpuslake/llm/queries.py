@@ -6,9 +6,8 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash, oracles, packing, quality, secrets, token_output, toxicity
+from . import bpe, embedding_dedup, exact_dedup, minhash, oracles, packing, quality, secrets, token_output, toxicity, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -44,6 +43,14 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,7 +64,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_toxicity, op4_token_output, op6_exact_dedup, op7_packing, op8_quality, op9_minhash, op10_secrets)}
+    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_toxicity, op4_token_output, op5_embedding_dedup, op6_exact_dedup, op7_packing, op8_quality, op9_minhash, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
