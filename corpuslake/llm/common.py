@@ -50,6 +50,16 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: Ids are broadcast up to so many (16 MB); beyond, the other side is shuffled.
+SMALL = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id is not among the distinct ``ids`` (a column of the same name)."""
+    ids = cut(ids.select(id_col))
+    return docs.join(F.broadcast(ids) if ids.count() <= SMALL else ids, id_col, "left_anti").select(docs.columns)
+
+
 class Memo(dict):
     """A cache in two generations: what was asked for lately survives, memory stays bounded."""
 

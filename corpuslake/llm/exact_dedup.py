@@ -15,13 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_of, written
+from .common import SMALL, cut, shared_dir, text_of, without, written
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: A single blank needs no replacing, so the pattern passes it by.
 RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
-#: Ids are broadcast up to so many (16 MB); beyond, texts are shuffled.
-SMALL = 1_000_000
 
 
 def normalised(column: str = "text"):
@@ -97,3 +95,19 @@ def _regrouped(found: DataFrame, odd: DataFrame) -> DataFrame:
     stays = F.when(F.col("own_keep").isNull(), F.col("keep_row")).when(F.col("own_keep") == F.col("id"), F.col("row"))
     size = F.coalesce("own_size", F.col("group_size") - F.coalesce("less", F.lit(0)))
     return joined.select("id", "row", "text_sha256", F.coalesce("own_keep", "keep_id").alias("keep_id"), stays.alias("keep_row"), size.alias("group_size"))
+
+
+def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``exact_duplicates`` keeps."""
+    found = written(exact_duplicates(docs, id_col, text_col), "exact")
+    ids = found.groupBy(id_col).agg(F.count_if("kept").alias("stay"), F.count_if(~F.col("kept")).alias("go")).where("go > 0")
+    # Null ids, and ids that stand on rows that go and rows that stay, are told apart by their texts.
+    unclear = cut(ids.where(F.col("stay").cast("boolean") | F.col(id_col).isNull()).select(id_col))
+    rest = without(docs, ids.where(F.col(id_col).isNotNull()), id_col)
+    if unclear.isEmpty():
+        return rest
+    digest = F.sha2(normalised(text_col), 256)
+    some = docs.join(unclear, docs[id_col].eqNullSafe(unclear[id_col]), "left_semi").withColumn("__digest", digest)
+    stay = found.where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    some = some.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi")
+    return rest.where(F.col(id_col).isNotNull() | (F.lit(unclear.where(F.col(id_col).isNull()).isEmpty()))).unionByName(some.dropDuplicates([id_col, "__digest"]).select(docs.columns))

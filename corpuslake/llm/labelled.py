@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +51,17 @@ def scored(docs: DataFrame, model, score: Callable, threshold: float, id_col: st
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     return chosen.mapInPandas(rows, "id long, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def accepted(docs: DataFrame, model, score: Callable, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+    line = math.log(threshold / (1 - threshold))
+
+    def rows(batches):
+        for batch in batches:
+            texts = (t or "" for t in batch.column(at).to_pylist())
+            yield batch.filter(pa.array([z >= line for z in score(shared.value, texts)], pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)

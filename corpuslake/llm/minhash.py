@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, cut, mixed, text_of, written
+from .common import SMALL, WordTable, cut, mixed, text_of, without, written
 from .components import connected_components
 
 WORDS, COORDINATES = 5, 48
@@ -33,8 +33,6 @@ WORDS, COORDINATES = 5, 48
 MATCHES = 26
 #: Shingles in a block of a candidate group.
 BLOCK = 1_500_000
-#: Ids are broadcast up to so many (16 MB); beyond, texts are shuffled.
-SMALL = 1_000_000
 
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,8 +137,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are linked if their sets of 5-word shingles (A-Z lower-cased, ASCII white space) have a Jaccard
     similarity of 0.75 or more; a component holds what is linked directly or through others and is
     named by its smallest id, whose row stays. Null and white-space texts have no shingles and no links.
-    Rows of a null id are linked with nothing, have a null component and stay. Rows of one id count as one
-    document. An empty table gives an empty table; other columns of ``docs`` are not read.
+    Rows of a null id are linked with nothing, have a null component and stay. Rows that share an id are
+    each judged by their own text. An empty table gives an empty table; other columns of ``docs`` are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     sketch = written(texts.mapInPandas(_sketches, "id long, n_shingles long, digest binary, coordinates array<int>"), "sketches")
@@ -179,3 +177,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     rows = sketch.join(named, "digest", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
     return rows.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, but for ids none of whose rows ``near_duplicates`` keeps."""
+    found = near_duplicates(docs, id_col, text_col)
+    return without(docs, found.groupBy(id_col).agg(F.bool_or("kept").alias("stays")).where("not stays"), id_col)
