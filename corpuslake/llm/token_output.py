@@ -214,8 +214,9 @@ def read_tokens(manifest: DataFrame, id_col: str = "doc_id", with_ids: bool = Fa
                         yield pd.DataFrame(out, columns=["id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]).astype({"id": "Int64"})
 
     kind = "id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    # One file, one task: the files themselves are split by size through the range partitioning.
-    return manifest.select("path", "start").repartition("path").mapInPandas(rows, kind).withColumnRenamed("id", id_col)
+    # A stated number, so that adaptive execution doesn't merge the few rows of the manifest into one task.
+    files = max(1, manifest.count())
+    return manifest.select("path", "start").repartition(files, "path").mapInPandas(rows, kind).withColumnRenamed("id", id_col)
 
 
 def store_and_read(docs: DataFrame, vocab: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
