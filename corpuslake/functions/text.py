@@ -45,17 +45,3 @@ def prompt(context: Column, question: Column, template: str = PROMPT) -> Column:
     before, _, rest = template.partition("{context}")
     between, _, after = rest.partition("{question}")
     return F.concat(F.lit(before), context, F.lit(between), question, F.lit(after))
-
-
-def hash_embedding(text: Column, dimension: int = 64) -> Column:
-    """Signed feature hashing of lower-case words, scaled to length 1 (all zero without words)."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    hashed = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"))
-    start = F.array_repeat(F.lit(0.0), dimension)
-    # One pass per component keeps the state small: counts of the words that fall on it.
-    parts = F.transform(
-        F.sequence(F.lit(0), F.lit(dimension - 1)),
-        lambda i: F.aggregate(hashed, F.lit(0.0), lambda s, h: s + F.when(h % dimension == i, F.when((h / dimension).cast("long") % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0)),
-    )
-    norm = F.sqrt(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v * v))
-    return F.when(norm > 0, F.transform(parts, lambda v: v / norm)).otherwise(start)

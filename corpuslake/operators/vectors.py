@@ -27,12 +27,13 @@ def upserted(store: DataFrame, rows: DataFrame) -> DataFrame:
     return without_sources(store, named_sources(rows)).unionByName(rows)
 
 
-def nearest(store: DataFrame, queries: DataFrame, k: int = 4, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
+def nearest(store: DataFrame, queries: DataFrame, k: int = 4, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", places: int | None = None) -> DataFrame:
     """The ``k`` nearest rows of each query by squared Euclidean distance: ``query_key``, ``rank``, ``key``, ``distance``.
 
     Each task keeps its own ``k`` best per query (ties: smaller key first), so at most ``k`` rows a query
     and task are shuffled. Queries go to the tasks in blocks; the store is read once per block. With
-    fewer than ``k`` rows all come back; null vectors never do.
+    fewer than ``k`` rows all come back; null vectors never do. ``places`` rounds distances before they
+    are ranked, so that rows at the same distance tie whatever the order of summation.
     """
     wanted = queries.select(query_key, vector).where(F.col(vector).isNotNull())
     n = wanted.count()
@@ -40,13 +41,13 @@ def nearest(store: DataFrame, queries: DataFrame, k: int = 4, key: str = "vec_id
     found = None
     for part in parts:
         rows = part.toPandas()  # at most about BLOCK rows
-        one = _best(store, rows, k, key, query_key, vector)
+        one = _best(store, rows, k, key, query_key, vector, places)
         found = one if found is None else found.unionByName(one)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key)))
     return ranked.where(F.col("rank") <= k).select(query_key, "rank", key, "distance")
 
 
-def _best(store: DataFrame, rows: pd.DataFrame, k: int, key: str, query_key: str, vector: str) -> DataFrame:
+def _best(store: DataFrame, rows: pd.DataFrame, k: int, key: str, query_key: str, vector: str, places: int | None) -> DataFrame:
     ids = rows[query_key].to_numpy()
     q = np.stack([np.asarray(v, np.float64) for v in rows[vector]]) if len(rows) else np.zeros((0, 1))
     shared = store.sparkSession.sparkContext.broadcast((ids, q))
@@ -62,6 +63,7 @@ def _best(store: DataFrame, rows: pd.DataFrame, k: int, key: str, query_key: str
             out = []
             for i, one in zip(ids, q):
                 d = ((x - one) ** 2).sum(axis=1)
+                d = d if places is None else np.round(d, places)
                 top = np.argsort(d, kind="stable")[:k]
                 out.append(pd.DataFrame({query_key: i, key: own[top], "distance": d[top]}))
             yield pd.concat(out)

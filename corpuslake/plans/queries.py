@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import changes, chunking, context, metrics, vectors
+from ..operators import changes, chunking, context, embedding, metrics, vectors
 from ..streaming import debounce
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -283,14 +283,29 @@ def q_chat_prompt(spark, d):
     return read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.md5(F.array_join(said, "\n")).alias("messages_md5"))
 
 
-HASHED = "('0x' || substr(md5(w), 1, 8))::BIGINT"
-_VECTOR = f"""
-t AS (SELECT {{id}} AS id, list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: {HASHED}) AS h FROM {{table}}),
-v AS (SELECT id, list_transform(range(64), lambda i: coalesce(list_sum(list_transform(list_filter(h, lambda x: x % 64 = i), lambda x: CASE WHEN (x // 64) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END)), 0.0)) AS v FROM t)"""
+@query("""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
+h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM w),
+c AS (SELECT doc_id, h % 64 AS i, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END) AS v FROM h GROUP BY ALL),
+v AS (SELECT doc_id, sqrt(sum(v * v)) AS n, [coalesce(max(v) FILTER (i = 0), 0), coalesce(max(v) FILTER (i = 1), 0), coalesce(max(v) FILTER (i = 2), 0), coalesce(max(v) FILTER (i = 3), 0)] AS h FROM c GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n > 0 THEN list_transform(h, lambda x: round(x / n, 6)) ELSE [0.0::DOUBLE, 0.0, 0.0, 0.0] END AS head FROM documents LEFT JOIN v USING (doc_id)""")
+def q_hash_embed(spark, d):
+    found = embedding.hash_embedded(read(spark, d, "documents"), "doc_id")
+    return found.select("doc_id", F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x, 6)).alias("head"))
 
 
-@query(f"""WITH {_VECTOR.format(id='doc_id', table='documents')}
-SELECT id AS doc_id, list_transform(v, lambda x: round(CASE WHEN list_sum(list_transform(v, lambda y: y * y)) > 0 THEN x / sqrt(list_sum(list_transform(v, lambda y: y * y))) ELSE 0.0 END, 6))[1:4] AS head FROM v""")
-def q_hash_embed(spark, d):
-    e = T.hash_embedding(F.col("text"))
-    return read(spark, d, "documents").withColumn("e", e).select("doc_id", F.transform(F.slice("e", 1, 4), lambda x: F.round(x, 6)).alias("head"))
+@query("""
+WITH x AS (SELECT doc_id AS id, text, FALSE AS asks FROM documents UNION ALL SELECT item_id, text, TRUE FROM benchmark),
+w AS (SELECT id, asks, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM x),
+c AS (SELECT id, asks, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM w),
+v AS (SELECT id, asks, h % 64 AS i, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END) AS v FROM c GROUP BY ALL),
+n AS (SELECT id, asks, sqrt(sum(v * v)) AS n FROM v GROUP BY ALL),
+u AS (SELECT v.id, v.asks, i, CASE WHEN n > 0 THEN v / n ELSE 0 END AS v FROM v JOIN n ON v.id = n.id AND v.asks = n.asks),
+l AS (SELECT x.id, x.asks, coalesce(sum(u.v * u.v), 0) AS l FROM x LEFT JOIN u ON u.id = x.id AND u.asks = x.asks GROUP BY ALL),
+p AS (SELECT a.id AS item_id, b.id AS doc_id, sum(a.v * b.v) AS dot FROM u a JOIN u b ON a.i = b.i WHERE a.asks AND NOT b.asks GROUP BY ALL),
+d AS (SELECT a.id AS item_id, b.id AS doc_id, round(a.l + b.l - 2 * coalesce(dot, 0), 6) AS distance FROM l a JOIN l b ON a.asks AND NOT b.asks LEFT JOIN p ON p.item_id = a.id AND p.doc_id = b.id)
+SELECT item_id, rank, doc_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, doc_id)::INT AS rank FROM d) WHERE rank <= 4""")
+def q_retrieve_text(spark, d):
+    store = embedding.hash_embedded(read(spark, d, "documents"), "doc_id")
+    asked = embedding.hash_embedded(read(spark, d, "benchmark"), "item_id")
+    return vectors.nearest(store, asked, 4, key="doc_id", query_key="item_id", places=6)
