@@ -1,0 +1,66 @@
+"""Tables kept as numbered Parquet snapshots, so that a reader never sees half a write."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import vectors
+
+
+class Snapshots:
+    """A table under ``folder``. A writer that loses a race fails: its snapshot's number is taken."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str):
+        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
+
+    def versions(self) -> list[int]:
+        """Numbers of the snapshots whose writing ended."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = files.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v-*/_SUCCESS"))
+        return sorted(int(f.getPath().getParent().getName()[2:]) for f in found or [])
+
+    def read(self) -> DataFrame:
+        """The latest snapshot; no rows if there is none."""
+        known = self.versions()
+        if not known:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v-{known[-1]:08d}")
+
+    def write(self, rows: DataFrame) -> int:
+        """Writes the next snapshot; returns its number."""
+        number = (self.versions() or [0])[-1] + 1
+        names = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
+        rows.select(names).write.parquet(f"{self.folder}/v-{number:08d}")
+        return number
+
+
+class VectorTable(Snapshots):
+    """Chunks with their vectors: replaced by source, searched exactly."""
+
+    def __init__(self, spark: SparkSession, folder: str, dimension: int):
+        super().__init__(spark, folder, "source string, chunk_id string, text string, n_tokens long, embedding array<float>")
+        self.dimension = dimension
+
+    def add(self, rows: DataFrame, sources: DataFrame | None = None) -> None:
+        """Replaces all rows of the sources of ``rows`` (and of ``sources``, which may have none left) by ``rows``."""
+        if not rows.where(f"embedding is null or size(embedding) <> {self.dimension}").isEmpty():
+            raise ValueError(f"vectors must have {self.dimension} components")
+        named = vectors.named_sources(rows)
+        if sources is not None:
+            named = named.unionByName(vectors.named_sources(sources)).distinct()
+        self.write(vectors.without_sources(self.read(), named).unionByName(rows.select(self.read().columns)))
+
+    def search(self, queries: DataFrame, k: int | None = None) -> DataFrame:
+        """``query_id``, ``rank``, ``chunk_id``, ``source``, ``text``, ``n_tokens``, ``distance``; without ``k``, 4."""
+        store = self.read()
+        keyed = store.selectExpr("xxhash64(source, chunk_id) as vec_id", "*")
+        found = vectors.nearest(keyed, queries, 4 if k is None else k)
+        wanted = found.join(keyed.select("vec_id", "chunk_id", "source", "text", "n_tokens"), "vec_id")
+        return wanted.selectExpr("query_id", "rank", "chunk_id", "coalesce(source, 'unknown') as source", "text", "n_tokens", "distance")
+
+    def delete_all(self) -> None:
+        self.write(self.spark.createDataFrame([], self.schema))
+
+    def count(self) -> int:
+        return self.read().count()
