@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import SMALL, cut, shared_dir, text_of, without, written
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Many partitions hold little state each, so their logs take no disk in advance.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: A single blank needs no replacing, so the pattern passes it by.
 RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -33,9 +37,9 @@ def absorb(spark: SparkSession, journal: str, schema, state: str, out: str) -> D
     Each micro-batch writes the groups it changed under ``out``, in a folder of its own number, so a
     batch that runs again overwrites itself.
     """
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, PROVIDER)
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "locator")).alias("first")
         groups = spark.readStream.schema(schema).parquet(journal).groupBy("digest").agg(first, F.count(F.lit(1)).alias("n"))
@@ -45,7 +49,8 @@ def absorb(spark: SparkSession, journal: str, schema, state: str, out: str) -> D
 
         groups.writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
     kind = "digest string, first struct<none: boolean, id: long, row: long, locator: string>, n long, batch int"
     spark._jvm.org.apache.hadoop.fs.Path(out).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(out))
     return spark.read.schema(kind).parquet(out).groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n"))
