@@ -42,22 +42,31 @@ def _knn(store: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return found.withColumn("distance", F.round("distance", 6))
 
 
-@query(_knn_sql("vec_id < 20", 4))
+#: Queries of every search: the rows whose id is divisible by 100.
+ASKED = "vec_id % 100 = 0"
+CENTRES = """(SELECT label AS vec_id, list(v ORDER BY i) AS embedding FROM (
+    SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)"""
+
+
+@query(_knn_sql(ASKED, 4))
 def q_knn_l2(spark, d):
     e = read(spark, d, "embeddings")
-    return _knn(e, e.where("vec_id < 20"), 4)
+    return _knn(e, e.where(ASKED), 4)
 
 
-@query(_knn_sql("vec_id = 0", 4))
+@query(_knn_sql(ASKED, 1))
 def q_knn_single(spark, d):
     e = read(spark, d, "embeddings")
-    return _knn(e, e.where("vec_id = 0"), 4)
+    return _knn(e, e.where(ASKED), 1)
 
 
-@query(_knn_sql("vec_id < 3", 50, "(SELECT * FROM embeddings WHERE label = 1 AND vec_id < 40)"))
+@query(_knn_sql(ASKED, 50, CENTRES))
 def q_knn_k_gt_n(spark, d):
+    """Against the mean vector of each label, of which there are fewer than ``k``."""
     e = read(spark, d, "embeddings")
-    return _knn(e.where("label = 1 and vec_id < 40"), e.where("vec_id < 3"), 50)
+    means = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    centres = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias("embedding"))
+    return _knn(centres.withColumnRenamed("label", "vec_id").withColumn("vec_id", F.col("vec_id").cast("int")), e.where(ASKED), 50)
 
 
 @query("SELECT 'embeddings' AS store, count(*) AS n FROM embeddings UNION ALL SELECT 'documents', count(*) FROM documents")
@@ -161,12 +170,12 @@ def q_md5(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5("text").alias("md5")).union(read(spark, d, "pages").select("page_id", F.md5("html")))
 
 
-FILES = "(SELECT '/in/' || doc_id || '.pdf' AS path, md5(text) AS md5, doc_id FROM documents)"
+FILES = "(SELECT '/in/' || doc_id || '.pdf' AS path, md5(text) AS md5, doc_id, source FROM documents)"
 LEDGER = f"(SELECT path, CASE WHEN doc_id % 5 = 1 THEN 'old' ELSE md5 END AS md5 FROM {FILES} WHERE doc_id % 3 <> 0)"
 
 
 def _files(spark, d):
-    files = read(spark, d, "documents").select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.md5("text").alias("md5"), "doc_id")
+    files = read(spark, d, "documents").select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.md5("text").alias("md5"), "doc_id", "source")
     return files, files.where("doc_id % 3 <> 0").select("path", F.when(F.col("doc_id") % 5 == 1, "old").otherwise(F.col("md5")).alias("md5"))
 
 
@@ -175,10 +184,10 @@ def q_changed_files(spark, d):
     return changes.changed_files(*_files(spark, d))
 
 
-@query(f"SELECT f.path, f.md5, l.path IS NULL AS is_new FROM {FILES} f LEFT JOIN {LEDGER} l ON l.path = f.path WHERE f.doc_id % 7 = 0")
+@query(f"SELECT f.path, f.md5, l.path IS NULL AS is_new FROM {FILES} f LEFT JOIN {LEDGER} l ON l.path = f.path WHERE f.source IN ('src5', 'src6')")
 def q_explicit_files(spark, d):
     files, ledger = _files(spark, d)
-    return changes.explicit_files(files.where("doc_id % 7 = 0"), ledger)
+    return changes.explicit_files(files.where("source in ('src5', 'src6')"), ledger)
 
 
 @query(f"SELECT f.path, f.md5, l.path IS NULL AS is_new, ((row_number() OVER (ORDER BY CASE WHEN l.path IS NULL THEN 0 ELSE 1 END, f.path) - 1) // 100 + 1)::BIGINT AS batch FROM {FILES} f LEFT JOIN {LEDGER} l ON l.path = f.path WHERE l.path IS NULL OR l.md5 <> f.md5")
