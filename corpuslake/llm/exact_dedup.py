@@ -88,6 +88,7 @@ def _differing(source: DataFrame, journal: DataFrame, hit: DataFrame) -> DataFra
     texts = source.join(members, "id", "left_semi")
     texts = written(texts.withColumn("digest", F.sha2("text", 256)), "hits")
     keepers = texts.join(hit.select("digest", F.col("first.id").alias("id")), ["digest", "id"]).groupBy("digest").agg(F.min("text").alias("kept_text"))
+    keepers = written(keepers, "kept-texts")  # so that the join stands on two plain shuffles, and a large group can be split
     return written(texts.join(keepers, "digest").where(F.col("text") != F.col("kept_text")).select("id", "digest", "text"), "differing")
 
 
