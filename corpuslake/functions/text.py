@@ -19,6 +19,21 @@ def count_tokens(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(r"[^ \t\r\n\f\x0B]+"), F.lit(0))).cast("long")
 
 
+def word_windows(text: Column, size: int) -> Column:
+    """Windows of ``size`` words each (the last may hold fewer), with the white space around them."""
+    words = F.regexp_extract_all(text, F.lit(r"[ \t\r\n\f\x0B]*[^ \t\r\n\f\x0B]+[ \t\r\n\f\x0B]*"), F.lit(0))
+    cut = lambda w: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.floor((F.size(w) - 1) / size).cast("int"), F.lit(0))), lambda i: F.array_join(F.slice(w, i * size + 1, F.lit(size)), "")
+    )
+    # A lambda's argument is computed once, where a column would be for each window.
+    return F.transform(F.array(words), cut)[0]
+
+
+def bounded_sentences(text: Column, size: int) -> Column:
+    """Sentences of a text; those of more than ``size`` words come in windows of so many."""
+    return F.flatten(F.transform(sentences(text), lambda s: F.when(count_tokens(s) <= size, F.array(s)).otherwise(word_windows(s, size))))
+
+
 def sanitized(path: Column) -> Column:
     """Base name with all but letters, digits, ``-``, ``_`` and ``.`` replaced by ``_``."""
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"[^\p{L}\p{N}_\-.]", "_")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import count_tokens, sentences
+from ..functions.text import bounded_sentences, count_tokens, sentences
 
 
 def chunk_numbers(counts: Column, budget: int) -> Column:
@@ -26,16 +26,16 @@ def split_text(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
 
 def split_documents(docs: DataFrame, key: str = "doc_id", text_col: str = "text", size: int = 1024, overlap: int = 50, source: str | None = "source") -> DataFrame:
-    """Chunks of at most ``size`` tokens (unless one sentence is longer): ``key``, ``chunk_index``, ``source``, ``text``, ``n_tokens``.
+    """Chunks of at most ``size`` tokens: ``key``, ``chunk_index``, ``source``, ``text``, ``n_tokens``.
 
     The core of a chunk holds at most ``size - overlap`` tokens; before it stand the last sentences of the
-    previous core that fit into ``overlap`` tokens. Null and empty texts have no chunks; a null source
-    becomes ``unknown``.
+    previous core that fit into ``overlap`` tokens. A sentence that is longer than a core is cut into windows of words. Null
+    and empty texts have no chunks; a null source becomes ``unknown``.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
     name = F.coalesce(F.col(source), F.lit("unknown")) if source else F.lit("unknown")
-    cut = docs.select(key, name.alias("source"), sentences(F.col(text_col)).alias("s"))
+    cut = docs.select(key, name.alias("source"), bounded_sentences(F.col(text_col), size - overlap).alias("s"))
     cut = cut.withColumn("n", F.transform("s", count_tokens)).withColumn("c", chunk_numbers(F.col("n"), size - overlap))
     each = cut.withColumn("chunk_index", F.explode(F.array_distinct("c")))
     inside = F.filter(F.arrays_zip("s", "n", "c"), lambda x: x["c"] == F.col("chunk_index"))

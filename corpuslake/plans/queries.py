@@ -97,6 +97,7 @@ def q_reindex(spark, d):
 
 SENTENCES = r"regexp_extract_all(text, '[^.!?\n]+[.!?\n]*')"
 WORDS = r"'[^ \t\r\n\f\x0B]+'"
+SPACED = r"'[ \t\r\n\f\x0B]*[^ \t\r\n\f\x0B]+[ \t\r\n\f\x0B]*'"
 
 
 @query(f"SELECT doc_id, unnest(range(len({SENTENCES})))::INT AS position, md5(unnest({SENTENCES})) AS sentence_md5 FROM documents")
@@ -110,7 +111,9 @@ def q_count_tokens(spark, d):
 
 
 @query(f"""
-WITH RECURSIVE s AS (SELECT doc_id, {SENTENCES} AS s, list_transform({SENTENCES}, lambda x: len(regexp_extract_all(x, {WORDS}))) AS n FROM documents),
+WITH RECURSIVE b AS (SELECT doc_id, flatten(list_transform({SENTENCES}, lambda x: CASE WHEN len(regexp_extract_all(x, {WORDS})) <= 128 THEN [x]
+  ELSE list_transform(range(0, (len(regexp_extract_all(x, {SPACED})) + 127) // 128), lambda i: array_to_string(regexp_extract_all(x, {SPACED})[i * 128 + 1:i * 128 + 128], '')) END)) AS s FROM documents),
+s AS (SELECT doc_id, s, list_transform(s, lambda x: len(regexp_extract_all(x, {WORDS}))) AS n FROM b),
 g(doc_id, i, chunk, used) AS (
   SELECT doc_id, 1, 0, n[1] FROM s WHERE len(s) > 0
   UNION ALL

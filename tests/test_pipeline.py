@@ -111,6 +111,16 @@ def test_chunks(spark):
         chunking.split_documents(docs, size=10, overlap=10)
 
 
+def test_long_sentence_is_cut(spark):
+    text = "Short one. " + " word\t" * 95 + "end. Last one."
+    docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    found = chunking.split_documents(docs, size=20, overlap=0).orderBy("chunk_index").collect()
+    assert "".join(r["text"] for r in found) == text
+    assert [r["n_tokens"] for r in found] == [2, 20, 20, 20, 20, 18]
+    lapped = chunking.split_documents(docs, size=20, overlap=5).collect()
+    assert max(r["n_tokens"] for r in lapped) <= 20
+
+
 def test_budget_and_prompt(spark):
     hits = spark.createDataFrame([(1, 1, "", 0), (1, 2, "x", 5), (1, 3, "y", 9), (1, 4, "z", 1), (2, 1, "q", 99)], "query_id long, rank int, text string, n_tokens long")
     found = {r["query_id"]: r for r in context.contexts(hits, "query_id", "rank", "text", "n_tokens", 6).collect()}
