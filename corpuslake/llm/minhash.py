@@ -29,8 +29,8 @@ from .common import SMALL, WordTable, cut, mixed, text_of, without, written
 from .components import connected_components
 
 WORDS, COORDINATES = 5, 48
-#: Collisions that a pair needs; at a similarity of 0.75, 36 are expected and under 26 happen once in 2000 pairs.
-MATCHES = 26
+#: Collisions that a pair needs to be compared; at a similarity of 0.75, 36 are expected and under 16 have a probability of 2.3e-10.
+MATCHES = 16
 #: Shingles in a block of a candidate group.
 BLOCK = 1_500_000
 

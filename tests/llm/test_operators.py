@@ -171,6 +171,19 @@ def test_minhash_against_brute_force(spark, odd, empty):
     assert by_id(minhash.near_duplicates(odd))[0]["n_shingles"] == 0
 
 
+def test_minhash_links_pairs_that_collide_less_than_expected(spark):
+    """Pairs of similarity 6 / 8 whose signatures agree in less than 26 of 48 coordinates."""
+    rng, texts = random.Random(8), []
+    while len(texts) < 6:
+        words = [f"v{rng.randrange(10**9)}" for _ in range(12)]
+        pair = " ".join(words[:11]), " ".join(words[:10] + words[11:])
+        one, two = (minhash.signature(minhash.shingles(t)) for t in pair)
+        if (one == two).sum() < 26:
+            texts += pair
+    found = by_id(minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [found[i]["component_id"] for i in range(6)] == [0, 0, 2, 2, 4, 4]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(1, 200)] + [(7, 7), (None, 3)]
     found = by_id(components.connected_components(spark.createDataFrame(edges, "src long, dst long")), "node")
