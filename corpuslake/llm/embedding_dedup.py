@@ -133,9 +133,9 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "
     """One row per row of ``vectors``: ``id_col``, ``n_links``, ``component_id``, ``kept``.
 
     Vectors are linked if their cosine is ``least`` or more. Vectors that are null, empty, zero or hold null
-    or non-finite components, and those of a null id, link with nothing and stay. Vectors of another
-    length than the most frequent one are linked among their own length only by equality. An empty table
-    gives an empty table; other columns are not read. Rows that repeat an id count as links of it.
+    or non-finite components, and those of a null id, link with nothing and stay. Vectors of each
+    length are searched among themselves. An empty table gives an empty table; other columns are not
+    read. Rows that repeat an id count as links of it.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
@@ -144,12 +144,11 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "
     rows = rows.withColumn("key", F.when(usable, F.sha2(F.concat_ws(",", F.transform("embedding", lambda v: (v + F.lit(0.0)).cast("string"))), 256)))
     classes = written(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")), "vectors")
 
-    sizes = classes.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
-        found = spark.createDataFrame([], "id long, links long, component long")
-    else:
-        found = _searched(classes.where(F.size("embedding") == sizes[0]["d"]), sizes[0]["count"], least)
-    named = classes.join(found, "id", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    classes = classes.withColumn("d", F.size("embedding"))
+    found = spark.createDataFrame([], "id long, links long, component long, d int")
+    for size in classes.groupBy("d").count().where("count > 1").orderBy("d").collect():  # a class alone has nothing to link with
+        found = found.unionByName(_searched(classes.where(F.col("d") == size["d"]), size["count"], least).withColumn("d", F.lit(size["d"])))
+    named = classes.join(found, ["id", "d"], "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     joined = rows.drop("embedding").join(named, "key", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return joined.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

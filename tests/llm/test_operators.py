@@ -214,6 +214,23 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.embedding_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_every_length_are_searched(spark):
+    """Two lengths and a lone vector; id 0 stands on a row of each length, every third vector is a near copy of the one before."""
+    rng, rows = np.random.default_rng(4), []
+    for first, d, n in ((0, 64, 60), (1000, 32, 45), (2000, 5, 1)):
+        x = rng.normal(size=(n, d))
+        x[2::3] = x[1::3] + 0.05 * rng.normal(size=x[1::3].shape)
+        rows += [(0 if i == 0 and first == 1000 else first + i, v.tolist()) for i, v in enumerate(x)]
+    found = embedding_dedup.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    own = sorted((r["vec_id"], r["component_id"], r["n_links"], r["kept"]) for r in found)
+    expected = []
+    for at, (i, v) in enumerate(rows):
+        k = at if at < 60 else at - 60
+        lone = len(v) == 5 or k % 3 == 0
+        expected.append((i, i, 0, True) if lone else (i, i - (k % 3 == 2), 1, k % 3 == 1))
+    assert own == sorted(expected)
+
+
 @pytest.mark.parametrize("score, label, parts, odd_part, least", [(toxicity.toxicity_scores, "toxic", 3, 1, 0.9), (quality.quality_scores, "quality", 5, 0, 0.85)])
 def test_classifiers_on_held_out_rows(spark, docs, odd, empty, score, label, parts, odd_part, least):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
