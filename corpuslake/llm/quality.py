@@ -26,11 +26,31 @@ from .labelled import accepted, fold, scored, training_rows
 
 BUCKETS, PAIRS, DIM = 1 << 17, 1 << 15, 16
 SIZES = (2, 3, 4)
-
-
-def word_buckets(word: str) -> list[int]:
-    """Buckets of a word and of its character n-grams (with marks at its borders)."""
-    marked = f"<{word[:60]}>".encode()
+#: Characters from which a word's n-grams are found with arrays, and bytes that are looked at together.
+LONG, SLICE = 60, 1 << 20
+_CRC = np.array([zlib.crc32(bytes([i]), 0xFFFFFFFF) ^ 0xFFFFFFFF for i in range(256)], np.uint32)
+
+
+def gram_buckets(marked: bytes, n: int) -> np.ndarray:
+    """Buckets of the distinct n-grams of a long word, as ``zlib.crc32`` gives them."""
+    raw, codes = np.frombuffer(marked, np.uint8), np.zeros(0, np.uint32)
+    for at in range(0, len(raw) - n + 1, SLICE):
+        part = raw[at : at + SLICE + n - 1].astype(np.uint32)
+        code = np.zeros(len(part) - n + 1, np.uint32)
+        for k in range(n):
+            code = code << np.uint32(8) | part[k : len(code) + k]
+        codes = np.union1d(codes, code)
+    crc = np.full(len(codes), 0xFFFFFFFE, np.uint32)  # crc32 that starts from 1
+    for k in reversed(range(n)):
+        crc = _CRC[(crc ^ codes >> np.uint32(8 * k)) & np.uint32(255)] ^ crc >> np.uint32(8)
+    return ((crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(BUCKETS)).astype(np.int64)
+
+
+def word_buckets(word: str) -> list[int] | np.ndarray:
+    """Buckets of a word and of its distinct character n-grams (with marks at its borders), whatever its length."""
+    marked = f"<{word}>".encode()
+    if len(word) > LONG:
+        return np.concatenate([[zlib.crc32(marked) % BUCKETS], *(gram_buckets(marked, n) for n in SIZES)])
     grams = {marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)}
     return [zlib.crc32(marked) % BUCKETS, *(zlib.crc32(g, 1) % BUCKETS for g in grams)]
 

@@ -231,6 +231,25 @@ def test_embeddings_of_every_length_are_searched(spark):
     assert own == sorted(expected)
 
 
+def test_quality_reads_the_whole_of_a_long_word():
+    """Words of 61 and more characters: every n-gram counts, and what tells the classes apart may stand behind the 60th character."""
+    rng = random.Random(6)
+    for n in (60, 61, 500, 3000):
+        word = "".join(rng.choice("abcxyz09+/é中") for _ in range(n))
+        marked = f"<{word}>".encode()
+        grams = {marked[i : i + k] for k in (2, 3, 4) for i in range(len(marked) - k + 1)}
+        plain = [zlib.crc32(marked) % quality.BUCKETS, *(zlib.crc32(g, 1) % quality.BUCKETS for g in grams)]
+        assert sorted(quality.word_buckets(word)) == sorted(plain)
+    texts = ["好" * 80 + "".join(rng.choice("天地人山水" if i % 2 else "买卖钱赌彩") for _ in range(200)) for i in range(80)]
+    y = np.arange(80) % 2
+    shares, bias = quality.train(texts[:60], y[:60])
+    odds = np.array(list(quality.log_odds((shares, bias), texts)))
+    assert ((odds[60:] > 0) == y[60:]).all()
+    for t, z in zip(texts, odds):
+        at, share = quality.features(t)
+        assert abs(share @ shares[at] + bias - z) < 1e-9
+
+
 @pytest.mark.parametrize("score, label, parts, odd_part, least", [(toxicity.toxicity_scores, "toxic", 3, 1, 0.9), (quality.quality_scores, "quality", 5, 0, 0.85)])
 def test_classifiers_on_held_out_rows(spark, docs, odd, empty, score, label, parts, odd_part, least):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
