@@ -19,12 +19,10 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import Memo, text_of
+from .common import Memo, by_text
 
 #: The pattern that byte-level vocabularies split text with before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -191,9 +189,10 @@ def encode_decode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col:
     """Encodes whole texts and decodes them again: one row per document, no shuffle.
 
     Result: ``id_col``, ``ids`` (array<int>), ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by
-    commas), ``decoded`` and ``decoded_sha256``. Null and empty texts give no ids and an empty text.
-    Repeated rows give repeated rows, null ids stay null, an empty table gives an empty table; other
-    columns of ``docs`` are not read, so names cannot clash.
+    commas), ``decoded`` and ``decoded_sha256``. Null and empty texts give no ids and an empty text; very
+    long texts are encoded whole, in time linear in them. Repeated rows and ids give repeated rows, null
+    ids stay null, an empty table gives an empty table; other columns of ``docs`` are not read, so names
+    cannot clash.
     """
     return _run(docs, vocab, id_col, text_col, keep=True)
 
@@ -206,21 +205,16 @@ def digests(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str =
 def _run(docs: DataFrame, vocab: str, id_col: str, text_col: str, keep: bool) -> DataFrame:
     kept = ", ids array<int>, decoded string" if keep else ""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches) -> Iterator[list]:
         own = codec(vocab)
-        for batch in batches:
+        for doc_ids, texts in batches:
             out = []
-            for text in batch["text"]:
+            for text in texts:
                 ids = own.encode(text)
                 back = valid(own.decode(ids))
                 spelled = ",".join(map(own.decimal.__getitem__, ids.tolist()))
                 row = (len(ids), hashlib.sha256(spelled.encode()).hexdigest(), hashlib.sha256(back).hexdigest())
                 out.append((*row, ids.astype(np.int32), back.decode()) if keep else row)
-            columns = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep else [])]
-            made = pd.DataFrame(out, columns=columns)
-            made.insert(0, "id", batch["id"].to_numpy())
-            yield made
-
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    made = chosen.mapInPandas(rows, f"id long, n_tokens long, ids_sha256 string, decoded_sha256 string{kept}")
-    return made.withColumnRenamed("id", id_col)
+            yield [doc_ids, *(list(c) for c in zip(*out))]
+
+    return by_text(docs, rows, f"id long, n_tokens long, ids_sha256 string, decoded_sha256 string{kept}", id_col, text_col).withColumnRenamed("id", id_col)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +18,14 @@ SPACE = r"\x20\x09-\x0D"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors both reach.
 
-    It lies in ``spark.checkpoint.dir``; where that is unset (tests on one machine) a
-    temporary folder is made and set as the checkpoint folder.
+    It lies in ``spark.checkpoint.dir``; where that is unset and Spark runs on one machine (tests) a
+    temporary folder is made and set as the checkpoint folder. On a cluster it must be set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         set_by_hand = spark.sparkContext.getCheckpointDir()
+        if not set_by_hand and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = set_by_hand.rsplit("/", 1)[0] if set_by_hand else "file://" + tempfile.mkdtemp(prefix="corpuslake-")
         if not set_by_hand:
             spark.sparkContext.setCheckpointDir(root)
@@ -50,6 +53,34 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: Arrow types of the column types that ``by_text`` can return.
+ARROW = {
+    "long": pa.int64(),
+    "int": pa.int32(),
+    "double": pa.float64(),
+    "boolean": pa.bool_(),
+    "string": pa.string(),
+    "binary": pa.binary(),
+    "array<int>": pa.list_(pa.int32()),
+    "array<long>": pa.list_(pa.int64()),
+}
+
+
+def by_text(docs: DataFrame, made: Callable[[Iterator[tuple[pa.Array, list[str]]]], Iterator[list]], kind: str, id_col: str, text_col: str) -> DataFrame:
+    """Rows that ``made`` yields from batches of ids and texts (null: empty), column by column in order of ``kind``.
+
+    Ids stay 64-bit integers in Arrow arrays, so they are exact beside nulls too.
+    """
+    names, types = zip(*((name, ARROW[t]) for name, t in (c.split(" ", 1) for c in kind.split(", "))))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in made((b.column(0), b.column(1).to_pylist()) for b in batches):
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    return chosen.mapInArrow(each, kind)
+
+
 #: Ids are broadcast up to so many (16 MB); beyond, the other side is shuffled.
 SMALL = 1_000_000
 

@@ -40,9 +40,13 @@ class LibraryTokens:
         """Parts of a text; None if it holds a special token's string."""
         if any(s in text for s in self.special):
             return None
-        # Lower case is the same for a word in any place, but for these two letters.
-        if self.lower and (text.isascii() or "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text)):
-            text = text.lower()
+        if self.lower:
+            low = text.encode().lower().decode()  # A-Z only
+            # The library composes letters first and makes them small then. With A-Z small beforehand that
+            # gives the same where there is nothing to compose, before or after.
+            plain = text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
+            if plain and not any(s in low for s in self.special):
+                text = low
         return self.parts.findall(text)
 
     def _learn(self, words: Iterable[str]) -> None:

@@ -2,14 +2,15 @@
 
 Documents come one by one. What fills whole windows of ``size`` ids is cut off at once; the rest of
 the document is placed into the fill level that makes the sum of squared counts of partly filled
-windows smallest. A level array holds how many windows stand at each level. After ``block``
-documents, and at a partition's end, the windows that are still open are topped up: ids are cut from
-the emptiest and moved into the fullest, so at most one window stays partly filled; that one is cut
-at powers of two, where sequences need no padding.
-
-Each partition packs on its own, so nothing is shuffled, memory is bounded by ``block`` windows, and
-a task that runs again after a lost executor packs only its own rows. Sequence ids hold the
-partition's number in their upper bits.
+windows smallest. A level array holds how many windows stand at each level. Where more than ``most``
+windows are open, two of the level that holds the most of them are joined (which lowers the sum of
+squares, too), so memory is bounded; what the rule places next is not touched by that. At a
+partition's end the windows that are still open are topped up: ids are cut from the emptiest and
+moved into the fullest, so at most one window stays partly filled; that one is cut at powers of two,
+where sequences need no padding.
+
+Each partition packs on its own, so nothing is shuffled, and a task that runs again after a lost
+executor packs only its own rows. Sequence ids hold the partition's number in their upper bits.
 """
 
 from __future__ import annotations
@@ -18,20 +19,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import by_text
 from .library_tokens import library_tokens
 
 
 class Packer:
     """Places pieces ``(doc, start, ids, doc_tokens)`` into windows; ``done`` gets finished windows."""
 
-    def __init__(self, size: int):
-        self.size = size
+    def __init__(self, size: int, most: int = 4096):
+        self.size, self.most, self.n_open = size, max(most, size), 0
         self.levels = np.zeros(size + 1, np.int64)  # windows at each fill; empty and full ones are not counted
         self.open: list[list[list]] = [[] for _ in range(size + 1)]
         self.done: list[list[tuple]] = []
@@ -53,23 +53,40 @@ class Packer:
         change[1:][levels[1 : size + 1 - n] == 0] = np.inf
         best = int(change.argmin())
         if best:
-            window = self.open[best].pop()
-            levels[best] -= 1
+            window = self._opened(best)
         else:
             window = []
         window.append(piece)
-        if best + n == size:
+        self._put(window, best + n)
+        if self.n_open > self.most:
+            self._join(int(levels.argmax()))
+
+    def _opened(self, level: int) -> list:
+        self.levels[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def _put(self, window: list, level: int) -> None:
+        if level == self.size:
             self.done.append(window)
-        else:
-            self.open[best + n].append(window)
-            levels[best + n] += 1
+        elif level:
+            self.open[level].append(window)
+            self.levels[level] += 1
+            self.n_open += 1
+
+    def _join(self, level: int) -> None:
+        """Moves ids from one window of a level into another (more windows are open than levels, so there are two)."""
+        giver, taker = self._opened(level), self._opened(level)
+        moved = min(level, self.size - level)
+        self._put(taker + self._cut(giver, moved), level + moved)
+        self._put(giver, level - moved)
 
     def close(self) -> None:
         """Tops up the open windows from each other; what is left is cut at powers of two."""
         size = self.size
         windows = [(fill, w) for fill in range(size - 1, 0, -1) for w in self.open[fill]]
         self.open = [[] for _ in range(size + 1)]
-        self.levels[:] = 0
+        self.levels[:] = self.n_open = 0
         low, high = 0, len(windows) - 1
         while low < high:
             fill, window = windows[low]
@@ -110,42 +127,41 @@ class Packer:
 PIECE = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, vocab: str, size: int = 1024, end_id: int = 0, block: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocab: str, size: int = 1024, end_id: int = 0, most: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: which ids of which document lie where in which sequence.
 
     Ids are the tokenizers library's for ``vocab`` and ``end_id`` after them. Null and empty texts have
-    only the end id. Repeated rows are packed each; null ids stay null; an empty table gives no rows;
-    other columns of ``docs`` are not read. ``with_ids`` adds the ids (array<int>) of each piece.
+    only the end id; very long texts fill windows of their own and place the rest. Repeated rows and ids
+    are packed each; null ids stay null; an empty table gives no rows; other columns of ``docs`` are not
+    read. ``with_ids`` adds the ids (array<int>) of each piece. ``most`` bounds the open windows of a task.
     """
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, packer, seen, number = library_tokens(vocab), Packer(size), 0, TaskContext.get().partitionId() << 36
+    def rows(batches) -> Iterator[list]:
+        tokens, packer, number = library_tokens(vocab), Packer(size, most), TaskContext.get().partitionId() << 36
+        end = end_id.to_bytes(4, "little")
 
-        def flushed() -> pd.DataFrame:
+        def flushed() -> list:
             nonlocal number
-            out = []
+            out, data = [], []
             for window in packer.done:
                 at = 0
                 for doc, start, ids, total in window:
-                    row = (doc, start, len(ids), zlib.crc32(ids.astype("<u4", copy=False).tobytes()), total, number, at)
-                    out.append((*row, ids.astype(np.int32)) if with_ids else row)
+                    out.append((doc, start, len(ids), zlib.crc32(ids), total, number, at))
+                    data.append(ids)
                     at += len(ids)
                 number += 1
             packer.done = []
-            made = pd.DataFrame(out, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])])
-            return made.astype({"id": "Int64"})
-
-        for batch in batches:
-            for doc, coded in zip(batch["id"], tokens.encode_all(batch["text"])):
-                ids = np.frombuffer(coded + end_id.to_bytes(4, "little"), np.uint32)
-                packer.add(None if pd.isna(doc) else int(doc), ids, len(ids))
-                seen += 1
-                if seen % block == 0:
-                    packer.close()
+            return [*map(list, zip(*out)), *([pa.array([d.astype(np.int32) for d in data], pa.list_(pa.int32()))] if with_ids else [])]
+
+        for doc_ids, texts in batches:
+            for doc, coded in zip(doc_ids.to_pylist(), tokens.encode_all(texts)):
+                ids = np.frombuffer(coded + end, "<u4")
+                packer.add(doc, ids, len(ids))
                 if len(packer.done) >= 2000:
                     yield flushed()
         packer.close()
-        yield flushed()
+        if packer.done:
+            yield flushed()
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return chosen.mapInPandas(rows, PIECE + (", ids array<int>" if with_ids else "")).withColumnRenamed("id", id_col)
+    kind = PIECE + (", ids array<int>" if with_ids else "")
+    return by_text(docs, rows, kind, id_col, text_col).withColumnRenamed("id", id_col)

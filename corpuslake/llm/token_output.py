@@ -21,12 +21,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_of, written
+from .common import by_text, shared_dir, written
 from .library_tokens import library_tokens
 
 BLOCK = 1024
@@ -39,7 +38,7 @@ LANES = 32  # a block is packed as BLOCK / LANES rows of LANES values, each lane
 
 
 def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
-    """Blocks of ``BLOCK`` ids each; the last may hold fewer (its packed part is filled up with the minimum)."""
+    """Blocks of ``BLOCK`` ids each; the last may hold fewer (its packed part is filled up with its last id)."""
     n = -(-len(ids) // BLOCK)
     if not n:
         return []
@@ -160,31 +159,33 @@ class FileReader:
 def write_tokens(docs: DataFrame, vocab: str, folder: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the ids of all documents under ``folder``; returns the manifest (one row per file).
 
-    Files follow each other in ascending ``id_col`` (nulls first; rows of equal id lie together). Null
-    and empty texts have only the end id. An empty table gives an empty manifest.
+    Files follow each other in ascending ``id_col`` (nulls first; rows of equal id lie together, by the
+    hash of their text, then by the text). Null and empty texts have only the end id; very long texts are
+    written whole, over as many blocks as they need. An empty table gives an empty manifest; other columns
+    of ``docs`` are not read.
     """
     from pyarrow import fs
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches) -> Iterator[list]:
         tokens, context, writer, stream = library_tokens(vocab), TaskContext.get(), None, None
         end = end_id.to_bytes(4, "little")
         path = f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}.pfor"
-        for batch in batches:
-            if writer is None and len(batch):
+        for doc_ids, texts in batches:
+            if writer is None and texts:
                 store, inner = fs.FileSystem.from_uri(path)
                 store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                 stream = store.open_output_stream(inner)
                 writer = FileWriter(stream)
-            for doc, coded in zip(batch["id"], tokens.encode_all(batch["text"])):
-                writer.add(None if pd.isna(doc) else int(doc), coded + end)
+            for doc, coded in zip(doc_ids.to_pylist(), tokens.encode_all(texts)):
+                writer.add(doc, coded + end)
         if writer is not None:
             writer.close()
             stream.close()
-            yield pd.DataFrame([(context.partitionId(), path, len(writer.docs), writer.n_ids)], columns=["file_no", "path", "n_docs", "n_ids"])
+            yield [[context.partitionId()], [path], [len(writer.docs)], [writer.n_ids]]
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    dealt = chosen.repartitionByRange("id").sortWithinPartitions("id")
-    files = written(dealt.mapInPandas(rows, "file_no long, path string, n_docs long, n_ids long"), "token-manifest")
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    dealt = chosen.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"), "text")
+    files = written(by_text(dealt, rows, "file_no long, path string, n_docs long, n_ids long", "id", "text"), "token-manifest")
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -193,9 +194,9 @@ def read_tokens(manifest: DataFrame, id_col: str = "doc_id", with_ids: bool = Fa
     """Documents of a manifest: ``id_col``, ``start``, ``n_tokens``, ``ids_crc32`` (and ``ids``), one task per file."""
     from pyarrow import fs
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, base in zip(batch["path"], batch["start"]):
+    def rows(batches) -> Iterator[list]:
+        for bases, paths in batches:
+            for path, base in zip(paths, bases.to_pylist()):
                 store, inner = fs.FileSystem.from_uri(path)
                 with store.open_input_file(inner) as stream:
                     reader = FileReader(stream)
@@ -208,15 +209,15 @@ def read_tokens(manifest: DataFrame, id_col: str = "doc_id", with_ids: bool = Fa
                         for k in range(first, stop):
                             a = int(ends[k] - reader.lengths[k])
                             own = ids[a - begin : int(ends[k]) - begin]
-                            row = (reader.docs[k], int(base) + a, len(own), zlib.crc32(own.astype("<u4", copy=False).tobytes()))
+                            row = (reader.docs[k], base + a, len(own), zlib.crc32(own.astype("<u4", copy=False).tobytes()))
                             out.append((*row, own.astype(np.int32)) if with_ids else row)
                         first = stop
-                        yield pd.DataFrame(out, columns=["id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]).astype({"id": "Int64"})
+                        yield [list(c) for c in zip(*out)]
 
     kind = "id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     # A stated number, so that adaptive execution doesn't merge the few rows of the manifest into one task.
     files = max(1, manifest.count())
-    return manifest.select("path", "start").repartition(files, "path").mapInPandas(rows, kind).withColumnRenamed("id", id_col)
+    return by_text(manifest.select("path", "start").repartition(files, "path"), rows, kind, "start", "path").withColumnRenamed("id", id_col)
 
 
 def store_and_read(docs: DataFrame, vocab: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

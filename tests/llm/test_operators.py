@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import zlib
@@ -41,8 +42,43 @@ def by_id(df, key="doc_id"):
     return {r[key]: r.asDict() for r in df.collect()}
 
 
+tokenizer = functools.cache(Tokenizer.from_file)
+
+
 def library(path, text):
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    return tokenizer(path).encode(text or "", add_special_tokens=False).ids
+
+
+#: Beyond 2^53, where floating point numbers skip integers.
+LARGE = 2**53 + 1
+
+
+def test_large_ids_beside_nulls_stay_exact(spark):
+    df = spark.createDataFrame([(LARGE, "some words stand here"), (None, "x"), (LARGE + 2, "")], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(LARGE, 1, 1), (LARGE + 2, 0, 0)], "doc_id long, quality int, toxic int")
+    found = [bpe.digests(df, BYTE), toxicity.toxicity_scores(df, labels), token_output.store_and_read(df, WORD), packing.pack(df, BYTE), quality.quality_scores(df, labels), minhash.near_duplicates(df), exact_dedup.exact_duplicates(df), secrets.secret_spans(df)]
+    for one in found:
+        assert {r["doc_id"] for r in one.collect()} == {None, LARGE, LARGE + 2}
+
+
+def test_library_tokens_of_letters_that_compose():
+    """Small letters that compose with a mark where the capital doesn't, marks that compose only after lower-casing, strings that become special tokens."""
+    rng, own = random.Random(2), token_output.library_tokens(WORD)
+    texts = ["\u0386\u0345", "J\u030c T\u0308 H\u0331", "<|ENDOFTEXT|> and <|StartOfText|>", "\u03a3\u03a3 \u0130 I\u0307\u0301 \u212a\u212b"]
+    texts += ["".join(rng.choice("AJTHWYaj IΣσΆ\u0130\u0345\u0301\u0307\u0308\u030c\u030a\u0331\u0323é\u212a한ㄱ\u1100\u1161<|>ENDOFTEXTendoftext \t'sS9") for _ in range(rng.randint(1, 30))) for _ in range(4000)]
+    for text, coded in zip(texts, own.encode_all(texts)):
+        assert np.frombuffer(coded, "<u4").tolist() == library(WORD, text), ascii(text)
+
+
+def test_training_rows_are_one_a_document_and_bounded(spark):
+    from corpuslake.llm import labelled
+
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c" * 50), (3, "d" * 30), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 1), (4, 0), (None, 1)], "doc_id long, y int")
+    texts, y, odds = labelled.training_rows(df, labels, "y", lambda c: F.lit(True), 10)
+    assert sorted(zip(texts, y.tolist())) == [("", 0), ("a", 1), ("c" * 50, 1), ("d" * 30, 1)] and odds == np.log(4 / 2)
+    assert len(labelled.training_rows(df, labels, "y", lambda c: F.lit(True), 10, characters=60)[0]) == 3
+    assert len(labelled.training_rows(df, labels, "y", lambda c: F.lit(True), 1)[0]) == 2
 
 
 def test_bpe_equals_library(spark, odd, empty, docs):
@@ -115,6 +151,39 @@ def test_packing_covers_every_id_once(spark, odd, empty, docs):
     assert packing.pack(empty, BYTE).count() == 0
 
 
+def test_packing_places_by_the_sum_of_squares():
+    """Against a plain reckoning of the rule: of all levels that hold a window (and the empty one), the one that leaves the least sum of squares."""
+    rng, packer, counts = random.Random(4), packing.Packer(64), [0] * 65
+    for doc in range(3000):
+        n = rng.choice([1, 7, 20, 33, 40, 63, rng.randint(1, 63)])
+        def squares(level):
+            after = list(counts)
+            after[level] -= level > 0
+            after[level + n] += level + n < 64
+            return sum(c * c for c in after[1:64])
+        best = min((h for h in range(65 - n) if h == 0 or counts[h]), key=lambda h: (squares(h), h))
+        counts[best] -= best > 0
+        counts[best + n] += best + n < 64
+        packer.add(doc, np.full(n, doc, "<u4"), n)
+        assert packer.levels[1:64].tolist() == counts[1:64] and packer.n_open == sum(counts[1:64])
+
+
+def test_packing_bounds_open_windows():
+    packer = packing.Packer(64, most=100)
+    for doc in range(5000):
+        packer.add(doc, np.full(40, doc, "<u4"), 40)  # no two fit into one window
+    assert packer.n_open <= 101
+    packer.close()
+    whole = [sum(len(p[2]) for p in w) for w in packer.done]
+    assert sum(whole) == 200_000 and sum(n != 64 for n in whole) <= 6 and all(n & (n - 1) == 0 for n in whole)
+    pieces = defaultdict(list)
+    for w in packer.done:
+        for doc, start, ids, total in w:
+            pieces[doc].append((start, len(ids)))
+    for spans in pieces.values():
+        assert sum(n for _, n in spans) == 40 and all(a + n == b for (a, n), (b, _) in zip(sorted(spans), sorted(spans)[1:]))
+
+
 def test_exact_dedup_edges(spark, odd, empty):
     found = exact_dedup.exact_duplicates(odd).collect()
     assert len(found) == odd.count()
