@@ -45,28 +45,29 @@ def _spans(kind: str, good: str = "true") -> str:
     )
 
 
-def _near(one: str, others: str) -> str:
-    return f"len(list_filter({others}, lambda o: (o.a >= {one}.b AND o.a - {one}.b <= {secrets.WITHIN}) OR (o.b <= {one}.a AND {one}.a - o.b <= {secrets.WITHIN}))) > 0"
+def _has(kinds: str, part: str) -> str:
+    """Whether a part of these lists lies in the scope of ``part``."""
+    return f"len(list_filter({kinds}, lambda o: len(list_filter(border, lambda x: x.b <= o.a)) = len(list_filter(border, lambda x: x.b <= {part}.a)))) > 0"
 
 
 def _listed(spans: str) -> str:
-    names = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
+    names = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS[:6]) + "]"
     return f"coalesce(array_to_string(list_transform(list_sort({spans}), lambda s: {names}[s.k + 1] || ':' || s.a || ':' || s.b), ','), '')"
 
 
 def op10() -> str:
-    patterns = {"assign": secrets.ASSIGN, "access": secrets.ACCESS, "hex": secrets.HEX, "account": secrets.ACCOUNT, "opaque": secrets.OPAQUE, "endpoint": secrets.ENDPOINT}
+    patterns = {"assign": secrets.ASSIGN, "access": secrets.ACCESS, "hex": secrets.HEX, "account": secrets.ACCOUNT, "opaque": secrets.OPAQUE, "endpoint": secrets.ENDPOINT, "border": secrets.BORDER}
     assign = secrets.ASSIGN.replace("'", "''")
-    good = {"assign": f"length(regexp_extract(MATCH, '{assign}', 1)) >= 6"}
+    good = {"assign": f"length(regexp_extract(MATCH, '{assign}', 1)) >= 6", "opaque": "regexp_matches(MATCH, '[0-9]') AND regexp_matches(MATCH, '[A-Z]') AND regexp_matches(MATCH, '[a-z]')"}
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 f AS (SELECT doc_id, {', '.join(_found(k, p) for k, p in patterns.items())} FROM d),
 s AS (SELECT doc_id, {', '.join(_spans(k, good.get(k, 'true')) for k in patterns)} FROM f),
 b AS (SELECT *, assign || access || hex AS base, list_filter(opaque, lambda o: len(list_filter(assign || access || hex, lambda x: x.a < o.b AND o.a < x.b)) = 0) AS clear FROM s),
 w AS (SELECT *,
-  list_filter(account, lambda e: {_near('e', 'assign || hex || clear')}) AS accounts,
-  list_filter(clear, lambda e: {_near('e', 'access || account')} OR {_near('e', 'endpoint')}) AS opaques,
-  list_filter(endpoint, lambda e: {_near('e', 'assign || hex || clear')} AND {_near('e', 'access || account')}) AS endpoints
+  list_filter(account, lambda e: {_has('assign || hex || clear', 'e')}) AS accounts,
+  list_filter(clear, lambda e: {_has('access || account', 'e')} OR {_has('endpoint', 'e')}) AS opaques,
+  list_filter(endpoint, lambda e: {_has('assign || hex || clear', 'e')} AND {_has('access || account', 'e')}) AS endpoints
 FROM b)
 SELECT doc_id, len(assign)::BIGINT AS n_assign, len(access)::BIGINT AS n_access, len(hex)::BIGINT AS n_hex,
        sha256({_listed('base')}) AS base_sha256, {_listed('base || accounts || opaques || endpoints')} AS spans

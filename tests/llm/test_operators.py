@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -348,17 +350,68 @@ def test_url_rules_and_models(spark, empty):
     assert (told[1000]["verdict"], told[1001]["verdict"]) == ("allow", "block")
 
 
+#: An opaque string.
+KEY = "Ab3_" * 6
+
+
 def test_secrets_link_parts(spark, odd, empty):
-    texts = ["user=carol at https://db.example.com/x " + "Ab3" * 12, "only " + "Ab3" * 12, "user=carol alone", 'Password: "hunter22" and AKIA' + "A" * 16, "token=abc " + "0123456789abcdef" * 2, None]
+    far = " and so on" * 60
+    texts = [f"user=carol at https://db.example.com/x{far} {KEY}", f"only {KEY}", "user=carol alone", 'Password: "hunter22" and AKIA' + "A" * 16, "token=abc " + "0123456789abcdef" * 2, None]
+    texts += [f"user=carol\n \t\n{KEY}", f"user=carol\n{KEY} at\r\n\r\ndb://host.a", f"token={KEY} user=bob", "user=carol " + "Abcdefgh" * 5, f"db://host.a {KEY}"]
     found = by_id(secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
     kinds = [[s.split(":")[0] for s in found[i]["spans"].split(",") if s] for i in range(len(texts))]
-    assert kinds == [["account", "endpoint", "opaque"], [], [], ["assign", "access"], ["hex"], []]
+    assert kinds == [["account", "endpoint", "opaque"], [], [], ["assign", "access"], ["hex"], [], [], ["account", "opaque"], ["assign", "account"], [], ["opaque"]]
     assert (found[3]["n_assign"], found[3]["n_access"], found[4]["n_hex"]) == (1, 1, 1)
     assert found[5]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert secrets.secret_spans(odd).count() == odd.count() and secrets.secret_spans(empty).count() == 0
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held", F.lit(1))
     clean = by_id(secrets.redacted(df))
     assert "hunter22" not in clean[3]["text"] and clean[1]["text"] == texts[1] and clean[5]["text"] is None and list(clean[0]) == df.columns
+    assert clean[7]["text"] == "[REDACTED]\n[REDACTED] at\r\n\r\ndb://host.a"
+    assert secrets.redacted(odd).count() == odd.count() and secrets.redacted(empty).count() == 0
+
+
+def parts_by_hand(text):
+    """Reported spans, reckoned part by part and pair by pair."""
+    found = {"assign": [m.span() for m in re.finditer(secrets.ASSIGN, text) if len(m[1]) >= 6]}
+    found |= {k: [m.span() for m in re.finditer(p, text)] for k, p in {"access": secrets.ACCESS, "hex": secrets.HEX, "account": secrets.ACCOUNT, "endpoint": secrets.ENDPOINT}.items()}
+    base = found["assign"] + found["access"] + found["hex"]
+    mixed = [m.span() for m in re.finditer(secrets.OPAQUE, text) if all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+    found["opaque"] = [(a, b) for a, b in mixed if not any(x < b and a < y for x, y in base)]
+    borders = [m.end() for m in re.finditer(secrets.BORDER, text)]
+    scope = lambda s: sum(b <= s[0] for b in borders)
+    secret, identifier, endpoint = ({scope(s) for k in kinds for s in found[k]} for kinds in (("assign", "hex", "opaque"), ("access", "account"), ("endpoint",)))
+    good = {"account": secret, "opaque": identifier | endpoint, "endpoint": secret & identifier}
+    out = [(a, secrets.KINDS.index(k), b) for k, spans in found.items() for a, b in spans if k not in good or scope((a, b)) in good[k]]
+    return ",".join(f"{secrets.KINDS[no]}:{a}:{b}" for a, no, b in sorted(out))
+
+
+def test_secrets_against_brute_force(spark):
+    rng = random.Random(9)
+    words = ["user=carol", "Login: bob", KEY, "Zz9" * 8, "AKIA" + "B7" * 8, "0123456789abcdef" * 2, "token=abcdefgh", "secret: 'x'", "api_key=" + KEY, "db://host.example:80", "\n\n", "\n \r\n", "\n", "plain", "wörter 語", "password=", "https://a.b/" + KEY]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "", "; "]) for _ in range(rng.choice([3, 10, 40, 200]))) for _ in range(400)]
+    found = by_id(secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)))
+    for i, text in enumerate(texts):
+        assert found[i]["spans"] == parts_by_hand(text), text
+    clean = by_id(secrets.redacted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)))
+    for i, text in enumerate(texts):
+        out, at = [], 0
+        for kind, a, b in (s.split(":") for s in found[i]["spans"].split(",") if s):
+            if kind != "endpoint":
+                out += [text[at : int(a)], "[REDACTED]"] if int(a) >= at else []
+                at = max(at, int(b))
+        assert clean[i]["text"] == "".join(out) + text[at:]
+
+
+def test_secrets_in_a_text_with_very_many(spark):
+    """60,000 matches in one text: time must not grow with their square."""
+    text = f"user=carol {'0123456789abcdef' * 2} {KEY}\n" * 20_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = secrets.secret_spans(df).first()
+    assert row["n_hex"] == 20_000 and row["spans"].count(",") == 3 * 20_000 - 1
+    assert secrets.redacted(df).first()["text"] == "[REDACTED] [REDACTED] [REDACTED]\n" * 20_000
+    assert time.time() - began < 60
 
 
 def test_pipeline_stages(spark, tmp_path):
