@@ -1,21 +1,23 @@
 """Exact deduplication as a stateful stream.
 
-Documents are reduced to a journal (digest of the normalised text, stable identifier, content
-locator). A stream over the journal keeps one entry per digest in a disk-backed state store
-(RocksDB), without expiry: the smallest identifier seen, where its text lies, and a count. A later
-run over the same state folder carries on from there. Where a digest was hit, the full normalised
-texts are compared with that of the row that stays; texts that differ in spite of equal digests are
-grouped by their bytes.
+Each run writes its rows (identifier, digest of the normalised text, the text) under a numbered folder
+of the journal. A stream over the journal, without the texts, keeps one entry per digest in a
+disk-backed state store (RocksDB), without expiry: the smallest identifier seen, the locator of its
+content (run and row), and a count. Another run with the same ``state`` folder carries on from
+there: its texts are grouped with those of earlier runs. Where a digest was hit, the full texts are
+compared with the one that the entry's locator leads to, in whatever run it lies; texts that differ in
+spite of equal digests are grouped by their bytes.
 
 Only DataFrame and SQL functions run on rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SMALL, cut, shared_dir, text_of, without, written
+from .common import cut, shared_dir, text_of, without, written
 
 #: Many partitions hold little state each, so their logs take no disk in advance.
 STATE = {
@@ -24,96 +26,122 @@ STATE = {
 }
 #: A single blank needs no replacing, so the pattern passes it by.
 RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
+ROWS = "id long, row long, digest string"
+FIRST = "struct<none: boolean, id: long, run: int, row: long>"
 
 
-def normalised(column: str = "text"):
+def normalised(column: str = "text") -> Column:
     """A text with each run of ASCII white space as one blank; null as empty."""
     return F.regexp_replace(text_of(column), RUN, " ")
 
 
-def absorb(spark: SparkSession, journal: str, schema, state: str, out: str) -> DataFrame:
-    """Streams new files of ``journal`` into the state kept under ``state``; the groups so far.
+def digest_of(text: Column) -> Column:
+    return F.sha2(text, 256)
 
-    Each micro-batch writes the groups it changed under ``out``, in a folder of its own number, so a
-    batch that runs again overwrites itself.
+
+def first_of_all() -> Column:
+    """The row that stays: with an identifier, the smallest one, of the earliest run."""
+    return F.min(F.struct(F.col("id").isNull().alias("none"), "id", "run", "row"))
+
+
+def journalled(spark: SparkSession, journal: str, schema: str) -> DataFrame:
+    """Rows of all runs, with ``run``; none if nothing was written yet."""
+    try:
+        return spark.read.schema(schema + ", run int").parquet(journal)
+    except AnalysisException:  # no such folder
+        return spark.createDataFrame([], schema + ", run int")
+
+
+def absorb(spark: SparkSession, state: str) -> DataFrame:
+    """Streams what is new in the journal into the state; all groups so far: ``digest``, ``first``, ``n``.
+
+    Each micro-batch writes the groups it changed in a folder of its own number, so a batch that runs
+    again overwrites itself.
     """
+    kind = f"digest string, first {FIRST}, n long"
+    spark.createDataFrame([], kind).write.mode("overwrite").parquet(f"{state}/groups/batch=-1")
     before = {name: spark.conf.get(name, None) for name in STATE}
     for name, value in STATE.items():
         spark.conf.set(name, value)
     try:
-        first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "locator")).alias("first")
-        groups = spark.readStream.schema(schema).parquet(journal).groupBy("digest").agg(first, F.count(F.lit(1)).alias("n"))
+        groups = spark.readStream.schema(ROWS + ", run int").parquet(f"{state}/journal").groupBy("digest").agg(first_of_all().alias("first"), F.count(F.lit(1)).alias("n"))
 
         def keep(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+            batch.write.mode("overwrite").parquet(f"{state}/groups/batch={number}")
 
-        groups.writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+        groups.writeStream.outputMode("update").option("checkpointLocation", f"{state}/stream").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     finally:
         for name, value in before.items():
             spark.conf.set(name, value) if value else spark.conf.unset(name)
-    kind = "digest string, first struct<none: boolean, id: long, row: long, locator: string>, n long, batch int"
-    spark._jvm.org.apache.hadoop.fs.Path(out).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(out))
-    return spark.read.schema(kind).parquet(out).groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n"))
+    return spark.read.schema(kind + ", batch int").parquet(f"{state}/groups").groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n"))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state: str | None = None) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state: str | None = None, run: int | None = None) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Texts are equal if they are after each run of ASCII white space became one blank; null counts as
-    empty. Of equal texts the row with the smallest id stays; of rows that repeat id and text, one
-    stays; a row without id stays only if no equal text has one. An empty table gives an empty table;
-    other columns of ``docs`` are not read.
+    empty, very long texts are taken whole. Of equal texts the row with the smallest id stays; of rows that
+    repeat id and text, one stays; a row without id stays only if no equal text has one. An empty table gives
+    an empty table; other columns of ``docs`` are not read.
+
+    With ``state``, a folder that is kept, all rows of earlier runs count too (a row of an earlier run stays
+    before one that repeats its id). ``run`` numbers a run, by default as the next one; a number that was
+    used already is not written again: its rows are judged anew against all that has come since.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), normalised(text_col).alias("text"))
-    path = shared_dir(spark, "journal")
-    source.select("id", F.monotonically_increasing_id().alias("row"), F.sha2("text", 256).alias("digest"), F.input_file_name().alias("locator")).write.parquet(path)
-    schema = "id long, row long, digest string, locator string"
-    journal = spark.read.schema(schema).parquet(path)
-    groups = written(absorb(spark, path, schema, state or shared_dir(spark, "state"), shared_dir(spark, "groups")), "groups")
-
-    hit = groups.where("n > 1")
-    found = journal.join(groups, "digest").select("id", "row", F.col("digest").alias("text_sha256"), F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), F.col("n").alias("group_size"))
-    odd = _differing(source, journal, hit)
+    state = state or shared_dir(spark, "exact")
+    journal, schema = f"{state}/journal", ROWS + ", text string"
+    known = {r["run"] for r in journalled(spark, journal, ROWS).select("run").distinct().collect()}
+    run = max(known, default=0) + 1 if run is None else run
+    if run not in known:
+        source = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), normalised(text_col).alias("text"))
+        source.select("id", "row", digest_of(F.col("text")).alias("digest"), "text").write.mode("overwrite").parquet(f"{journal}/run={run}")
+    groups = written(absorb(spark, state), "groups")
+    rows = journalled(spark, journal, schema)
+    own = rows.where(F.col("run") == run)
+    found = own.join(groups, "digest").select("id", "row", "digest", "first", F.col("n").alias("group_size"))
+    odd = _differing(rows, own, groups)
     if not odd.isEmpty():
-        found = _regrouped(found, odd)
-    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
+        found = _regrouped(found, rows, own, odd)
+    kept = (F.col("first.run") == run) & (F.col("first.row") == F.col("row"))
+    return found.select(F.col("id").alias(id_col), F.col("first.id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def _differing(source: DataFrame, journal: DataFrame, hit: DataFrame) -> DataFrame:
-    """Rows ``(id, digest, text)`` whose text differs from that of the row that stays, for equal digests."""
-    members = journal.join(hit.select("digest"), "digest").select("id").distinct()
-    if (hit.agg(F.sum("n")).first()[0] or 0) <= SMALL:
-        members = F.broadcast(members)
-    texts = source.join(members, "id", "left_semi")
-    texts = written(texts.withColumn("digest", F.sha2("text", 256)), "hits")
-    keepers = texts.join(hit.select("digest", F.col("first.id").alias("id")), ["digest", "id"]).groupBy("digest").agg(F.min("text").alias("kept_text"))
-    keepers = written(keepers, "kept-texts")  # so that the join stands on two plain shuffles, and a large group can be split
-    return written(texts.join(keepers, "digest").where(F.col("text") != F.col("kept_text")).select("id", "digest", "text"), "differing")
+def _differing(rows: DataFrame, own: DataFrame, groups: DataFrame) -> DataFrame:
+    """Digests under which a text of this run differs from the one that the group's locator leads to."""
+    hit = groups.where("n > 1").select("digest", F.col("first.run").alias("run"), F.col("first.row").alias("row"))
+    hit = written(hit.join(own.select("digest").distinct(), "digest", "left_semi"), "hits")
+    runs = [r["run"] for r in hit.select("run").distinct().collect()]  # one number a run
+    located = rows.where(F.col("run").isin(runs)).join(hit, ["digest", "run", "row"]).select("digest", F.col("text").alias("kept_text"))
+    # Both sides are written, so that the join stands on two plain shuffles, and a large group can be split.
+    located = written(located, "kept-texts")
+    texts = written(own.join(hit.select("digest"), "digest", "left_semi").select("digest", "text"), "hit-texts")
+    return written(texts.join(located, "digest").where(F.col("text") != F.col("kept_text")).select("digest").distinct(), "differing")
 
 
-def _regrouped(found: DataFrame, odd: DataFrame) -> DataFrame:
-    """Groups of texts that share a digest with another text, by their bytes."""
-    own = odd.groupBy("digest", "text").agg(F.min("id").alias("own_keep"), F.count(F.lit(1)).alias("own_size"))
-    rows = odd.join(own, ["digest", "text"]).select("id", F.col("digest").alias("text_sha256"), "own_keep", "own_size").dropDuplicates(["id", "text_sha256"])
-    less = odd.groupBy(F.col("digest").alias("text_sha256")).agg(F.count(F.lit(1)).alias("less"))
-    joined = found.join(rows, ["id", "text_sha256"], "left").join(less, "text_sha256", "left")
-    stays = F.when(F.col("own_keep").isNull(), F.col("keep_row")).when(F.col("own_keep") == F.col("id"), F.col("row"))
-    size = F.coalesce("own_size", F.col("group_size") - F.coalesce("less", F.lit(0)))
-    return joined.select("id", "row", "text_sha256", F.coalesce("own_keep", "keep_id").alias("keep_id"), stays.alias("keep_row"), size.alias("group_size"))
+def _regrouped(found: DataFrame, rows: DataFrame, own: DataFrame, odd: DataFrame) -> DataFrame:
+    """``found`` with the rows of the digests ``odd`` grouped by their bytes, over all runs."""
+    groups = rows.join(odd, "digest", "left_semi").groupBy("digest", "text").agg(first_of_all().alias("first"), F.count(F.lit(1)).alias("group_size"))
+    right = own.join(odd, "digest", "left_semi").join(groups, ["digest", "text"]).select("id", "row", "digest", "first", "group_size")
+    return found.join(odd, "digest", "left_anti").unionByName(right)
 
 
 def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``exact_duplicates`` keeps."""
+    """The rows of ``docs``, with all their columns, that ``exact_duplicates`` keeps.
+
+    Rows that share an id and a text are one row here, whichever of them comes; null ids and ids on
+    several texts are told apart by their texts. Other columns are carried along, whatever their names.
+    """
     found = written(exact_duplicates(docs, id_col, text_col), "exact")
     ids = found.groupBy(id_col).agg(F.count_if("kept").alias("stay"), F.count_if(~F.col("kept")).alias("go")).where("go > 0")
-    # Null ids, and ids that stand on rows that go and rows that stay, are told apart by their texts.
-    unclear = cut(ids.where(F.col("stay").cast("boolean") | F.col(id_col).isNull()).select(id_col))
+    unclear = cut(ids.where(F.col("stay").cast("boolean") | F.col(id_col).isNull()).select(F.col(id_col).alias("id")))
     rest = without(docs, ids.where(F.col(id_col).isNotNull()), id_col)
     if unclear.isEmpty():
         return rest
-    digest = F.sha2(normalised(text_col), 256)
-    some = docs.join(unclear, docs[id_col].eqNullSafe(unclear[id_col]), "left_semi").withColumn("__digest", digest)
-    stay = found.where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    some = some.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi")
-    return rest.where(F.col(id_col).isNotNull() | (F.lit(unclear.where(F.col(id_col).isNull()).isEmpty()))).unionByName(some.dropDuplicates([id_col, "__digest"]).select(docs.columns))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), F.col(id_col).cast("long").alias("id"), digest_of(normalised(text_col)).alias("digest"))
+    stay = found.where("kept").select(F.col(id_col).alias("stays"), F.col("text_sha256").alias("sha")).distinct()
+    some = held.join(unclear.select(F.col("id").alias("open")), F.col("id").eqNullSafe(F.col("open")), "left_semi")
+    some = some.join(stay, F.col("id").eqNullSafe(F.col("stays")) & (F.col("digest") == F.col("sha")), "left_semi").dropDuplicates(["id", "digest"])
+    if not unclear.where("id is null").isEmpty():
+        rest = rest.where(F.col(id_col).isNotNull())
+    return rest.unionByName(some.select(*[F.col(f"held.`{c}`").alias(c) for c in docs.columns]))

@@ -198,11 +198,40 @@ def test_exact_dedup_edges(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == sum(r["kept"] for r in found)
 
 
+def groups_by_hand(rows):
+    """(keep_id, size, number of the row that stays) of each of ``rows`` (run, id, text)."""
+    groups = defaultdict(list)
+    for n, (run, i, text) in enumerate(rows):
+        groups[re.sub("[ \t-\r]+", " ", text or "")].append((i is None, i or 0, run, n))
+    first = {t: min(g) for t, g in groups.items()}
+    return [(None if first[t][0] else first[t][1], len(groups[t]), first[t][3]) for t in (re.sub("[ \t-\r]+", " ", t or "") for _, _, t in rows)]
+
+
+def run_by_run(spark, runs, state):
+    """After each run, its rows against all that came so far."""
+    kind, sofar = "doc_id long, text string", []
+    for number, run in enumerate(runs, 1):
+        df = spark.createDataFrame(run, kind).repartition(2)
+        found = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(df, state=state).collect()]
+        sofar += [(number, i, t) for i, t in run]
+        right = groups_by_hand(sofar)
+        own = [n for n, r in enumerate(sofar) if r[0] == number]
+        assert sorted((f[:3] for f in found), key=repr) == sorted(((sofar[n][1], *right[n][:2]) for n in own), key=repr)
+        assert sum(f[3] for f in found) == len({right[n][2] for n in own if right[n][2] in own})
+        again = exact_dedup.exact_duplicates(df, state=state, run=number)
+        assert sorted(map(repr, found)) == sorted(repr((r["doc_id"], r["keep_id"], r["group_size"], r["kept"])) for r in again.collect())
+
+
+RUNS = [[(5, "a"), (7, "b"), (None, "n")], [(5, "a"), (6, "b  c"), (3, "b"), (None, "n")], [(9, "a"), (8, "b\tc"), (1, "new"), (2, "n"), (7, "b")], []]
+
+
 def test_exact_dedup_carries_on_from_state(spark, tmp_path):
-    state = f"file://{tmp_path}/state"
-    kind = "doc_id long, text string"
-    exact_dedup.exact_duplicates(spark.createDataFrame([(5, "a"), (7, "b")], kind), state=state).collect()
-    assert (tmp_path / "state" / "state").exists()
+    run_by_run(spark, RUNS, f"file://{tmp_path}/state")
+
+
+def test_exact_dedup_compares_bytes_where_digests_collide(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda text: F.length(text).cast("string"))
+    run_by_run(spark, RUNS, f"file://{tmp_path}/state")
 
 
 def test_minhash_against_brute_force(spark, odd, empty):
