@@ -4,14 +4,18 @@
    signature of ``COORDINATES`` minima. Documents of equal sets form a class; from here on one
    document stands for it.
 2. Each (coordinate, value) is a posting list. A document whose signature has fewer than ``MATCHES``
-   values that any other document shares can't reach the match threshold and is skipped. Of the
-   others only the prefix is posted: the rarest of the shared values, as many as are needed for two
-   documents of ``MATCHES`` collisions to meet in at least one list.
-3. Documents that meet in a list, directly or through others, form a candidate group. Groups are dealt
-   out in blocks of bounded size; a task gets a pair of blocks, counts signature collisions, skips
-   pairs already connected, and confirms the rest on the full sets. It returns a spanning forest of
-   its links, never the pairs of a group.
-4. Components of the links, spread over the classes.
+   values that any other document shares can't reach the match threshold and is skipped. Of the others
+   only the prefix is posted: the rarest of the shared values, so many that two documents of
+   ``MATCHES`` collisions meet in at least ``SEEN`` lists.
+3. Lists are merged. In lists of up to ``SHORT`` documents collisions are counted pair by pair; pairs seen
+   in ``SEEN`` of them become candidates. A longer list joins all its documents to its first one, so
+   its length costs no more than its rows. What is joined forms a group.
+4. In a large group all are compared with its most central document first, row by row. Only documents that
+   are not linked with it then ask the others.
+5. A task gets some small groups, or two blocks of a large one. It walks lists of rare shingles from their
+   most central member, skips pairs already connected, asks for ``MATCHES`` collisions, and confirms on
+   full sets. It returns a spanning forest of its links, never the pairs of a group.
+6. Components of the links, spread over the classes.
 """
 
 from __future__ import annotations
@@ -20,19 +24,23 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL, WordTable, cut, mixed, text_of, without, written
+from .common import SMALL, WordTable, by_text, cut, mixed, text_of, without, written
 from .components import connected_components
 
 WORDS, COORDINATES = 5, 48
 #: Collisions that a pair needs to be compared; at a similarity of 0.75, 36 are expected and under 16 have a probability of 2.3e-10.
 MATCHES = 16
-#: Shingles in a block of a candidate group.
-BLOCK = 1_500_000
+#: Lists in which a pair must be seen, and documents in a list whose pairs are counted.
+SEEN, SHORT = 4, 32
+#: Shingles in a block of a large group; documents of a small group, and of the small groups that go to a task together.
+BLOCK, FEW = 600_000, 200
+#: Shingles of central documents that are broadcast at most (32 MB).
+CENTRAL = 4_000_000
 
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,60 +74,121 @@ def signature(found: np.ndarray) -> np.ndarray:
     return low.astype(np.uint32)
 
 
-def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+def digest(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
+def _sketches(batches) -> Iterator[list]:
+    for ids, texts in batches:
         out = []
-        for text in batch["text"]:
+        for text in texts:
             found = shingles(text)
-            if len(found):
-                out.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), signature(found).view(np.int32)))
-            else:
-                out.append((0, None, None))
-        made = pd.DataFrame(out, columns=["n_shingles", "digest", "coordinates"])
-        made.insert(0, "id", batch["id"].to_numpy())
-        yield made
+            out.append((len(found), digest(found), signature(found).view(np.int32)) if len(found) else (0, None, None))
+        yield [ids, *map(list, zip(*out))]
 
 
 def _postings(values: DataFrame) -> DataFrame:
-    """Documents that share at least ``MATCHES`` values with others: ``id`` and those values, rarest first."""
+    """Documents that share at least ``MATCHES`` values with others: ``node`` and those values with their numbers of documents, rarest first."""
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return values.join(shared, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("posted")).where(F.size("posted") >= MATCHES)
+    return values.join(shared, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("posted")).where(F.size("posted") >= MATCHES)
+
+
+def _met(posted: DataFrame) -> DataFrame:
+    """Edges ``(src, dst)`` that connect every two documents of ``MATCHES`` collisions.
+
+    Of their shared values the ``SEEN`` rarest are in both prefixes. If all of these lists are short, the
+    pair is counted in each; else a long one joins both.
+    """
+    prefix = posted.select("node", F.explode(F.slice("posted", F.lit(1), F.size("posted") - MATCHES + SEEN)).alias("p")).select("node", "p.value", "p.n")
+    lists = prefix.where(F.col("n") <= SHORT).groupBy("value").agg(F.array_sort(F.collect_list("node")).alias("nodes"))  # SHORT nodes at most
+    pairs = F.flatten(F.transform("nodes", lambda a, i: F.transform(F.slice("nodes", i + 2, F.lit(SHORT)), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
+    seen = lists.select(F.explode(pairs).alias("p")).groupBy("p.src", "p.dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SEEN)
+    long = prefix.where(F.col("n") > SHORT)
+    first = long.groupBy("value").agg(F.min("node").alias("first"))
+    stars = long.join(first, "value").where("node != first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
+    return seen.select("src", "dst").unionByName(stars)
 
 
-def _links(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the links within a block, or between two, of a candidate group."""
-    _, lo, hi = key
-    pdf = pdf.sort_values(["n", "id"], ascending=[False, True])
-    ids, block = pdf["id"].to_numpy(), pdf["block"].to_numpy()
-    sets = [np.frombuffer(b, np.uint64) for b in pdf["shingles"]]
-    sizes = np.array([len(s) for s in sets])
+def forest(values: np.ndarray, sizes: np.ndarray, signatures: np.ndarray, core: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links among documents whose sets lie one after the other in ``values``.
+
+    Documents marked ``core`` are connected already. Each document posts its rarest shingles, as many as
+    two linked documents must share one of. Round by round the first member of each list is compared with
+    the list's other members that are not connected with it, and leaves the list; lists whose members
+    are all connected are done.
+    """
+    n = len(sizes)
     ends = np.cumsum(sizes)
-    _, dense = np.unique(np.concatenate(sets), return_inverse=True)
-    sets = np.split(dense.astype(np.int32), ends[:-1])
-    signatures = np.stack(pdf["coordinates"].to_list())
-    here = np.zeros(int(dense.max()) + 1, bool)
-    label = np.arange(len(ids))
-    # Those that collide most with all others come first: they connect the most.
-    order = np.argsort(-_popular(signatures), kind="stable")
-    out, waiting = [], np.ones(len(ids), bool)
-    for a in order:
-        waiting[a] = False
-        other = np.flatnonzero(waiting & (label != label[a]))
-        if lo != hi:
-            other = other[block[other] != block[a]]
-        small, large = np.minimum(sizes[other], sizes[a]), np.maximum(sizes[other], sizes[a])
-        other = other[100 * small >= 75 * large]
-        other = other[(signatures[other] == signatures[a]).sum(axis=1) >= MATCHES]
-        if not len(other):
-            continue
-        here[sets[a]] = True
-        both = np.add.reduceat(here[np.concatenate([sets[k] for k in other])], np.concatenate([[0], np.cumsum(sizes[other])[:-1]]), dtype=np.int64)
-        here[sets[a]] = False
-        for b in other[100 * both >= 75 * (sizes[other] + sizes[a] - both)]:
-            if label[b] != label[a]:
-                out.append((ids[a], ids[b]))
+    owner = np.repeat(np.arange(n), sizes)
+    _, code, held = np.unique(values, return_inverse=True, return_counts=True)
+    order = np.lexsort((code, held[code], owner))
+    code = code[order].astype(np.int32)  # the shingles of each document, rarest first
+    rank = np.arange(len(code)) - np.repeat(ends - sizes, sizes)
+    posted = (rank < np.repeat(sizes - (3 * sizes + 3) // 4 + 1, sizes)) & (held[code] > 1)
+    lists, member = code[posted], owner[posted]
+    order = np.lexsort((-_popular(signatures)[member], lists))
+    lists, member = lists[order], member[order]
+    here = np.zeros(len(held), bool)
+    label = np.arange(n)
+    if core.any():
+        label[core] = np.flatnonzero(core)[0]
+    out, failed = [], np.zeros(0, np.int64)
+    while len(lists):
+        heads = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+        lengths = np.diff(np.r_[heads, len(lists)])
+        own = label[member]
+        open_ = np.repeat(np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads), lengths)
+        leads = np.repeat(member[heads], lengths)
+        a, b = leads[open_], member[open_]
+        pairs = np.unique((np.minimum(a, b) * n + np.maximum(a, b))[label[a] != label[b]])
+        pairs = pairs[~np.isin(pairs, failed, assume_unique=True)]
+        good = _confirmed(pairs // n, pairs % n, code, ends, sizes, signatures, here)
+        failed = np.union1d(failed, pairs[~good])
+        for pair in pairs[good].tolist():
+            a, b = divmod(pair, n)
+            if label[a] != label[b]:
+                out.append((a, b))
                 label[label == label[b]] = label[a]
-    return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
+        open_[heads] = False
+        lists, member = lists[open_], member[open_]
+    return out
+
+
+def _confirmed(a: np.ndarray, b: np.ndarray, code: np.ndarray, ends: np.ndarray, sizes: np.ndarray, signatures: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """Which of the pairs are linked: by size, by signature collisions, and then by their full sets."""
+    small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+    good = 100 * small >= 75 * large
+    for at in range(0, len(a), 50_000):
+        part = slice(at, at + 50_000)
+        good[part] &= (signatures[a[part]] == signatures[b[part]]).sum(axis=1) >= MATCHES
+    left = np.flatnonzero(good)
+    # The more frequent document of each pair is marked, the others are counted against it.
+    many = np.bincount(np.concatenate([a[left], b[left]]), minlength=len(sizes))
+    swap = many[a[left]] < many[b[left]]
+    one, other = np.where(swap, b[left], a[left]), np.where(swap, a[left], b[left])
+    order = np.argsort(one, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(one[order])) + 1) if len(order) else []:
+        lead = one[group[0]]
+        own = code[ends[lead] - sizes[lead] : ends[lead]]
+        here[own] = True
+        for at in range(0, len(group), 256):
+            part = group[at : at + 256]
+            members = other[part]
+            starts = np.cumsum(np.r_[0, sizes[members]])
+            both = np.add.reduceat(here[np.concatenate([code[ends[m] - sizes[m] : ends[m]] for m in members])], starts[:-1], dtype=np.int64)
+            good[left[part]] = 100 * both >= 75 * (sizes[members] + sizes[lead] - both)
+        here[own] = False
+    return good
+
+
+def _links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    nodes, at = np.unique(table["node"].to_numpy(), return_index=True)  # a row that repeats comes once
+    table = table.take(pa.array(at))
+    sets, signatures = table["shingles"].combine_chunks(), table["coordinates"].combine_chunks()
+    sizes = np.diff(sets.offsets.to_numpy())
+    found = forest(sets.flatten().to_numpy(), sizes, signatures.flatten().to_numpy().reshape(-1, COORDINATES), table["core"].to_numpy(zero_copy_only=False))
+    pairs = nodes[np.array(found, np.int64).reshape(-1, 2)]
+    return pa.table({"src": pa.array(pairs[:, 0], pa.int64()), "dst": pa.array(pairs[:, 1], pa.int64())})
 
 
 def _popular(signatures: np.ndarray) -> np.ndarray:
@@ -131,52 +200,95 @@ def _popular(signatures: np.ndarray) -> np.ndarray:
     return total
 
 
+def _central_links(large: DataFrame) -> DataFrame:
+    """Documents of large groups with ``core``: whether they are linked with the group's most central document, ``central``."""
+    central = large.groupBy("group").agg(F.max(F.struct("popularity", "node"))["node"].alias("node"))
+    lead = large.join(central, ["group", "node"]).dropDuplicates(["group"]).select("group", F.col("node").alias("central"), F.col("shingles").alias("own"))
+    lead = written(lead, "central")
+    if (lead.agg(F.sum(F.size("own"))).first()[0] or 0) <= CENTRAL:
+        lead = F.broadcast(lead)
+    both = F.size(F.array_intersect("shingles", "own"))
+    core = 100 * both >= 75 * (F.size("shingles") + F.size("own") - both)
+    return large.join(lead, "group").withColumn("core", core).drop("own")
+
+
+def _dealt(large: DataFrame) -> DataFrame:
+    """Documents of large groups by task ``(group, lo, hi)``: two blocks of documents outside the core, or one of these and one of the core.
+
+    Groups that are all core need no task. Blocks hold ``BLOCK`` shingles; those of the core are smaller
+    where few documents ask them, as every task holds both.
+    """
+    sums = [F.sum(F.when(c, v)).alias(name) for c, side in ((~F.col("core"), "u"), (F.col("core"), "c")) for v, name in ((F.lit(1), f"{side}_docs"), (F.size("shingles"), f"{side}_shingles"))]
+    sizes = large.groupBy("group").agg(*sums).where("u_docs > 0")
+    ask = F.greatest(F.ceil(F.col("u_shingles") / BLOCK), F.ceil(F.col("u_docs") / 50_000))
+    core = F.greatest(F.ceil(F.col("c_shingles") / BLOCK), F.least(F.ceil(F.col("c_docs") / FEW), F.ceil(F.col("c_docs") / (2 * F.col("u_docs")))))
+    blocks = sizes.select("group", ask.cast("int").alias("us"), F.coalesce(core, F.lit(0)).cast("int").alias("cs"))
+    placed = large.join(blocks, "group").withColumn("at", F.expr("cast(if(core, us + pmod(xxhash64(node), cs), pmod(xxhash64(node), us)) as int)"))
+    alone = F.expr("us + cs = 1")
+    asks = F.filter(F.sequence(F.lit(0), F.expr("us + cs - 1")), lambda j: alone | (j != F.col("at")))
+    tasks = F.when(F.col("core"), F.sequence(F.lit(0), F.col("us") - 1)).otherwise(asks)
+    return placed.withColumn("with", F.explode(tasks)).select("group", F.least("at", "with").alias("lo"), F.greatest("at", "with").alias("hi"), "node", "core", "coordinates", "shingles")
+
+
+def _links_of(members: DataFrame) -> DataFrame:
+    """Links ``(src, dst)`` within the groups of ``members`` (group, node, popularity, coordinates, shingles)."""
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("shingles")).alias("total"))
+    few = (F.col("docs") <= FEW) & (F.col("total") <= BLOCK)
+    small = members.join(sizes.where(few), "group")
+    row = sizes.where(few).agg(F.sum("docs").alias("docs"), F.sum("total").alias("total")).first()
+    bins = max(1, -(-(row["docs"] or 0) // FEW), -(-(row["total"] or 0) * 2 // BLOCK))
+    binned = small.select((-1 - F.expr(f"pmod(xxhash64(group), {bins})")).alias("group"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", F.lit(False).alias("core"), "coordinates", "shingles")
+    large = written(_central_links(members.join(sizes.where(~few).select("group"), "group")), "large-groups")
+    central = large.where("core and node != central").select(F.col("node").alias("src"), F.col("central").alias("dst"))
+    tasks = binned.unionByName(_dealt(large)).groupBy("group", "lo", "hi")
+    return central.unionByName(tasks.applyInArrow(_links, "src long, dst long"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``, ``kept``.
 
     Texts are linked if their sets of 5-word shingles (A-Z lower-cased, ASCII white space) have a Jaccard
     similarity of 0.75 or more; a component holds what is linked directly or through others and is
     named by its smallest id, whose row stays. Null and white-space texts have no shingles and no links.
-    Rows of a null id are linked with nothing, have a null component and stay. Rows that share an id are
-    each judged by their own text. An empty table gives an empty table; other columns of ``docs`` are not read.
+    Very long texts are read whole. Rows of a null id are linked with nothing, have a null component and
+    stay. Rows that share an id are each judged by their own text. An empty table gives an empty table;
+    other columns of ``docs`` are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    sketch = written(texts.mapInPandas(_sketches, "id long, n_shingles long, digest binary, coordinates array<int>"), "sketches")
+    sketch = written(by_text(texts, _sketches, "id long, n_shingles long, digest binary, coordinates array<int>", "id", "text"), "sketches")
     sets = sketch.where("id is not null and digest is not null")
-    classes = written(sets.groupBy("digest").agg(F.min("id").alias("node"), F.first("coordinates").alias("coordinates"), F.first("n_shingles").alias("n")), "classes")
+    grouped = sets.groupBy("digest").agg(F.min("id").alias("id"), F.first("coordinates").alias("coordinates"))
+    classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    values = classes.select(F.col("node").alias("id"), F.posexplode("coordinates").alias("at", "v")).select("id", (F.col("at").cast("long") * F.lit(1 << 32) + F.col("v")).alias("value"))
+    values = classes.select("node", F.posexplode("coordinates").alias("at", "v")).select("node", (F.col("at").cast("long") * F.lit(1 << 32) + F.col("v")).alias("value"))
     posted = cut(_postings(values))
-    posted = cut(_postings(posted.select("id", F.explode("posted.value").alias("value"))))  # again, without those skipped
-    prefix = posted.select("id", F.explode(F.slice("posted.value", F.lit(1), F.size("posted") - MATCHES + 1)).alias("value"))
-    first = prefix.groupBy("value").agg(F.min("id").alias("first"))
-    met = prefix.join(first, "value").where("id != first").select(F.col("id").alias("src"), F.col("first").alias("dst"))
-    groups = connected_components(met)
-
-    sized = classes.join(groups, "node").select("node", "coordinates", "n", F.col("component").alias("group"))
-    blocks = sized.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    members = cut(sized.join(blocks, "group").withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int")))
+    posted = cut(_postings(posted.select("node", F.explode("posted.value").alias("value"))))  # again, without those skipped
+    groups = connected_components(_met(posted))
+    popularity = posted.select("node", F.aggregate("posted", F.lit(0).cast("long"), lambda s, p: s + p["n"]).alias("popularity"))
+    members = cut(classes.join(groups, "node").join(popularity, "node").select("node", "id", "digest", "coordinates", F.col("component").alias("group"), "popularity"))
     n_members = members.count()
-    side = F.broadcast(members.select("node")) if n_members <= SMALL else members.select("node")
+    asked = members.select("id", "node", "digest")
 
-    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                yield pd.DataFrame({"node": part["node"], "shingles": [shingles(t).tobytes() for t in part["text"]]})
-
-    own = texts.withColumnRenamed("id", "node").join(side, "node").mapInPandas(shingled, "node long, shingles binary")
-    dealt = (
-        members.join(own, "node")
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("group", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), F.col("node").alias("id"), "n", "block", "coordinates", "shingles")
-    )
-    links = dealt.groupBy("group", "lo", "hi").applyInPandas(_links, "src long, dst long")
-    found = connected_components(links)
-
-    named = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    rows = sketch.join(named, "digest", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
-    return rows.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [shingles(t) for t in part.column("text").to_pylist()]
+                own = pa.array([digest(f) == d for f, d in zip(found, part.column("digest").to_pylist())], pa.bool_())  # an id may stand on other texts, too
+                made = pa.RecordBatch.from_arrays([part.column("node"), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["node", "shingles"])
+                yield made.filter(own)
+
+    found = texts.join(F.broadcast(asked) if n_members <= SMALL else asked, "id").select("node", "digest", "text").mapInArrow(shingled, "node long, shingles array<long>")
+    full = written(members.drop("id", "digest").join(found, "node"), "sets")
+    components = connected_components(_links_of(full))
+
+    placed = classes.select("node", "id", "digest").join(components, "node")
+    smallest = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = classes.select("digest", "id").join(placed.join(smallest, "component").select("digest", "component_id"), "digest", "left")
+    named = named.select("digest", F.coalesce("component_id", "id").alias("component_id"))
+    rows = sets.select("id", "n_shingles", "digest").join(named, "digest").drop("digest")
+    rest = sketch.where("id is null or digest is null").select("id", "n_shingles", F.col("id").alias("component_id"))
+    return rows.unionByName(rest).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

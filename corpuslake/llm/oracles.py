@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import secrets, url_filter
 
 OP6 = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -31,6 +31,41 @@ FROM s LEFT JOIN c ON c.i = s.doc_id
 """
 
 
+def op2() -> str:
+    """Rules, then the two models: counts of every string of up to ORDER + 1 characters, in each half and in both."""
+    order, back = url_filter.ORDER, url_filter.BACK
+    fits = []
+    for verdict, rule in sorted(url_filter.RULES, key=lambda r: -len(r[1])):
+        name, _, prefix = rule.partition("/")
+        fits.append((f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{prefix}')", rule, verdict))
+    sets = {"yes0": "verdict = 'allow' AND half = 0", "no0": "verdict = 'block' AND half = 0", "yes1": "verdict = 'allow' AND half = 1", "no1": "verdict = 'block' AND half = 1", "yes": "verdict = 'allow'", "no": "verdict = 'block'"}
+    counts = ", ".join(f"count(*) FILTER ({cond}) AS {name}" for name, cond in sets.items())
+    levels = []
+    for k in range(order + 1):
+        shorter = {name: f"s.{name}" if k else str(1.0 / url_filter.ALPHABET) for name in sets}
+        chances = ", ".join(f"(c.{name} + {back} * {shorter[name]}) / (t.{name} + {back}) AS {name}" for name in sets)
+        join = f"JOIN p{k - 1} s ON s.seen = substr(c.seen, 2)" if k else ""
+        levels.append(f"""c{k} AS (SELECT right(gram, {k + 1}) AS seen, {counts} FROM g GROUP BY 1),
+t{k} AS (SELECT substr(seen, 1, {k}) AS context, {", ".join(f"sum({n}) AS {n}" for n in sets)} FROM c{k} GROUP BY 1),
+p{k} AS (SELECT c.seen, {chances} FROM c{k} c JOIN t{k} t ON t.context = substr(c.seen, 1, {k}) {join})""")
+    nl = ",\n"
+    return f"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+q AS (SELECT page_id, url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+r AS (SELECT *, CASE {" ".join(f"{c} THEN '{rule}'" for c, rule, _ in fits)} END AS rule, CASE {" ".join(f"{c} THEN '{verdict}'" for c, _, verdict in fits)} END AS verdict FROM q),
+d AS (SELECT DISTINCT url, verdict, CASE WHEN md5(url) < '8' THEN 0 ELSE 1 END AS half, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE url END AS t FROM r),
+x AS (SELECT *, repeat(chr(2), {order}) || t || chr(3) AS padded FROM d),
+g AS (SELECT url, verdict, half, substr(padded, unnest(range(1, length(t) + 2)), {order + 1}) AS gram FROM x),
+{nl.join(levels)},
+s AS (SELECT g.url, any_value(g.verdict) AS verdict, avg(ln(p.yes) - ln(p.no)) AS score, avg(CASE WHEN half = 0 THEN ln(p.yes1) - ln(p.no1) ELSE ln(p.yes0) - ln(p.no0) END) AS held FROM g JOIN p{order} p ON p.seen = g.gram GROUP BY g.url),
+m AS (SELECT avg(held) FILTER (verdict = 'allow') AS a, avg(held) FILTER (verdict = 'block') AS b,
+  coalesce(stddev_samp(held) FILTER (verdict = 'allow'), 0) + 1e-6 AS x, coalesce(stddev_samp(held) FILTER (verdict = 'block'), 0) + 1e-6 AS y FROM s)
+SELECT page_id, host, path, rule, coalesce(r.verdict, CASE WHEN score >= coalesce((a * y + b * x) / (x + y), 0) THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score
+FROM r JOIN s USING (url), m
+"""
+
+
 def _found(kind: str, pattern: str) -> str:
     """Matches and the pieces between them."""
     p = pattern.replace("'", "''")

@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, embedding_dedup, exact_dedup, minhash, oracles, packing, quality, secrets, token_output, toxicity, url_filter
 
@@ -44,7 +45,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judged(table(spark, sf_dir, "pages"))
+    return url_filter.judged(table(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": oracles.OP6, "op9_minhash": oracles.OP9, "op10_secrets": oracles.op10()}
+    return {"op2_url_filter": oracles.op2(), "op6_exact_dedup": oracles.OP6, "op9_minhash": oracles.OP9, "op10_secrets": oracles.op10()}

@@ -4,11 +4,13 @@ Rules name a host and a path prefix. URLs that no rule fits are judged by two sm
 Markov models over characters, one fitted to the URLs that rules allow and one to those that rules
 block. Each character is predicted from up to ``ORDER`` characters before it; counts of longer
 contexts are interpolated with those of shorter ones. The score is the difference of the two
-log-likelihoods by character; the threshold lies between the mean scores of the two fitting sets,
-nearer to the one that scatters less.
+log-likelihoods by character.
 
-Counts are exact and cover all URLs, so the tables grow with the corpus. Joins are on n-grams; those
-that most URLs hold ("://ww") are salted. Only DataFrame functions are used.
+The threshold is calibrated on scores that are held back: URLs with a rule are dealt into two halves by
+their hash, and each half is scored by models fitted to the other. It lies between the mean scores of
+accepted and rejected URLs, nearer to those that scatter less. Models fitted to both halves judge the rest.
+
+Counts are exact and cover all URLs, so the tables grow with the corpus. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ ORDER = 4
 BACK = 2.0
 #: Characters that the empty context spreads its weight over.
 ALPHABET = 256.0
-SALT = 16
 START, END = "\u0002", "\u0003"
 #: Verdict and rule.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -56,33 +57,61 @@ def grams(urls: DataFrame) -> DataFrame:
     return urls.withColumn("gram", F.explode(pieces))
 
 
-def model(counted: DataFrame) -> DataFrame:
-    """Log ratio of each ``gram`` (accepted over rejected) from its counts ``yes`` and ``no``.
+#: Counts of a gram: of the URLs that rules allow and block, in each of the two halves.
+COUNTS = ("yes0", "no0", "yes1", "no1")
 
-    Interpolated from the empty context up: p = (count + BACK * shorter p) / (context's count + BACK).
-    """
-    orders = range(ORDER + 1)
-    parts = counted.select("gram", "yes", "no", F.explode(F.array(*[F.lit(k) for k in orders])).alias("k"))
-    parts = parts.withColumn("seen", F.expr("right(gram, k + 1)")).withColumn("context", F.expr("substring(seen, 1, k)"))
-    seen = parts.groupBy("k", "context", "seen").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    totals = seen.groupBy("k", "context").agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no"))
-    table = seen.join(totals, ["k", "context"]).select("k", "seen", F.struct("yes", "no", "all_yes", "all_no").alias("of"))
-    joined = parts.select("gram", "k", "seen").join(table, ["k", "seen"]).groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("k", "of"))).alias("orders"))
 
-    def chance(count: str, total: str) -> Column:
-        return F.aggregate("orders", F.lit(1.0 / ALPHABET), lambda p, x: (x["of"][count] + BACK * p) / (x["of"][total] + BACK))
+def model(counted: DataFrame) -> DataFrame:
+    """Log ratios of each ``gram`` (accepted over rejected) by the models of each half and of the whole: ``halves``, ``ratio``.
 
-    return joined.select("gram", (F.log(chance("yes", "all_yes")) - F.log(chance("no", "all_no"))).alias("ratio"))
+    Interpolated from the empty context up: p = (count + BACK * shorter p) / (context's count + BACK). Each
+    order's table of distinct strings is joined with that of the next shorter ones, so a key meets at
+    most as many rows as there are characters, however often it occurs.
+    """
+    shorter = None
+    for k in range(ORDER + 1):
+        seen = counted.groupBy(F.expr(f"right(gram, {k + 1})").alias("seen")).agg(*[F.sum(c).alias(c) for c in COUNTS])
+        seen = seen.withColumn("context", F.expr(f"substring(seen, 1, {k})"))
+        totals = seen.groupBy("context").agg(*[F.sum(c).alias(f"all_{c}") for c in COUNTS])
+        rows = seen.join(totals, "context")
+        if shorter is None:
+            rows = rows.withColumn("p", F.array(*[F.lit(1.0 / ALPHABET)] * 6))
+        else:
+            rows = rows.withColumn("tail", F.expr("substring(seen, 2)")).join(shorter, "tail")
+        chances = []
+        for i, parts in enumerate([("yes0",), ("no0",), ("yes1",), ("no1",), ("yes0", "yes1"), ("no0", "no1")]):
+            of, all_of = (sum(F.col(f"{prefix}{c}") for c in parts) for prefix in ("", "all_"))
+            chances.append((of + BACK * F.col("p")[i]) / (all_of + BACK))
+        shorter = rows.select(F.col("seen").alias("tail"), F.array(*chances).alias("p"))
+    ratio = lambda i: F.log(F.col("p")[i]) - F.log(F.col("p")[i + 1])
+    return shorter.select(F.col("tail").alias("gram"), F.array(ratio(0), ratio(2)).alias("halves"), ratio(4).alias("ratio"))
+
+
+def scored(each: DataFrame, counted: DataFrame) -> DataFrame:
+    """Mean ``ratio`` of the grams of each ``key``; a URL of a rule gets that of the half that it is not in as ``held``.
+
+    Grams that stand for more than a thousandth of all occurrences (so fewer than a thousand of them) are
+    broadcast; the others are joined by shuffle, and none of them is hot.
+    """
+    table = written(model(counted).join(counted.select("gram", "n"), "gram"), "url-model")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > total / 1000
+    points = each.select("key", "half", "gram")
+    common = F.broadcast(table.where(hot).drop("n"))
+    joined = points.join(common, "gram").unionByName(points.join(F.broadcast(table.where(hot).select("gram")), "gram", "left_anti").join(table.where(~hot).drop("n"), "gram"))
+    other = F.when(F.col("half") == 0, F.col("halves")[1]).otherwise(F.col("halves")[0])
+    return joined.groupBy("key").agg(F.avg("ratio").alias("score"), F.avg(other).alias("held"))
 
 
 def judged(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of ``pages``: ``id_col``, ``host``, ``path``, ``rule``, ``verdict`` and the model's ``score``.
 
     Null URLs and such without ``://`` have an empty host and path and are scored as their text (null: the
-    empty text). Where rules allow nothing or block nothing the models agree or lean one way, and scores at
-    the threshold are allowed. Equal URLs are scored once; null ids and repeated rows come out as they are;
-    an empty table gives an empty table; other columns of ``pages`` are not read.
+    empty text); very long URLs are read whole. Where rules allow nothing or block nothing the models agree or
+    lean one way, and scores at the threshold are allowed. Equal URLs are scored once; null ids and repeated
+    rows come out as they are; an empty table gives an empty table; other columns of ``pages`` are not read.
     """
+    spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"))
     rows = rows.withColumn("host", host).withColumn("path", path).withColumn("of", ruled(F.col("host"), F.col("path"), rules))
@@ -90,16 +119,17 @@ def judged(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str
     distinct = rows.select("url", F.col("of.verdict").alias("verdict")).distinct()
     at = F.instr("url", "://")
     distinct = distinct.withColumn("text", F.when(at > 0, F.col("url").substr(at + 3, F.length("url"))).otherwise(F.col("url")))
-    distinct = written(distinct.withColumn("key", F.unhex(F.md5("url"))), "urls")
+    distinct = distinct.withColumn("key", F.unhex(F.md5("url"))).withColumn("half", F.when(F.md5("url") < "8", 0).otherwise(1))
+    # A stated number of tasks, so that few bytes of URLs do not become very many grams in one task.
+    distinct = written(distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "url"), "urls")
 
     each = grams(distinct)
-    counted = each.groupBy("gram").agg(F.count_if(F.col("verdict") == "allow").alias("yes"), F.count_if(F.col("verdict") == "block").alias("no"))
-    salted = model(counted).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    points = each.select("key", "gram").withColumn("salt", F.expr(f"pmod(xxhash64(key), {SALT})").cast("int"))
-    scores = points.join(salted, ["gram", "salt"]).groupBy("key").agg(F.avg("ratio").alias("score"))
-    scores = written(distinct.select("url", "verdict", "key").join(scores, "key").drop("key"), "url-scores")
+    of = lambda verdict, half: F.count_if((F.col("verdict") == verdict) & (F.col("half") == half))
+    counts = [of("allow", 0), of("block", 0), of("allow", 1), of("block", 1)]
+    counted = written(each.groupBy("gram").agg(*[c.alias(name) for c, name in zip(counts, COUNTS)], F.count(F.lit(1)).alias("n")), "url-grams")
+    scores = written(distinct.select("url", "verdict", "key").join(scored(each, counted), "key").drop("key"), "url-scores")
 
-    stats = {r["verdict"]: r for r in scores.where("verdict is not null").groupBy("verdict").agg(F.avg("score").alias("mean"), F.coalesce(F.stddev("score"), F.lit(0.0)).alias("spread")).collect()}
+    stats = {r["verdict"]: r for r in scores.where("verdict is not null").groupBy("verdict").agg(F.avg("held").alias("mean"), F.coalesce(F.stddev("held"), F.lit(0.0)).alias("spread")).collect()}
     line = threshold(stats.get("allow"), stats.get("block"))
     found = rows.join(scores.select("url", "score"), "url", "left")
     verdict = F.coalesce("of.verdict", F.when(F.coalesce("score", F.lit(0.0)) >= line, "allow").otherwise("block"))
@@ -107,7 +137,7 @@ def judged(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str
 
 
 def threshold(allowed, blocked) -> float:
-    """Where both fitting sets lie as many spreads away; without one of them, zero."""
+    """Where the held-back scores of both sets lie as many spreads away; without one of the sets, zero."""
     if allowed is None or blocked is None:
         return 0.0
     a, b = allowed["spread"] + 1e-6, blocked["spread"] + 1e-6

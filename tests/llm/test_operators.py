@@ -247,25 +247,9 @@ def test_minhash_against_brute_force(spark, odd, empty):
                 changed[rng.randrange(len(changed))] = rng.choice(words)
             texts[i + k] = "  ".join(changed).upper()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    sets = {}
-    for i, t in texts.items():
-        w = t.lower().split()
-        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)}
-    parent = {i: i for i in texts}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in texts:
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
-                a, b = sorted((root(i), root(j)))
-                parent[b] = a
+    sets = sets_of(texts)
     found = by_id(minhash.near_duplicates(df))
-    assert {i: r["component_id"] for i, r in found.items()} == {i: root(i) for i in texts}
+    assert {i: r["component_id"] for i, r in found.items()} == linked_by_hand(sets)
     assert {i: r["n_shingles"] for i, r in found.items()} == {i: len(s) for i, s in sets.items()}
     assert minhash.near_duplicates(empty).count() == 0 and minhash.near_duplicates(odd).count() == odd.count()
     assert by_id(minhash.near_duplicates(odd))[0]["n_shingles"] == 0
@@ -284,6 +268,80 @@ def test_minhash_links_pairs_that_collide_less_than_expected(spark):
     assert [found[i]["component_id"] for i in range(6)] == [0, 0, 2, 2, 4, 4]
 
 
+def linked_by_hand(sets):
+    """Smallest key reachable from each by links of 75 % similarity; every pair is compared."""
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and (both := len(sets[i] & sets[j])) and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: root(i) for i in sets}
+
+
+def sets_of(texts):
+    out = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        out[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    return out
+
+
+@pytest.mark.parametrize("few, block, short", [(200, 600_000, 32), (8, 600, 3)])
+def test_minhash_of_large_groups_against_brute_force(spark, monkeypatch, few, block, short):
+    """Near copies of one text, chains of texts, and texts that share a boilerplate, in groups above and below the limits."""
+    for name, value in (("FEW", few), ("BLOCK", block), ("SHORT", short)):
+        monkeypatch.setattr(minhash, name, value)
+    rng, texts = random.Random(12), {}
+    fresh = lambda n: [f"t{rng.randrange(10**8)}" for _ in range(n)]
+    base = fresh(60)
+    for _ in range(120):  # near copies of one
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(60)] = fresh(1)[0]
+        texts[len(texts)] = " ".join(w)
+    for _ in range(6):  # chains: each follows from the one before
+        w = fresh(50)
+        for step in range(12):
+            w = w[2:] + fresh(2)
+            texts[len(texts)] = " ".join(w)
+    common = fresh(12)
+    for _ in range(150):  # 8 shingles of 14 to 15 in common
+        texts[len(texts)] = " ".join(common + fresh(rng.choice([6, 7])))
+    ids = list(texts)
+    rng.shuffle(ids)
+    texts = dict(zip(ids, texts.values()))
+    found = by_id(minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)))
+    assert {i: r["component_id"] for i, r in found.items()} == linked_by_hand(sets_of(texts))
+
+
+def test_minhash_texts_with_a_common_part_take_linear_time():
+    """Documents that share 8 of 14 shingles and link nowhere: four times as many must not take sixteen times as long."""
+    rng, took = np.random.default_rng(1), []
+    for n in (5_000, 20_000):
+        own = np.concatenate([np.concatenate([np.arange(8), 100 + i * 6 + np.arange(6)]) for i in range(n)]).astype(np.int64)
+        own = (own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        signatures = rng.integers(0, 50, (n, minhash.COORDINATES)).astype(np.int32)
+        signatures[:, :24] = 7
+        began = time.time()
+        assert minhash.forest(own, np.full(n, 14), signatures, np.zeros(n, bool)) == []
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_minhash_of_ids_on_several_texts(spark):
+    texts = [(1, "a b c d e f g h i j"), (1, "k l m n o p q r s t"), (0, "a b c d e f g h i j"), (2, "k l m n o p q r s t"), (None, "k l m n o p q r s t"), (1, "a b c d e f g h i j")]
+    found = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in found if r["doc_id"] is not None) == [(-1, 0, True), (1, 0, False), (1, 0, False), (1, 1, True), (2, 1, False)]
+    assert [(r["component_id"], r["kept"]) for r in found if r["doc_id"] is None] == [(None, True)]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(1, 200)] + [(7, 7), (None, 3)]
     found = by_id(components.connected_components(spark.createDataFrame(edges, "src long, dst long")), "node")
