@@ -348,30 +348,72 @@ def test_components_of_a_path_and_a_star(spark):
     assert {found[i]["component"] for i in range(101)} == {0} and {found[i]["component"] for i in range(1000, 1200)} == {1000}
 
 
+def planted(rng, groups, n, d):
+    """``n`` vectors around each of ``groups`` centres, so that many cosines lie near 0.9."""
+    centres = rng.normal(size=(groups, d))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    x = np.repeat(centres, n, axis=0)
+    spread = rng.uniform(0.1, 0.4, len(x)) / d**0.5
+    return x + spread[:, None] * rng.normal(size=x.shape)
+
+
 def test_embeddings_against_brute_force(spark):
-    df = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding")
-    bad = spark.createDataFrame([(100_001, None), (100_002, [0.0] * 64), (100_003, [float("nan")] * 64), (100_004, [None] * 64), (100_005, []), (100_006, [1.0, 2.0])], "vec_id long, embedding array<float>")
-    rows = df.collect()
-    x = np.array([r["embedding"] for r in rows], np.float64)
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    ids = np.array([r["vec_id"] for r in rows])
-    close = x @ x.T >= 0.9
+    """Planted groups with cosines on both sides of 0.9; one group of very many; bad vectors; recall of links."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([planted(rng, 700, 5, 64), planted(rng, 1, 900, 64), rng.normal(size=(4000, 64))]).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    bad = [(100_001, None), (100_002, [0.0] * 64), (100_003, [float("nan")] * 64), (100_004, [None] * 64), (100_005, []), (100_006, [1.0, 2.0]), (None, [1.0] * 64)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + bad, "vec_id long, embedding array<float>").repartition(5)
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    close = y @ y.T >= 0.9
     np.fill_diagonal(close, False)
-    label = ids.copy()
-    for _ in range(len(ids)):
-        low = np.array([min([label[i], *label[close[i]]]) for i in range(len(ids))])
+    found = by_id(embedding_dedup.embedding_duplicates(df), "vec_id")
+    links = np.array([found[i]["n_links"] for i in range(len(x))])
+    right = close.sum(axis=1)
+    recall = links.sum() / right.sum()
+    print(f"recall of links {recall:.5f} of {right.sum() // 2}")
+    assert (links <= right).all() and recall >= 0.99
+    label = np.arange(len(x))
+    for _ in range(50):
+        low = np.array([label[close[i]].min(initial=label[i]) for i in range(len(x))])
         if (low == label).all():
             break
         label = low
-    found = by_id(embedding_dedup.embedding_duplicates(df.unionByName(bad).repartition(3)), "vec_id")
-    links = np.array([found[i]["n_links"] for i in ids])
-    assert links.sum() >= 0.9 * close.sum() and (links <= close.sum(axis=1)).all()
-    right = np.mean([found[i]["component_id"] == c for i, c in zip(ids, label)])
-    assert right >= 0.98
-    assert all(found[i]["kept"] and found[i]["n_links"] == 0 for i in range(100_001, 100_007))
+    assert np.mean([found[i]["component_id"] == c for i, c in enumerate(label)]) >= 0.995
+    assert all(found[i]["kept"] and found[i]["n_links"] == 0 for i in [None, *range(100_001, 100_007)])
     assert embedding_dedup.embedding_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_blocks(spark, monkeypatch):
+    """Lists cut into many blocks give what whole lists give."""
+    rng = np.random.default_rng(3)
+    x = planted(rng, 20, 20, 32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, embedding_dedup.embedding_duplicates(df).collect()))
+    monkeypatch.setattr(embedding_dedup, "QUERIES", 7)
+    monkeypatch.setattr(embedding_dedup, "MEMBERS", 11)
+    assert sorted(map(tuple, embedding_dedup.embedding_duplicates(df).collect())) == whole and sum(r[1] for r in whole) > 0
+
+
+def test_product_bounds_lose_nothing():
+    """No pair within the radius is below the bound that its code gives."""
+    rng = np.random.default_rng(8)
+    x = embedding_dedup.unit(planted(rng, 200, 5, 48))
+    own = embedding_dedup.Quantiser(x, len(x))
+    lists, codes, needed = own.code(x, 0.9)
+    products = own.products(x.astype(np.float32), np.array([v[0] for v in lists]), codes)
+    linked = x @ x.T >= 0.9
+    assert (products >= needed[:, None])[linked].all() and (products >= needed[:, None]).mean() < 0.2
+
+
+def test_embeddings_very_small_and_large(spark):
+    """Components whose squares vanish or overflow; a zero of either sign; rows that repeat an id."""
+    rows = [(0, [1e-200, 0.0, 0.0]), (1, [1e200, 1e196, 0.0]), (2, [0.0, 1.0, -0.0]), (3, [-0.0, 1.0, 0.0]), (4, [0.0, 0.0, 5e-324]), (5, [0.3, 0.2, 0.1]), (5, [0.0, 1e-3, 0.0])]
+    found = embedding_dedup.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == [(0, 1, 0), (1, 1, 0), (2, 2, 2), (3, 2, 2), (4, 0, 4), (5, 0, 5), (5, 2, 2)]
+
+
 def test_embeddings_of_every_length_are_searched(spark):
     """Two lengths and a lone vector; id 0 stands on a row of each length, every third vector is a near copy of the one before."""
     rng, rows = np.random.default_rng(4), []
