@@ -39,6 +39,8 @@ MATCHES = 16
 SEEN, SHORT = 4, 32
 #: Shingles in a block of a large group; documents of a small group, and of the small groups that go to a task together.
 BLOCK, FEW = 600_000, 200
+#: Documents in a block of a large group, while that makes at most so many blocks.
+PART, MOST = 300, 16
 #: Shingles of central documents that are broadcast at most (32 MB).
 CENTRAL = 4_000_000
 
@@ -113,9 +115,9 @@ def forest(values: np.ndarray, sizes: np.ndarray, signatures: np.ndarray, core:
     """A spanning forest of the links among documents whose sets lie one after the other in ``values``.
 
     Documents marked ``core`` are connected already. Each document posts its rarest shingles, as many as
-    two linked documents must share one of. Round by round the first member of each list is compared with
-    the list's other members that are not connected with it, and leaves the list; lists whose members
-    are all connected are done.
+    two linked documents must share one of. From the most central one on, each document outside the core is
+    compared with those that it meets in its lists, unless both are connected or have met before. A
+    list whose members are all connected is closed and not walked again.
     """
     n = len(sizes)
     ends = np.cumsum(sizes)
@@ -125,62 +127,49 @@ def forest(values: np.ndarray, sizes: np.ndarray, signatures: np.ndarray, core:
     code = code[order].astype(np.int32)  # the shingles of each document, rarest first
     rank = np.arange(len(code)) - np.repeat(ends - sizes, sizes)
     posted = (rank < np.repeat(sizes - (3 * sizes + 3) // 4 + 1, sizes)) & (held[code] > 1)
-    lists, member = code[posted], owner[posted]
-    order = np.lexsort((-_popular(signatures)[member], lists))
-    lists, member = lists[order], member[order]
-    here = np.zeros(len(held), bool)
-    label = np.arange(n)
+    kinds, own, lengths = np.unique(code[posted], return_inverse=True, return_counts=True)
+    members = np.split(owner[posted][np.argsort(own, kind="stable")], np.cumsum(lengths)[:-1]) if len(kinds) else []
+    lists_of = np.split(own, np.cumsum(np.bincount(owner[posted], minlength=n))[:-1])
+    closed, here, met = np.zeros(len(kinds), bool), np.zeros(len(held), bool), np.zeros(n, bool)
+    label, waiting, out = np.arange(n), np.ones(n, bool), []
     if core.any():
         label[core] = np.flatnonzero(core)[0]
-    out, failed = [], np.zeros(0, np.int64)
-    while len(lists):
-        heads = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
-        lengths = np.diff(np.r_[heads, len(lists)])
-        own = label[member]
-        open_ = np.repeat(np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads), lengths)
-        leads = np.repeat(member[heads], lengths)
-        a, b = leads[open_], member[open_]
-        pairs = np.unique((np.minimum(a, b) * n + np.maximum(a, b))[label[a] != label[b]])
-        pairs = pairs[~np.isin(pairs, failed, assume_unique=True)]
-        good = _confirmed(pairs // n, pairs % n, code, ends, sizes, signatures, here)
-        failed = np.union1d(failed, pairs[~good])
-        for pair in pairs[good].tolist():
-            a, b = divmod(pair, n)
-            if label[a] != label[b]:
-                out.append((a, b))
-                label[label == label[b]] = label[a]
-        open_[heads] = False
-        lists, member = lists[open_], member[open_]
+    for a in np.argsort(-_popular(signatures), kind="stable").tolist():
+        if core[a]:
+            continue
+        waiting[a] = False
+        walked = []
+        for k in lists_of[a].tolist():
+            if not closed[k]:
+                labels = label[members[k]]
+                if (labels == labels[0]).all():
+                    closed[k] = True
+                else:
+                    walked.append(members[k])
+        if not walked:
+            continue
+        met[:] = False
+        met[np.concatenate(walked)] = True
+        other = np.flatnonzero(met & waiting & (label != label[a]))
+        small, large = np.minimum(sizes[other], sizes[a]), np.maximum(sizes[other], sizes[a])
+        other = other[100 * small >= 75 * large]
+        other = other[(signatures[other] == signatures[a]).sum(axis=1) >= MATCHES]
+        if not len(other):
+            continue
+        mine = code[ends[a] - sizes[a] : ends[a]]
+        here[mine] = True
+        for at in range(0, len(other), 512):
+            part = other[at : at + 512]
+            starts = np.cumsum(sizes[part]) - sizes[part]
+            both = np.add.reduceat(here[np.concatenate([code[ends[b] - sizes[b] : ends[b]] for b in part])], starts, dtype=np.int64)
+            for b in part[100 * both >= 75 * (sizes[part] + sizes[a] - both)].tolist():
+                if label[b] != label[a]:
+                    out.append((a, b))
+                    label[label == label[b]] = label[a]
+        here[mine] = False
     return out
 
 
-def _confirmed(a: np.ndarray, b: np.ndarray, code: np.ndarray, ends: np.ndarray, sizes: np.ndarray, signatures: np.ndarray, here: np.ndarray) -> np.ndarray:
-    """Which of the pairs are linked: by size, by signature collisions, and then by their full sets."""
-    small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-    good = 100 * small >= 75 * large
-    for at in range(0, len(a), 50_000):
-        part = slice(at, at + 50_000)
-        good[part] &= (signatures[a[part]] == signatures[b[part]]).sum(axis=1) >= MATCHES
-    left = np.flatnonzero(good)
-    # The more frequent document of each pair is marked, the others are counted against it.
-    many = np.bincount(np.concatenate([a[left], b[left]]), minlength=len(sizes))
-    swap = many[a[left]] < many[b[left]]
-    one, other = np.where(swap, b[left], a[left]), np.where(swap, a[left], b[left])
-    order = np.argsort(one, kind="stable")
-    for group in np.split(order, np.flatnonzero(np.diff(one[order])) + 1) if len(order) else []:
-        lead = one[group[0]]
-        own = code[ends[lead] - sizes[lead] : ends[lead]]
-        here[own] = True
-        for at in range(0, len(group), 256):
-            part = group[at : at + 256]
-            members = other[part]
-            starts = np.cumsum(np.r_[0, sizes[members]])
-            both = np.add.reduceat(here[np.concatenate([code[ends[m] - sizes[m] : ends[m]] for m in members])], starts[:-1], dtype=np.int64)
-            good[left[part]] = 100 * both >= 75 * (sizes[members] + sizes[lead] - both)
-        here[own] = False
-    return good
-
-
 def _links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     nodes, at = np.unique(table["node"].to_numpy(), return_index=True)  # a row that repeats comes once
     table = table.take(pa.array(at))
@@ -202,9 +191,8 @@ def _popular(signatures: np.ndarray) -> np.ndarray:
 
 def _central_links(large: DataFrame) -> DataFrame:
     """Documents of large groups with ``core``: whether they are linked with the group's most central document, ``central``."""
-    central = large.groupBy("group").agg(F.max(F.struct("popularity", "node"))["node"].alias("node"))
-    lead = large.join(central, ["group", "node"]).dropDuplicates(["group"]).select("group", F.col("node").alias("central"), F.col("shingles").alias("own"))
-    lead = written(lead, "central")
+    central = cut(large.groupBy("group").agg(F.max(F.struct("popularity", "node"))["node"].alias("central")))
+    lead = written(large.join(central.select(F.col("central").alias("node"), "central"), "node").dropDuplicates(["group"]).select("group", "central", F.col("shingles").alias("own")), "central")
     if (lead.agg(F.sum(F.size("own"))).first()[0] or 0) <= CENTRAL:
         lead = F.broadcast(lead)
     both = F.size(F.array_intersect("shingles", "own"))
@@ -215,33 +203,41 @@ def _central_links(large: DataFrame) -> DataFrame:
 def _dealt(large: DataFrame) -> DataFrame:
     """Documents of large groups by task ``(group, lo, hi)``: two blocks of documents outside the core, or one of these and one of the core.
 
-    Groups that are all core need no task. Blocks hold ``BLOCK`` shingles; those of the core are smaller
-    where few documents ask them, as every task holds both.
+    Groups that are all core need no task. Blocks hold ``BLOCK`` shingles at most, and where that is less
+    than ``MOST`` blocks ``PART`` documents, so that a group's work is dealt out.
     """
     sums = [F.sum(F.when(c, v)).alias(name) for c, side in ((~F.col("core"), "u"), (F.col("core"), "c")) for v, name in ((F.lit(1), f"{side}_docs"), (F.size("shingles"), f"{side}_shingles"))]
     sizes = large.groupBy("group").agg(*sums).where("u_docs > 0")
-    ask = F.greatest(F.ceil(F.col("u_shingles") / BLOCK), F.ceil(F.col("u_docs") / 50_000))
-    core = F.greatest(F.ceil(F.col("c_shingles") / BLOCK), F.least(F.ceil(F.col("c_docs") / FEW), F.ceil(F.col("c_docs") / (2 * F.col("u_docs")))))
-    blocks = sizes.select("group", ask.cast("int").alias("us"), F.coalesce(core, F.lit(0)).cast("int").alias("cs"))
-    placed = large.join(blocks, "group").withColumn("at", F.expr("cast(if(core, us + pmod(xxhash64(node), cs), pmod(xxhash64(node), us)) as int)"))
+    ask, core = (F.greatest(F.ceil(F.col(f"{side}_shingles") / BLOCK), F.least(F.ceil(F.col(f"{side}_docs") / PART), F.lit(MOST))) for side in "uc")
+    blocks = cut(sizes.select("group", ask.cast("int").alias("us"), F.coalesce(core, F.lit(0)).cast("int").alias("cs")))
+    placed = large.join(_few(blocks), "group").withColumn("at", F.expr("cast(if(core, us + pmod(xxhash64(node), cs), pmod(xxhash64(node), us)) as int)"))
     alone = F.expr("us + cs = 1")
     asks = F.filter(F.sequence(F.lit(0), F.expr("us + cs - 1")), lambda j: alone | (j != F.col("at")))
     tasks = F.when(F.col("core"), F.sequence(F.lit(0), F.col("us") - 1)).otherwise(asks)
     return placed.withColumn("with", F.explode(tasks)).select("group", F.least("at", "with").alias("lo"), F.greatest("at", "with").alias("hi"), "node", "core", "coordinates", "shingles")
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """A table that was computed already, to be broadcast if it has at most ``SMALL`` rows."""
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
 def _links_of(members: DataFrame) -> DataFrame:
     """Links ``(src, dst)`` within the groups of ``members`` (group, node, popularity, coordinates, shingles)."""
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("shingles")).alias("total"))
+    sizes = cut(members.groupBy("group").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("shingles")).alias("total")))
     few = (F.col("docs") <= FEW) & (F.col("total") <= BLOCK)
-    small = members.join(sizes.where(few), "group")
     row = sizes.where(few).agg(F.sum("docs").alias("docs"), F.sum("total").alias("total")).first()
     bins = max(1, -(-(row["docs"] or 0) // FEW), -(-(row["total"] or 0) * 2 // BLOCK))
-    binned = small.select((-1 - F.expr(f"pmod(xxhash64(group), {bins})")).alias("group"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", F.lit(False).alias("core"), "coordinates", "shingles")
-    large = written(_central_links(members.join(sizes.where(~few).select("group"), "group")), "large-groups")
-    central = large.where("core and node != central").select(F.col("node").alias("src"), F.col("central").alias("dst"))
-    tasks = binned.unionByName(_dealt(large)).groupBy("group", "lo", "hi")
-    return central.unionByName(tasks.applyInArrow(_links, "src long, dst long"))
+    many = cut(sizes.where(~few).select("group"))
+    small = members.join(_few(many), "group", "left_anti")
+    tasks = small.select((-1 - F.expr(f"pmod(xxhash64(group), {bins})")).alias("group"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", F.lit(False).alias("core"), "coordinates", "shingles")
+    central = None
+    if not many.isEmpty():
+        large = written(_central_links(members.join(_few(many), "group")), "large-groups")
+        central = large.where("core and node != central").select(F.col("node").alias("src"), F.col("central").alias("dst"))
+        tasks = tasks.unionByName(_dealt(large))
+    links = tasks.groupBy("group", "lo", "hi").applyInArrow(_links, "src long, dst long")
+    return links.unionByName(central) if central is not None else links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,22 +260,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posted = cut(_postings(values))
     posted = cut(_postings(posted.select("node", F.explode("posted.value").alias("value"))))  # again, without those skipped
     groups = connected_components(_met(posted))
-    popularity = posted.select("node", F.aggregate("posted", F.lit(0).cast("long"), lambda s, p: s + p["n"]).alias("popularity"))
-    members = cut(classes.join(groups, "node").join(popularity, "node").select("node", "id", "digest", "coordinates", F.col("component").alias("group"), "popularity"))
-    n_members = members.count()
-    asked = members.select("id", "node", "digest")
+    placed = groups.withColumnRenamed("component", "group").join(posted.select("node", F.aggregate("posted", F.lit(0).cast("long"), lambda s, p: s + p["n"]).alias("popularity")), "node")
+    members = cut(classes.select("node", "id", "digest").join(placed, "node"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 found = [shingles(t) for t in part.column("text").to_pylist()]
-                own = pa.array([digest(f) == d for f, d in zip(found, part.column("digest").to_pylist())], pa.bool_())  # an id may stand on other texts, too
-                made = pa.RecordBatch.from_arrays([part.column("node"), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["node", "shingles"])
-                yield made.filter(own)
+                # An id may stand on other texts, too.
+                own = [k for k, (f, d) in enumerate(zip(found, part.column("digest").to_pylist())) if digest(f) == d]
+                made = pa.array([signature(found[k]).view(np.int32) for k in own], pa.list_(pa.int32())), pa.array([found[k].view(np.int64) for k in own], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(own, pa.int32())) for c in ("node", "group", "popularity")), *made], ["node", "group", "popularity", "coordinates", "shingles"])
 
-    found = texts.join(F.broadcast(asked) if n_members <= SMALL else asked, "id").select("node", "digest", "text").mapInArrow(shingled, "node long, shingles array<long>")
-    full = written(members.drop("id", "digest").join(found, "node"), "sets")
+    asked = texts.join(_few(members), "id").select("node", "group", "popularity", "digest", "text")
+    full = written(asked.mapInArrow(shingled, "node long, group long, popularity long, coordinates array<int>, shingles array<long>"), "sets")
     components = connected_components(_links_of(full))
 
     placed = classes.select("node", "id", "digest").join(components, "node")
