@@ -85,10 +85,14 @@ def by_text(docs: DataFrame, made: Callable[[Iterator[tuple[pa.Array, list[str]]
 SMALL = 1_000_000
 
 
+def few(table: DataFrame) -> DataFrame:
+    """A table of ids that was computed already, to be broadcast if it has at most ``SMALL`` rows."""
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``docs`` whose id is not among the distinct ``ids`` (a column of the same name)."""
-    ids = cut(ids.select(id_col))
-    return docs.join(F.broadcast(ids) if ids.count() <= SMALL else ids, id_col, "left_anti").select(docs.columns)
+    return docs.join(few(cut(ids.select(id_col))), id_col, "left_anti").select(docs.columns)
 
 
 class Memo(dict):

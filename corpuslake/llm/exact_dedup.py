@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, text_of, without, written
+from .common import cut, few, shared_dir, text_of, without, written
 
 #: Many partitions hold little state each, so their logs take no disk in advance.
 STATE = {
@@ -112,10 +112,11 @@ def _differing(rows: DataFrame, own: DataFrame, groups: DataFrame) -> DataFrame:
     hit = groups.where("n > 1").select("digest", F.col("first.run").alias("run"), F.col("first.row").alias("row"))
     hit = written(hit.join(own.select("digest").distinct(), "digest", "left_semi"), "hits")
     runs = [r["run"] for r in hit.select("run").distinct().collect()]  # one number a run
-    located = rows.where(F.col("run").isin(runs)).join(hit, ["digest", "run", "row"]).select("digest", F.col("text").alias("kept_text"))
+    located = rows.where(F.col("run").isin(runs)).join(few(hit.select("run", "row")), ["run", "row"]).select("digest", F.col("text").alias("kept_text"))
     # Both sides are written, so that the join stands on two plain shuffles, and a large group can be split.
     located = written(located, "kept-texts")
-    texts = written(own.join(hit.select("digest"), "digest", "left_semi").select("digest", "text"), "hit-texts")
+    touched = cut(own.select("row", "digest").join(hit.select("digest"), "digest", "left_semi").select("row"))
+    texts = written(own.join(few(touched), "row", "left_semi").select("digest", "text"), "hit-texts")
     return written(texts.join(located, "digest").where(F.col("text") != F.col("kept_text")).select("digest").distinct(), "differing")
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL, WordTable, by_text, cut, mixed, text_of, without, written
+from .common import WordTable, by_text, cut, few, mixed, text_of, without, written
 from .components import connected_components
 
 WORDS, COORDINATES = 5, 48
@@ -210,30 +210,25 @@ def _dealt(large: DataFrame) -> DataFrame:
     sizes = large.groupBy("group").agg(*sums).where("u_docs > 0")
     ask, core = (F.greatest(F.ceil(F.col(f"{side}_shingles") / BLOCK), F.least(F.ceil(F.col(f"{side}_docs") / PART), F.lit(MOST))) for side in "uc")
     blocks = cut(sizes.select("group", ask.cast("int").alias("us"), F.coalesce(core, F.lit(0)).cast("int").alias("cs")))
-    placed = large.join(_few(blocks), "group").withColumn("at", F.expr("cast(if(core, us + pmod(xxhash64(node), cs), pmod(xxhash64(node), us)) as int)"))
+    placed = large.join(few(blocks), "group").withColumn("at", F.expr("cast(if(core, us + pmod(xxhash64(node), cs), pmod(xxhash64(node), us)) as int)"))
     alone = F.expr("us + cs = 1")
     asks = F.filter(F.sequence(F.lit(0), F.expr("us + cs - 1")), lambda j: alone | (j != F.col("at")))
     tasks = F.when(F.col("core"), F.sequence(F.lit(0), F.col("us") - 1)).otherwise(asks)
     return placed.withColumn("with", F.explode(tasks)).select("group", F.least("at", "with").alias("lo"), F.greatest("at", "with").alias("hi"), "node", "core", "coordinates", "shingles")
 
 
-def _few(table: DataFrame) -> DataFrame:
-    """A table that was computed already, to be broadcast if it has at most ``SMALL`` rows."""
-    return F.broadcast(table) if table.count() <= SMALL else table
-
-
 def _links_of(members: DataFrame) -> DataFrame:
     """Links ``(src, dst)`` within the groups of ``members`` (group, node, popularity, coordinates, shingles)."""
     sizes = cut(members.groupBy("group").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("shingles")).alias("total")))
-    few = (F.col("docs") <= FEW) & (F.col("total") <= BLOCK)
-    row = sizes.where(few).agg(F.sum("docs").alias("docs"), F.sum("total").alias("total")).first()
+    little = (F.col("docs") <= FEW) & (F.col("total") <= BLOCK)
+    row = sizes.where(little).agg(F.sum("docs").alias("docs"), F.sum("total").alias("total")).first()
     bins = max(1, -(-(row["docs"] or 0) // FEW), -(-(row["total"] or 0) * 2 // BLOCK))
-    many = cut(sizes.where(~few).select("group"))
-    small = members.join(_few(many), "group", "left_anti")
+    many = cut(sizes.where(~little).select("group"))
+    small = members.join(few(many), "group", "left_anti")
     tasks = small.select((-1 - F.expr(f"pmod(xxhash64(group), {bins})")).alias("group"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", F.lit(False).alias("core"), "coordinates", "shingles")
     central = None
     if not many.isEmpty():
-        large = written(_central_links(members.join(_few(many), "group")), "large-groups")
+        large = written(_central_links(members.join(few(many), "group")), "large-groups")
         central = large.where("core and node != central").select(F.col("node").alias("src"), F.col("central").alias("dst"))
         tasks = tasks.unionByName(_dealt(large))
     links = tasks.groupBy("group", "lo", "hi").applyInArrow(_links, "src long, dst long")
@@ -273,14 +268,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 made = pa.array([signature(found[k]).view(np.int32) for k in own], pa.list_(pa.int32())), pa.array([found[k].view(np.int64) for k in own], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(own, pa.int32())) for c in ("node", "group", "popularity")), *made], ["node", "group", "popularity", "coordinates", "shingles"])
 
-    asked = texts.join(_few(members), "id").select("node", "group", "popularity", "digest", "text")
+    asked = texts.join(few(members), "id").select("node", "group", "popularity", "digest", "text")
     full = written(asked.mapInArrow(shingled, "node long, group long, popularity long, coordinates array<int>, shingles array<long>"), "sets")
     components = connected_components(_links_of(full))
 
     placed = classes.select("node", "id", "digest").join(components, "node")
     smallest = placed.groupBy("component").agg(F.min("id").alias("component_id"))
     named = classes.select("digest", "id").join(placed.join(smallest, "component").select("digest", "component_id"), "digest", "left")
-    named = named.select("digest", F.coalesce("component_id", "id").alias("component_id"))
+    # Written, so that the join stands on two plain shuffles, and many copies of one text can be split.
+    named = written(named.select("digest", F.coalesce("component_id", "id").alias("component_id")), "named")
     rows = sets.select("id", "n_shingles", "digest").join(named, "digest").drop("digest")
     rest = sketch.where("id is null or digest is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     return rows.unionByName(rest).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
