@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, few, shared_dir, text_of, without, written
 
-#: Many partitions hold little state each, so their logs take no disk in advance.
+#: Many partitions hold little state each, so their logs take no disk in advance; an executor's stores share a bounded cache.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 #: A single blank needs no replacing, so the pattern passes it by.
 RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -108,7 +110,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _differing(rows: DataFrame, own: DataFrame, groups: DataFrame) -> DataFrame:
-    """Digests under which a text of this run differs from the one that the group's locator leads to."""
+    """Digests, one a row, under which a text of this run differs from the one that the group's locator leads to."""
     hit = groups.where("n > 1").select("digest", F.col("first.run").alias("run"), F.col("first.row").alias("row"))
     hit = written(hit.join(own.select("digest").distinct(), "digest", "left_semi"), "hits")
     runs = [r["run"] for r in hit.select("run").distinct().collect()]  # one number a run
@@ -117,11 +119,12 @@ def _differing(rows: DataFrame, own: DataFrame, groups: DataFrame) -> DataFrame:
     located = written(located, "kept-texts")
     touched = cut(own.select("row", "digest").join(hit.select("digest"), "digest", "left_semi").select("row"))
     texts = written(own.join(few(touched), "row", "left_semi").select("digest", "text"), "hit-texts")
-    return written(texts.join(located, "digest").where(F.col("text") != F.col("kept_text")).select("digest").distinct(), "differing")
+    return written(texts.join(located, "digest").where(F.col("text") != F.col("kept_text")).select("digest"), "differing")
 
 
 def _regrouped(found: DataFrame, rows: DataFrame, own: DataFrame, odd: DataFrame) -> DataFrame:
     """``found`` with the rows of the digests ``odd`` grouped by their bytes, over all runs."""
+    odd = cut(odd.distinct())
     groups = rows.join(odd, "digest", "left_semi").groupBy("digest", "text").agg(first_of_all().alias("first"), F.count(F.lit(1)).alias("group_size"))
     right = own.join(odd, "digest", "left_semi").join(groups, ["digest", "text"]).select("id", "row", "digest", "first", "group_size")
     return found.join(odd, "digest", "left_anti").unionByName(right)
