@@ -22,7 +22,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, by_text
+from .common import Memo, by_text, held
 
 #: The pattern that byte-level vocabularies split text with before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -175,14 +175,9 @@ def valid(data: bytes) -> bytes:
         return data.decode("utf-8", "replace").encode("utf-8")
 
 
-_CODECS: dict[str, BytePairCodec] = {}
-
-
 def codec(path: str) -> BytePairCodec:
     """One codec per vocabulary file and Python worker."""
-    if path not in _CODECS:
-        _CODECS[path] = BytePairCodec(path)
-    return _CODECS[path]
+    return held("bytes", path, lambda: BytePairCodec(path))
 
 
 def encode_decode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

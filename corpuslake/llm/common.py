@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -66,6 +67,13 @@ ARROW = {
 }
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of few rows, so that a worker holds few texts as Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def by_text(docs: DataFrame, made: Callable[[Iterator[tuple[pa.Array, list[str]]]], Iterator[list]], kind: str, id_col: str, text_col: str) -> DataFrame:
     """Rows that ``made`` yields from batches of ids and texts (null: empty), column by column in order of ``kind``.
 
@@ -74,7 +82,7 @@ def by_text(docs: DataFrame, made: Callable[[Iterator[tuple[pa.Array, list[str]]
     names, types = zip(*((name, ARROW[t]) for name, t in (c.split(" ", 1) for c in kind.split(", "))))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in made((b.column(0), b.column(1).to_pylist()) for b in batches):
+        for columns in made((b.column(0), b.column(1).to_pylist()) for b in sliced(batches)):
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names)
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
@@ -95,6 +103,19 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return docs.join(few(cut(ids.select(id_col))), id_col, "left_anti").select(docs.columns)
 
 
+_HELD: dict = {}
+
+
+def held(kind: str, key, make: Callable):
+    """A worker's large cache. Workers outlive tasks, so that of an operator which ran before is let go."""
+    found = _HELD.get((kind, key))
+    if found is None:
+        _HELD.clear()
+        gc.collect()
+        found = _HELD[kind, key] = make()
+    return found
+
+
 class Memo(dict):
     """A cache in two generations: what was asked for lately survives, memory stays bounded."""
 
@@ -123,7 +144,7 @@ class WordTable(dict):
     memory stays bounded; results do not depend on that.
     """
 
-    def __init__(self, describe: Callable[[list], tuple[np.ndarray, ...]], limit: int = 400_000):
+    def __init__(self, describe: Callable[[list], tuple[np.ndarray, ...]], limit: int = 200_000):
         super().__init__()
         self.describe, self.limit = describe, limit
         self.fresh: list = []

@@ -14,13 +14,14 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 from .bpe import RUNS
+from .common import held
 
 #: Vocabularies that drop white space: any ASCII white space is a border.
 WORDS = re.compile(r"[^ \t\n\r]+")
 
 
 class LibraryTokens:
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -81,11 +82,6 @@ class LibraryTokens:
             self.memo, self.old = {}, self.memo
 
 
-_LOADED: dict[str, LibraryTokens] = {}
-
-
 def library_tokens(path: str) -> LibraryTokens:
     """One per vocabulary file and Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = LibraryTokens(path)
-    return _LOADED[path]
+    return held("tokens", path, lambda: LibraryTokens(path))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, by_text, cut, few, mixed, text_of, without, written
+from .common import WordTable, by_text, cut, few, held, mixed, sliced, text_of, without, written
 from .components import connected_components
 
 WORDS, COORDINATES = 5, 48
@@ -48,19 +48,19 @@ _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = _RNG.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-_table: WordTable | None = None
+
+def _hashes(words: list[bytes]) -> tuple[np.ndarray]:
+    return (np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64),)
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles; with fewer words, of the whole sequence."""
-    global _table
-    if _table is None:
-        _table = WordTable(lambda new: (np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64),))
+    table = held("shingles", None, lambda: WordTable(_hashes))
     found = text.encode().lower().split()  # bytes: A-Z only, and ASCII white space
     if not found:
         return np.zeros(0, np.uint64)
-    h = _table.numbers(found)
-    h = _table.columns[0][h]
+    h = table.numbers(found)
+    h = table.columns[0][h]
     if len(h) < words:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), len(h))], np.uint64)
     total = np.zeros(len(h) - words + 1, np.uint64)
@@ -259,14 +259,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(classes.select("node", "id", "digest").join(placed, "node"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [shingles(t) for t in part.column("text").to_pylist()]
-                # An id may stand on other texts, too.
-                own = [k for k, (f, d) in enumerate(zip(found, part.column("digest").to_pylist())) if digest(f) == d]
-                made = pa.array([signature(found[k]).view(np.int32) for k in own], pa.list_(pa.int32())), pa.array([found[k].view(np.int64) for k in own], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(own, pa.int32())) for c in ("node", "group", "popularity")), *made], ["node", "group", "popularity", "coordinates", "shingles"])
+        for batch in sliced(batches):
+            found = [shingles(t) for t in batch.column("text").to_pylist()]
+            # An id may stand on other texts, too.
+            own = [k for k, (f, d) in enumerate(zip(found, batch.column("digest").to_pylist())) if digest(f) == d]
+            made = pa.array([signature(found[k]).view(np.int32) for k in own], pa.list_(pa.int32())), pa.array([found[k].view(np.int64) for k in own], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own, pa.int32())) for c in ("node", "group", "popularity")), *made], ["node", "group", "popularity", "coordinates", "shingles"])
 
     asked = texts.join(few(members), "id").select("node", "group", "popularity", "digest", "text")
     full = written(asked.mapInArrow(shingled, "node long, group long, popularity long, coordinates array<int>, shingles array<long>"), "sets")

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, mixed
+from .common import WordTable, held, mixed
 from .labelled import accepted, fold, scored, training_rows
 
 BUCKETS, PAIRS, DIM = 1 << 17, 1 << 15, 16
@@ -103,21 +103,16 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 8, rate: float = 1.0, s
     return vectors @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0])
 
 
-_TABLES: dict[int, WordTable] = {}
-
-
 def log_odds(model: tuple[np.ndarray, float], texts: Iterable[str]) -> Iterator[float]:
     shares, bias = model
-    if (table := _TABLES.get(id(shares))) is None:
-        _TABLES.clear()
 
-        def describe(words: list[str]):
-            own = [word_buckets(w) for w in words]
-            sizes = np.array([len(o) for o in own])
-            sums = np.add.reduceat(shares[np.concatenate(own)], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            return sums.astype(np.float64), sizes, word_hashes(words)
+    def describe(words: list[str]):
+        own = [word_buckets(w) for w in words]
+        sizes = np.array([len(o) for o in own])
+        sums = np.add.reduceat(shares[np.concatenate(own)], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        return sums.astype(np.float64), sizes, word_hashes(words)
 
-        table = _TABLES[id(shares)] = WordTable(describe)
+    table = held("quality", id(shares), lambda: WordTable(describe))
     for text in texts:
         words = text.split()
         if not words:

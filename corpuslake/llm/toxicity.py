@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable
+from .common import WordTable, held
 from .labelled import fold, scored, training_rows
 
 BUCKETS, RANK, PREFIXES = 1 << 20, 6, (4, 5, 6)
@@ -72,22 +72,17 @@ def train(texts: list[str], y: np.ndarray, least: int = 3, chi: float = 15.0, ep
     return number, w, v, bias
 
 
-_TABLES: dict[int, WordTable] = {}
-
-
 def log_odds(model: tuple, texts: Iterable[str]) -> Iterator[float]:
     number, w, v, bias = model
-    if (table := _TABLES.get(id(number))) is None:
-        _TABLES.clear()
 
-        def describe(words: list[str]):
-            inputs = np.full((len(words), SLOTS), -1, np.int32)
-            for row, word in enumerate(words):
-                buckets = term_buckets(word)
-                inputs[row, : len(buckets)] = number[buckets]
-            return (inputs,)
+    def describe(words: list[str]):
+        inputs = np.full((len(words), SLOTS), -1, np.int32)
+        for row, word in enumerate(words):
+            buckets = term_buckets(word)
+            inputs[row, : len(buckets)] = number[buckets]
+        return (inputs,)
 
-        table = _TABLES[id(number)] = WordTable(describe)
+    table = held("toxicity", id(number), lambda: WordTable(describe))
     for text in texts:
         at = table.numbers(WORD.findall(text.lower()))
         if not len(at):
