@@ -55,7 +55,7 @@ def _hashes(words: list[bytes]) -> tuple[np.ndarray]:
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles; with fewer words, of the whole sequence."""
-    table = held("shingles", None, lambda: WordTable(_hashes))
+    table = held("shingles", None, lambda: WordTable(_hashes, 200_000))
     found = text.encode().lower().split()  # bytes: A-Z only, and ASCII white space
     if not found:
         return np.zeros(0, np.uint64)
