@@ -9,14 +9,14 @@ from ..session import checkpointed
 
 
 def changed_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
-    """``files`` (path, md5) that the ledger lacks or holds with another hash, with ``is_new``."""
-    known = ledger.select("path", F.col("md5").alias("known"))
-    return files.join(known, "path", "left").where(F.col("known").isNull() | (F.col("known") != F.col("md5"))).select("path", "md5", F.col("known").isNull().alias("is_new"))
+    """``files`` (path, md5) that the ledger lacks or holds with another hash, with ``is_new``; a path may stand in it more than once."""
+    known = ledger.groupBy("path").agg(F.max("md5").alias("known"), F.lit(True).alias("listed"))
+    return files.join(known, "path", "left").where(F.col("listed").isNull() | ~F.col("known").eqNullSafe(F.col("md5"))).select("path", "md5", F.col("listed").isNull().alias("is_new"))
 
 
 def explicit_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
     """All of ``files``, whatever their hashes, with ``is_new``."""
-    known = ledger.select("path", F.lit(True).alias("known"))
+    known = ledger.select("path").distinct().withColumn("known", F.lit(True))
     return files.join(known, "path", "left").select("path", "md5", F.col("known").isNull().alias("is_new"))
 
 

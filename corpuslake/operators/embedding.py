@@ -10,13 +10,17 @@ def hash_embedded(docs: DataFrame, key: str, text: str = "text", dimension: int
     """``key`` and ``embedding`` (array<double>): hashed lower-case words, signed, scaled to length 1.
 
     Words are summed by component before the shuffle, so at most ``dimension`` numbers a document and
-    task are moved. Keys must be distinct. Texts that are null or hold no word get all zeros.
+    task are moved. Rows of null or repeated keys get the vector of their own text. Texts that are null or
+    hold no word get all zeros.
     """
-    words = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
-    hashed = words.select(key, F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long").alias("h"))
-    signed = hashed.select(key, (F.col("h") % dimension).cast("int").alias("at"), F.when(F.floor(F.col("h") / dimension) % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
-    parts = signed.groupBy(key, "at").agg(F.sum("sign").alias("v"))
-    vectors = parts.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("by"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.md5(F.col(text)).alias("digest"))
+    words = rows.select("key", "digest", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
+    hashed = words.select("key", "digest", F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long").alias("h"))
+    signed = hashed.select("key", "digest", (F.col("h") % dimension).cast("int").alias("at"), F.when(F.floor(F.col("h") / dimension) % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
+    parts = signed.groupBy("key", "digest", "at").agg(F.sum("sign").alias("v"))
+    # Rows of one key and text add up to a multiple, which the scaling takes away.
+    vectors = parts.groupBy(F.col("key").alias("k"), F.col("digest").alias("d")).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("by"))
     slots = F.sequence(F.lit(0), F.lit(dimension - 1))
     full = F.transform(slots, lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("by", i), F.lit(0.0)) / F.col("norm")).otherwise(0.0))
-    return docs.select(key).join(vectors, key, "left").select(key, full.alias("embedding"))
+    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d"))
+    return rows.select("key", "digest").join(vectors, same, "left").select(F.col("key").alias(key), full.alias("embedding"))

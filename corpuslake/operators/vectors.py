@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries are sent to the tasks in blocks of so many.
-BLOCK = 2_000
+#: Queries that are broadcast at most, or form a block; rows of a block of the store.
+BLOCK, STORED = 2_000, 20_000
 
 
 def named_sources(rows: DataFrame) -> DataFrame:
@@ -30,42 +31,62 @@ def upserted(store: DataFrame, rows: DataFrame) -> DataFrame:
 def nearest(store: DataFrame, queries: DataFrame, k: int = 4, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", places: int | None = None) -> DataFrame:
     """The ``k`` nearest rows of each query by squared Euclidean distance: ``query_key``, ``rank``, ``key``, ``distance``.
 
-    Each task keeps its own ``k`` best per query (ties: smaller key first), so at most ``k`` rows a query
-    and task are shuffled. Queries go to the tasks in blocks; the store is read once per block. With
-    fewer than ``k`` rows all come back; null vectors never do. ``places`` rounds distances before they
-    are ranked, so that rows at the same distance tie whatever the order of summation.
+    Keys may be of any type. Up to ``BLOCK`` queries are broadcast and the store is read where it lies. More
+    are dealt out in blocks, the store too, and every block of one meets every block of the other in a task.
+    Each task keeps its own ``k`` best per query (ties: smaller key first), so at most ``k`` rows a query and
+    task go on. With fewer than ``k`` rows all come back; null vectors never do. ``places`` rounds distances
+    before they are ranked, so that rows at the same distance tie whatever the order of summation.
     """
-    wanted = queries.select(query_key, vector).where(F.col(vector).isNotNull())
-    n = wanted.count()
-    parts = [wanted] if n <= BLOCK else [wanted.where(F.expr(f"pmod(xxhash64({query_key}), {-(-n // BLOCK)}) = {i}")) for i in range(-(-n // BLOCK))]
-    found = None
-    for part in parts:
-        rows = part.toPandas()  # at most about BLOCK rows
-        one = _best(store, rows, k, key, query_key, vector, places)
-        found = one if found is None else found.unionByName(one)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key)))
-    return ranked.where(F.col("rank") <= k).select(query_key, "rank", key, "distance")
-
-
-def _best(store: DataFrame, rows: pd.DataFrame, k: int, key: str, query_key: str, vector: str, places: int | None) -> DataFrame:
-    ids = rows[query_key].to_numpy()
-    q = np.stack([np.asarray(v, np.float64) for v in rows[vector]]) if len(rows) else np.zeros((0, 1))
-    shared = store.sparkSession.sparkContext.broadcast((ids, q))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
-        for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            x, own = np.stack([np.asarray(v, np.float64) for v in batch["v"]]), batch["k"].to_numpy()
-            order = np.argsort(own, kind="stable")
-            x, own = x[order], own[order]
-            out = []
-            for i, one in zip(ids, q):
-                d = ((x - one) ** 2).sum(axis=1)
-                d = d if places is None else np.round(d, places)
-                top = np.argsort(d, kind="stable")[:k]
-                out.append(pd.DataFrame({query_key: i, key: own[top], "distance": d[top]}))
-            yield pd.concat(out)
-
-    return store.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).where("v is not null").mapInPandas(best, f"{query_key} long, {key} long, distance double")
+    asked = queries.select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    rows = store.select(F.col(key).alias("x"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    kind = f"q {asked.schema['q'].dataType.simpleString()}, x {rows.schema['x'].dataType.simpleString()}, distance double"
+    n = asked.count()
+    if n <= BLOCK:
+        own = asked.toArrow()
+        shared = store.sparkSession.sparkContext.broadcast((own.column("q").combine_chunks(), matrix(own.column("v"))))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from closest(*shared.value, batch.column("x"), matrix(batch.column("v")), k, places).to_batches()
+
+        found = rows.mapInArrow(best, kind)
+    else:
+        qs, xs = -(-n // BLOCK), max(1, -(-rows.count() // STORED))
+        block = lambda name, count: F.expr(f"cast(pmod(xxhash64({name}), {count}) as int)")
+        every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        none = lambda name, df: F.lit(None).cast(df.schema[name].dataType).alias(name)
+        asks = asked.select(block("q", qs).alias("a"), every(xs).alias("b"), "q", none("x", rows), "v", F.lit(True).alias("asks"))
+        own = rows.select(every(qs).alias("a"), block("x", xs).alias("b"), none("q", asked), "x", "v", F.lit(False).alias("asks"))
+
+        def met(table: pa.Table) -> pa.Table:
+            asks = table["asks"].combine_chunks()
+            one, other = table.filter(asks), table.filter(pc.invert(asks))
+            return closest(one["q"].combine_chunks(), matrix(one["v"]), other["x"].combine_chunks(), matrix(other["v"]), k, places)
+
+        found = asks.unionByName(own).groupBy("a", "b").applyInArrow(met, kind)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "x")))
+    return ranked.where(F.col("rank") <= k).select(F.col("q").alias(query_key), "rank", F.col("x").alias(key), "distance")
+
+
+def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.stack([np.asarray(v, np.float64) for v in vectors.to_pylist()]) if len(vectors) else np.zeros((0, 1))
+
+
+def closest(q: pa.Array, wanted: np.ndarray, x: pa.Array, rows: np.ndarray, k: int, places: int | None) -> pa.Table:
+    """The ``k`` nearest rows of each query, ties by the smaller key."""
+    which, at, distance = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    if len(x):
+        order = pc.sort_indices(x).to_numpy()
+        rows = rows[order]
+        for i, one in enumerate(wanted):
+            d = ((rows - one) ** 2).sum(axis=1)
+            d = d if places is None else np.round(d, places)
+            if k < len(d):
+                some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+            else:
+                some = np.arange(len(d))
+            top = some[np.argsort(d[some], kind="stable")[:k]]
+            which.append(np.full(len(top), i))
+            at.append(order[top])
+            distance.append(d[top])
+    return pa.table({"q": q.take(pa.array(np.concatenate(which), pa.int64())), "x": x.take(pa.array(np.concatenate(at).astype(np.int64))), "distance": np.concatenate(distance)})

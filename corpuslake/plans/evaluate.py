@@ -28,7 +28,7 @@ def scored(rows: DataFrame, judge: Callable[[str, list[str], str, str | None], d
                     errors.append(None)
                 except Exception as error:  # the row reports it
                     verdicts.append({})
-                    errors.append(str(error)[:200])
+                    errors.append(str(error))
             yield batch.assign(verdicts=verdicts, error=errors)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

@@ -43,9 +43,9 @@ class Ingestion:
         return self._step(changes.changed_files(found, self.ledger.read()), found)
 
     def run_files(self, paths: list[str]) -> dict:
-        found = S.discovered(self.spark, self.folder)
-        wanted = found.where(F.element_at(F.split("path", "/"), -1).isin([p.rsplit("/", 1)[-1] for p in paths]))
-        return self._step(changes.explicit_files(wanted, self.ledger.read()), found)
+        """The files at ``paths``, wherever they lie, changed or not; a bare name is one of the folder."""
+        found = S.discovered(self.spark, [p if "/" in p else f"{self.folder}/{p}" for p in paths])
+        return self._step(changes.explicit_files(found, self.ledger.read()), found)
 
     def run_streaming(self) -> dict:
         """New and changed files, ``batch`` at a time, each batch a snapshot of its own."""

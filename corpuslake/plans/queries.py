@@ -102,7 +102,7 @@ SPACED = r"'[ \t\r\n\f\x0B]*[^ \t\r\n\f\x0B]+[ \t\r\n\f\x0B]*'"
 
 @query(f"SELECT doc_id, unnest(range(len({SENTENCES})))::INT AS position, md5(unnest({SENTENCES})) AS sentence_md5 FROM documents")
 def q_split_text(spark, d):
-    return chunking.split_text(read(spark, d, "documents"), "doc_id").select("doc_id", "position", F.md5("sentence").alias("sentence_md5"))
+    return chunking.split_sentences(read(spark, d, "documents"), "doc_id").select("doc_id", "position", F.md5("sentence").alias("sentence_md5"))
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(text, {WORDS})) AS n_tokens FROM documents")
@@ -110,21 +110,32 @@ def q_count_tokens(spark, d):
     return read(spark, d, "documents").select("doc_id", T.count_tokens(F.col("text")).alias("n_tokens"))
 
 
-@query(f"""
-WITH RECURSIVE b AS (SELECT doc_id, flatten(list_transform({SENTENCES}, lambda x: CASE WHEN len(regexp_extract_all(x, {WORDS})) <= 128 THEN [x]
-  ELSE list_transform(range(0, (len(regexp_extract_all(x, {SPACED})) + 127) // 128), lambda i: array_to_string(regexp_extract_all(x, {SPACED})[i * 128 + 1:i * 128 + 128], '')) END)) AS s FROM documents),
+def _chunk_sql(core: int, overlap: int) -> str:
+    """Chunks of sentences; each but the first repeats the last sentences of the one before that fit into ``overlap``."""
+    return f"""
+WITH RECURSIVE b AS (SELECT doc_id, flatten(list_transform({SENTENCES}, lambda x: CASE WHEN len(regexp_extract_all(x, {WORDS})) <= {core} THEN [x]
+  ELSE list_transform(range(0, (len(regexp_extract_all(x, {SPACED})) + {core - 1}) // {core}), lambda i: array_to_string(regexp_extract_all(x, {SPACED})[i * {core} + 1:i * {core} + {core}], '')) END)) AS s FROM documents),
 s AS (SELECT doc_id, s, list_transform(s, lambda x: len(regexp_extract_all(x, {WORDS}))) AS n FROM b),
 g(doc_id, i, chunk, used) AS (
   SELECT doc_id, 1, 0, n[1] FROM s WHERE len(s) > 0
   UNION ALL
-  SELECT g.doc_id, i + 1, CASE WHEN used = 0 OR used + n[i + 1] <= 128 THEN chunk ELSE chunk + 1 END, CASE WHEN used = 0 OR used + n[i + 1] <= 128 THEN used + n[i + 1] ELSE n[i + 1] END
-  FROM g JOIN s USING (doc_id) WHERE i < len(s))
-SELECT g.doc_id, chunk::INT AS chunk_index, md5(string_agg(s[i], '' ORDER BY i)) AS text_md5, sum(n[i])::BIGINT AS n_tokens
-FROM g JOIN s USING (doc_id) GROUP BY g.doc_id, chunk""")
+  SELECT g.doc_id, i + 1, CASE WHEN used = 0 OR used + n[i + 1] <= {core} THEN chunk ELSE chunk + 1 END, CASE WHEN used = 0 OR used + n[i + 1] <= {core} THEN used + n[i + 1] ELSE n[i + 1] END
+  FROM g JOIN s USING (doc_id) WHERE i < len(s)),
+c AS (SELECT g.doc_id, chunk, i, s[i] AS t, n[i] AS n, sum(n[i]) OVER (PARTITION BY g.doc_id, chunk ORDER BY i DESC) AS tail, max(chunk) OVER (PARTITION BY g.doc_id) AS last FROM g JOIN s USING (doc_id)),
+x AS (SELECT doc_id, chunk, i, t, n FROM c UNION ALL SELECT doc_id, chunk + 1, i, t, n FROM c WHERE {overlap} > 0 AND tail <= {overlap} AND chunk < last)
+SELECT doc_id, chunk::INT AS chunk_index, md5(string_agg(t, '' ORDER BY i)) AS text_md5, sum(n)::BIGINT AS n_tokens FROM x GROUP BY doc_id, chunk"""
+
+
+@query(_chunk_sql(128, 0))
 def q_chunk_sentences(spark, d):
     return chunking.split_documents(read(spark, d, "documents"), size=128, overlap=0).select("doc_id", "chunk_index", F.md5("text").alias("text_md5"), "n_tokens")
 
 
+@query(_chunk_sql(974, 50))
+def q_chunk_overlap(spark, d):
+    return chunking.split_documents(read(spark, d, "documents")).select("doc_id", "chunk_index", F.md5("text").alias("text_md5"), "n_tokens")
+
+
 @query(f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(text, {WORDS}) AS w FROM documents),
 c AS (SELECT doc_id, w, unnest(range(0, ((greatest(len(w) - 8, 1) - 1) // 56 + 1)::BIGINT)) AS c FROM w WHERE len(w) > 0)
@@ -299,11 +310,11 @@ def q_chat_prompt(spark, d):
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
 h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM w),
 c AS (SELECT doc_id, h % 64 AS i, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END) AS v FROM h GROUP BY ALL),
-v AS (SELECT doc_id, sqrt(sum(v * v)) AS n, [coalesce(max(v) FILTER (i = 0), 0), coalesce(max(v) FILTER (i = 1), 0), coalesce(max(v) FILTER (i = 2), 0), coalesce(max(v) FILTER (i = 3), 0)] AS h FROM c GROUP BY doc_id)
-SELECT doc_id, CASE WHEN n > 0 THEN list_transform(h, lambda x: round(x / n, 6)) ELSE [0.0::DOUBLE, 0.0, 0.0, 0.0] END AS head FROM documents LEFT JOIN v USING (doc_id)""")
+v AS (SELECT doc_id, sqrt(sum(v * v)) AS n, map_from_entries(list((i, v))) AS m FROM c GROUP BY doc_id)
+SELECT doc_id, list_transform(range(64), lambda i: CASE WHEN n > 0 THEN round(coalesce(list_extract(map_extract(m, i), 1), 0) / n, 6) ELSE 0.0::DOUBLE END) AS embedding FROM documents LEFT JOIN v USING (doc_id)""")
 def q_hash_embed(spark, d):
     found = embedding.hash_embedded(read(spark, d, "documents"), "doc_id")
-    return found.select("doc_id", F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x, 6)).alias("head"))
+    return found.select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 @query("""

@@ -20,10 +20,11 @@ def admitted(content: Column, largest: int = MAX_UPLOAD, magic: bytes = b"%PDF-"
     return F.when(F.octet_length(content) > largest, "too large").when(~begins, "wrong type").otherwise("ok")
 
 
-def discovered(spark: SparkSession, folder: str, glob: str = "*.[pP][dD][fF]") -> DataFrame:
-    """Files of a folder (not of folders in it): path, file_name, length, modified, md5, content."""
-    if "://" not in folder and not Path(folder).exists():
-        raise FileNotFoundError(folder)
+def discovered(spark: SparkSession, folder: str | list[str], glob: str = "*.[pP][dD][fF]") -> DataFrame:
+    """Files of a folder (not of folders in it), or of a list of paths: path, file_name, length, modified, md5, content."""
+    for path in [folder] if isinstance(folder, str) else folder:
+        if "://" not in path and not Path(path).exists():
+            raise FileNotFoundError(path)
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", F.col("modificationTime").alias("modified"), F.md5("content").alias("md5"), "content")
 
@@ -67,12 +68,17 @@ def loaded(files: DataFrame) -> DataFrame:
                 try:
                     out += [(path, name, str(i), text, None) for i, text in enumerate(pdf_text(bytes(data)), 1)]
                 except Exception as error:  # one bad file must not stop the others; it is reported
-                    out.append((path, name, None, None, str(error)[:200]))
+                    out.append((path, name, None, None, str(error)))
             yield pd.DataFrame(out, columns=["path", "source", "page_label", "text", "error"])
 
     return files.select("path", "file_name", "content").mapInPandas(rows, "path string, source string, page_label string, text string, error string")
 
 
+def load_file(spark: SparkSession, path: str) -> DataFrame:
+    """Text of one file by page, as ``loaded`` gives it."""
+    return loaded(discovered(spark, [path]))
+
+
 def load_folder(spark: SparkSession, folder: str) -> DataFrame:
     files = discovered(spark, folder)
     if files.isEmpty():

@@ -2,36 +2,60 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import vectors
 
 
 class Snapshots:
-    """A table under ``folder``. A writer that loses a race fails: its snapshot's number is taken."""
+    """A table under ``folder``: data folders of unique names, and small numbered files that each name one.
+
+    A snapshot is there once its numbered file is, which is created exclusively: a writer that fails leaves
+    only a folder that nothing names, and one that loses a race fails. The last ``keep`` snapshots stay.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, keep: int = 3):
+        self.spark, self.folder, self.schema, self.keep = spark, folder.rstrip("/"), schema, keep
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
+    def _files(self):
+        return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _published(self) -> list[tuple[int, bool]]:
+        """Numbers taken, and whether each names a folder (a writer may have died over an empty file)."""
+        found = self._files().globStatus(self._path("v-*"))
+        return sorted((int(f.getPath().getName()[2:]), f.getLen() > 0) for f in found or [])
 
     def versions(self) -> list[int]:
         """Numbers of the snapshots whose writing ended."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = files.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v-*/_SUCCESS"))
-        return sorted(int(f.getPath().getParent().getName()[2:]) for f in found or [])
+        return [number for number, named in self._published() if named]
+
+    def _data(self, number: int) -> str:
+        return self.spark.read.text(f"{self.folder}/v-{number:08d}").first()[0]
 
     def read(self) -> DataFrame:
         """The latest snapshot; no rows if there is none."""
         known = self.versions()
         if not known:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v-{known[-1]:08d}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{self._data(known[-1])}")
 
     def write(self, rows: DataFrame) -> int:
         """Writes the next snapshot; returns its number."""
-        number = (self.versions() or [0])[-1] + 1
+        number = max((n for n, _ in self._published()), default=0) + 1
         names = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
-        rows.select(names).write.parquet(f"{self.folder}/v-{number:08d}")
+        data = f"data-{uuid.uuid4().hex}"
+        rows.select(names).write.parquet(f"{self.folder}/{data}")
+        stream = self._files().create(self._path(f"v-{number:08d}"), False)
+        stream.write(bytearray(data.encode()))
+        stream.close()
+        for old in self.versions()[: -self.keep]:
+            self._files().delete(self._path(self._data(old)), True)
+            self._files().delete(self._path(f"v-{old:08d}"), False)
         return number
 
 
@@ -54,11 +78,17 @@ class VectorTable(Snapshots):
     def search(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """``query_id``, ``rank``, ``chunk_id``, ``source``, ``text``, ``n_tokens``, ``distance``; without ``k``, 4."""
         store = self.read()
-        keyed = store.selectExpr("xxhash64(source, chunk_id) as vec_id", "*")
+        keyed = store.selectExpr("to_json(struct(source, chunk_id)) as vec_id", "*")
         found = vectors.nearest(keyed, queries, 4 if k is None else k)
         wanted = found.join(keyed.select("vec_id", "chunk_id", "source", "text", "n_tokens"), "vec_id")
         return wanted.selectExpr("query_id", "rank", "chunk_id", "coalesce(source, 'unknown') as source", "text", "n_tokens", "distance")
 
+    def remove_by_sources(self, sources: DataFrame) -> int:
+        """Drops all rows of ``sources`` (a column ``source``); how many they were."""
+        before = self.count()
+        self.write(vectors.without_sources(self.read(), vectors.named_sources(sources)))
+        return before - self.count()
+
     def delete_all(self) -> None:
         self.write(self.spark.createDataFrame([], self.schema))
 
