@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics
@@ -45,10 +45,18 @@ def scored(rows: DataFrame, judge: Callable[[str, list[str], str, str | None], d
     return judged.select(*rows.columns, *out, "error")
 
 
+def load_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """Items of a JSON array of ``question`` and ``ground_truth``: those, and a number ``query_id``."""
+    items = spark.read.schema("question string, ground_truth string").option("multiLine", True).json(path)
+    return items.select(F.monotonically_increasing_id().alias("query_id"), "question", "ground_truth")
+
+
 def run_batch_evaluation(items: DataFrame, answers: DataFrame, judge: Callable, folder: str) -> dict:
-    """Scores answered ``items`` (query_id, question, ground_truth), writes them as JSON under ``folder``; the means."""
+    """Scores answered ``items`` (query_id, question, ground_truth), writes rows and means as JSON under ``folder``; the means."""
     rows = metrics.evaluable(items).select("query_id", "ground_truth").join(answers.withColumnRenamed("response", "answer"), "query_id")
     result = scored(rows.select("query_id", "question", "contexts", "answer", "ground_truth"), judge)
     result.write.mode("overwrite").json(f"{folder}/evaluation_results")
     kept = result.sparkSession.read.schema(result.schema).json(f"{folder}/evaluation_results")
-    return metrics.summary(kept, list(metrics.METRICS)).first().asDict()
+    means = metrics.summary(kept, list(metrics.METRICS))
+    means.write.mode("overwrite").json(f"{folder}/evaluation_summary")
+    return means.first().asDict()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,13 @@ from ..sources import files as S
 from ..sources import providers
 from ..sources.snapshots import Snapshots, VectorTable
 
+STATUS = "status string, at string, details map<string, string>"
+
+
+def store_of(spark: SparkSession, storage: str, embedder, model: str) -> VectorTable:
+    """The vector table of a model under ``storage``."""
+    return VectorTable(spark, f"{storage.rstrip('/')}/vectors-{model.replace('/', '_').replace('-', '_')}", embedder.dimension)
+
 
 class Ingestion:
     """A file's path is its key: files of one name in other folders stay apart.
@@ -26,7 +35,7 @@ class Ingestion:
     def __init__(self, spark: SparkSession, folder: str, storage: str, embedder, model: str = "default", size: int = 1024, overlap: int = 50, batch: int = 100):
         self.spark, self.folder, self.storage, self.embedder = spark, folder, storage.rstrip("/"), embedder
         self.size, self.overlap, self.batch = size, overlap, batch
-        self.store = VectorTable(spark, f"{self.storage}/vectors-{model.replace('/', '_').replace('-', '_')}", embedder.dimension)
+        self.store = store_of(spark, self.storage, embedder, model)
         self.ledger = Snapshots(spark, f"{self.storage}/ledger", "path string, md5 string")
 
     def run(self, force: bool = False) -> dict:
@@ -35,22 +44,22 @@ class Ingestion:
             self.store.delete_all()
             self.ledger.write(self.spark.createDataFrame([], self.ledger.schema))
         found = S.discovered(self.spark, self.folder)
-        return self._step(changes.explicit_files(found, self.ledger.read()), found)
+        return self._step(changes.explicit_files(found, self._known()), found)
 
     def run_incremental(self) -> dict:
         """Files that are new or changed."""
         found = S.discovered(self.spark, self.folder)
-        return self._step(changes.changed_files(found, self.ledger.read()), found)
+        return self._step(changes.changed_files(found, self._known()), found)
 
     def run_files(self, paths: list[str]) -> dict:
         """The files at ``paths``, wherever they lie, changed or not; a bare name is one of the folder."""
         found = S.discovered(self.spark, [p if "/" in p else f"{self.folder}/{p}" for p in paths])
-        return self._step(changes.explicit_files(found, self.ledger.read()), found)
+        return self._step(changes.explicit_files(found, self._known()), found)
 
     def run_streaming(self) -> dict:
         """New and changed files, ``batch`` at a time, each batch a snapshot of its own."""
         found = S.discovered(self.spark, self.folder)
-        dealt = checkpointed(changes.in_batches(changes.changed_files(found, self.ledger.read()), self.batch))
+        dealt = checkpointed(changes.in_batches(changes.changed_files(found, self._known()), self.batch))
         last = dealt.agg(F.max("batch")).first()[0] or 0
         total = {"files": 0, "failed": 0, "new_files": 0, "updated_files": 0, "chunks": 0}
         for number in range(1, last + 1):
@@ -61,14 +70,39 @@ class Ingestion:
     def prune(self) -> None:
         """Drops rows and ledger entries of files that are gone."""
         left = S.discovered(self.spark, self.folder).select("path")
-        ledger = checkpointed(self.ledger.read())
+        ledger = checkpointed(self._known())
         gone = ledger.join(left, "path", "left_anti").select(F.col("path").alias("source"))
         self.store.add(self.spark.createDataFrame([], self.store.schema), gone)
         self.ledger.write(ledger.join(left, "path", "left_semi"))
 
     def status(self, state: str, **more) -> None:
-        row = {"status": state, "at": datetime.now().isoformat()} | {k: str(v) for k, v in more.items()}
-        self.spark.createDataFrame([row]).coalesce(1).write.mode("overwrite").json(f"{self.storage}/status")
+        """Publishes the job's state; a reader sees this one or the one before."""
+        row = (state, datetime.now().isoformat(), {k: str(v) for k, v in more.items()})
+        Snapshots(self.spark, f"{self.storage}/status", STATUS, keep=2).write(self.spark.createDataFrame([row], STATUS).coalesce(1))
+
+    def last_status(self) -> dict:
+        """The state published last; ``idle`` without one that can be read."""
+        try:
+            row = Snapshots(self.spark, f"{self.storage}/status", STATUS).read().first()
+        except PySparkException:
+            row = None
+        return {"status": row["status"], "at": row["at"], **row["details"]} if row else {"status": "idle"}
+
+    def wait(self, tries: int = 60, pause: float = 2.0) -> dict:
+        """Asks for the state until it is neither ``processing`` nor ``idle``, or ``tries`` are over; the last one."""
+        for _ in range(tries):
+            found = self.last_status()
+            if found["status"] not in ("processing", "idle"):
+                break
+            time.sleep(pause)
+        return found
+
+    def _known(self) -> DataFrame:
+        """The ledger; one that can't be read counts as empty, so that all files are taken anew."""
+        try:
+            return checkpointed(self.ledger.read())
+        except PySparkException:
+            return self.spark.createDataFrame([], self.ledger.schema)
 
     def _step(self, chosen: DataFrame, found: DataFrame) -> dict:
         chosen = checkpointed(chosen)
@@ -80,7 +114,7 @@ class Ingestion:
         rows = chunks.select("source", F.concat_ws("#", "page", F.col("chunk_index").cast("string")).alias("chunk_id"), "text", "n_tokens")
         rows = checkpointed(providers.embedded(rows, self.embedder))
         self.store.add(rows, good.select(F.col("path").alias("source")))
-        self.ledger.write(self.ledger.read().join(good, "path", "left_anti").unionByName(good.select("path", "md5")))
+        self.ledger.write(self._known().join(good, "path", "left_anti").unionByName(good.select("path", "md5")))
         counts = good.agg(F.count("*").alias("files"), F.count_if("is_new").alias("new_files"), F.count_if(~F.col("is_new")).alias("updated_files")).first().asDict()
         return counts | {"failed": failed.count(), "chunks": rows.count(), "total_vectors": self.store.count()}
 
@@ -90,10 +124,9 @@ def run_ingestion(spark: SparkSession, config_path: str | None = None, force: bo
     if sum([force, incremental, files is not None]) > 1:
         raise ValueError("force, incremental and files exclude each other")
     config = load_config(config_path)
-    own = dict(setting(config, "embedding", {}))
     job = Ingestion(
-        spark, resolved(config, setting(config, "ingestion.documents", "documents")), resolved(config, setting(config, "storage.path", "storage")), providers.create_embedder(**own),
-        own.get("model", "default"), setting(config, "ingestion.chunk_size", 1024), setting(config, "ingestion.chunk_overlap", 50), setting(config, "ingestion.batch_size", 100),
+        spark, resolved(config, setting(config, "ingestion.directory", "data/pdfs")), resolved(config, setting(config, "storage.directory", "storage")), providers.embedder_from(config),
+        setting(config, "embedding.model", "default"), setting(config, "ingestion.chunk_size", 1024), setting(config, "ingestion.chunk_overlap", 50), setting(config, "ingestion.batch_size", 100),
     )
     if files is not None:
         return job.run_files(files)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import load_config, resolved, setting
 from ..functions import text as T
 from ..operators.context import contexts
 from ..sources import providers
 from ..sources.snapshots import VectorTable
-from .ingest import token_overhead
+from .ingest import store_of, token_overhead
 
 
 def retrieved(questions: DataFrame, store: VectorTable, embedder, k: int | None = None) -> DataFrame:
@@ -37,3 +38,24 @@ def answers(questions: DataFrame, store: VectorTable, embedder, llm, k: int | No
     said = providers.answered(prompts(questions, hits, max_tokens, template), llm, **settings)
     listed = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda h: h["text"]).alias("contexts"))
     return said.join(listed, "query_id", "left").select("query_id", "question", "response", F.coalesce("contexts", F.expr("cast(array() as array<string>)")).alias("contexts"), "truncated")
+
+
+class Retrieval:
+    """Questions to answers over one vector table."""
+
+    def __init__(self, store: VectorTable, embedder, llm, k: int = 4, max_tokens: int = 4096, template: str = T.PROMPT):
+        self.store, self.embedder, self.llm, self.k, self.max_tokens, self.template = store, embedder, llm, k, max_tokens, template
+
+    def retrieve(self, questions: DataFrame) -> DataFrame:
+        return retrieved(questions, self.store, self.embedder, self.k)
+
+    def query(self, questions: DataFrame, **settings) -> DataFrame:
+        return answers(questions, self.store, self.embedder, self.llm, self.k, self.max_tokens, self.template, **settings)
+
+
+def get_retrieval_pipeline(spark: SparkSession, config_path: str | None = None) -> Retrieval:
+    """As the settings file describes it."""
+    config = load_config(config_path)
+    embedder = providers.embedder_from(config)
+    store = store_of(spark, resolved(config, setting(config, "storage.directory", "storage")), embedder, setting(config, "embedding.model", "default"))
+    return Retrieval(store, embedder, providers.llm_from(config), setting(config, "retrieval.top_k", 4), setting(config, "retrieval.max_context_tokens", 4096), setting(config, "retrieval.context_template", T.PROMPT))

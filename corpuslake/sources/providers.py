@@ -195,6 +195,16 @@ def create_llm(provider: str = "openai", model: str = "gpt-4o-mini", **settings)
     return _made(CHATS, provider, {"model": model} | settings)
 
 
+def embedder_from(config: dict):
+    """The embedder of the section ``embedding``; keys beside provider and model go to it as they are."""
+    return create_embedder(**config.get("embedding", {}))
+
+
+def llm_from(config: dict):
+    """The chat model of the section ``llm``, likewise."""
+    return create_llm(**config.get("llm", {}))
+
+
 def embedded(rows: DataFrame, embedder, text: str = "text") -> DataFrame:
     """``rows`` with ``embedding`` (array<float>); each request holds at most ``embedder.batch`` texts."""
     size = getattr(embedder, "batch", 500)

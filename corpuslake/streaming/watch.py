@@ -5,14 +5,17 @@ from __future__ import annotations
 from ..plans.ingest import Ingestion
 
 
-def watched(job: Ingestion, checkpoint: str, files: int = 100, forever: bool = False):
+def watched(job: Ingestion, checkpoint: str, files: int = 100, forever: bool = False, every: float = 5.0):
     """Starts a stream that ingests a folder's new and changed files; without ``forever`` it ends when all are done.
 
-    The stream only says that something came; each micro-batch compares the folder with the ledger, so a
-    file rewritten in place is taken up with the next one. Micro-batches run one after the other, so no
-    trigger is lost. The job's status goes to its storage.
+    The stream only says that it is time; each micro-batch compares the folder with the ledger, so a file
+    rewritten in place is taken up too: with the next new file, or, with ``forever``, within ``every``
+    seconds. Micro-batches run one after the other, so no trigger is lost. The job's status goes to its storage.
     """
-    came = job.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.[pP][dD][fF]").option("maxFilesPerTrigger", files).load(job.folder).select("path")
+    if forever:
+        came = job.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    else:
+        came = job.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.[pP][dD][fF]").option("maxFilesPerTrigger", files).load(job.folder).select("path")
 
     def ingest(batch, number: int) -> None:
         job.status("processing", batch=number)
@@ -23,4 +26,4 @@ def watched(job: Ingestion, checkpoint: str, files: int = 100, forever: bool = F
             raise
 
     writer = came.writeStream.option("checkpointLocation", checkpoint).foreachBatch(ingest)
-    return (writer.trigger(processingTime="5 seconds") if forever else writer.trigger(availableNow=True)).start()
+    return (writer.trigger(processingTime=f"{every} seconds") if forever else writer.trigger(availableNow=True)).start()

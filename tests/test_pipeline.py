@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslake import config
 from corpuslake.functions import text as T
-from corpuslake.operators import chunking, context, vectors
-from corpuslake.plans import evaluate, retrieve
+from corpuslake.operators import changes, chunking, context, embedding, vectors
+from corpuslake.plans import evaluate, get_retrieval_pipeline, load_dataset, retrieve, run_ingestion
 from corpuslake.plans.ingest import Ingestion
+from corpuslake.plans.judge import create_judge
 from corpuslake.sources import files as S
 from corpuslake.sources import providers as P
-from corpuslake.sources.snapshots import VectorTable
+from corpuslake.sources.snapshots import Snapshots, VectorTable
 from corpuslake.streaming.watch import watched
 
 
@@ -70,7 +73,66 @@ def test_stream_ingests(spark, tmp_path):
     (docs / "b.pdf").write_bytes(pdf("Two."))
     watched(job, str(tmp_path / "check")).awaitTermination()
     assert job.store.count() == 2
-    assert spark.read.json(str(tmp_path / "out/status")).first()["status"] == "complete"
+    assert job.last_status()["status"] == "complete" and job.wait(1)["chunks"] == "1"
+    # A file rewritten in place, with no new one beside it.
+    (docs / "a.pdf").write_bytes(pdf("Another one."))
+    query = watched(job, str(tmp_path / "check2"), forever=True, every=0.5)
+    for _ in range(60):
+        if "Another one." in {r["text"] for r in job.store.read().collect()}:
+            break
+        time.sleep(0.5)
+    query.stop()
+    assert {r["text"] for r in job.store.read().collect()} == {"Another one.", "Two."}
+
+
+def test_status_without_a_job(spark, tmp_path):
+    assert Ingestion(spark, str(tmp_path), str(tmp_path / "out"), Counting()).last_status() == {"status": "idle"}
+
+
+def test_explicit_files_elsewhere(spark, tmp_path):
+    for name, text in (("in", "Inside."), ("other", "Outside.")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.pdf").write_bytes(pdf(text))
+    job = Ingestion(spark, str(tmp_path / "in"), str(tmp_path / "out"), Counting())
+    job.run_files([str(tmp_path / "other" / "a.pdf")])
+    assert [r["text"] for r in job.store.read().collect()] == ["Outside."]
+    assert [r["text"] for r in S.load_file(spark, str(tmp_path / "in" / "a.pdf")).collect()] == ["Inside."]
+    with pytest.raises(FileNotFoundError):
+        job.run_files([str(tmp_path / "none.pdf")])
+
+
+def test_snapshots_survive_a_writer_that_dies(spark, tmp_path):
+    table = Snapshots(spark, str(tmp_path), "a int", keep=2)
+    table.write(spark.createDataFrame([(1,)], "a int"))
+    broken = spark.createDataFrame([(1,)], "a int").select(F.raise_error(F.lit("lost")).cast("int").alias("a"))
+    with pytest.raises(Exception, match="lost"):
+        table.write(broken)
+    (tmp_path / "v-00000002").write_text("")  # died between taking the number and naming the folder
+    assert [r["a"] for r in table.read().collect()] == [1]
+    assert table.write(spark.createDataFrame([(3,)], "a int")) == 3 and [r["a"] for r in table.read().collect()] == [3]
+    table.write(spark.createDataFrame([(4,)], "a int"))
+    assert table.versions() == [3, 4] and [r["a"] for r in table.read().collect()] == [4]
+
+
+def test_changed_files_with_nulls_and_repeats(spark):
+    files = spark.createDataFrame([("a", "1"), ("b", None), ("c", "3"), ("d", "4")], "path string, md5 string")
+    ledger = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "2"), ("c", None)], "path string, md5 string")
+    found = {r["path"]: r["is_new"] for r in changes.changed_files(files, ledger).collect()}
+    assert found == {"b": False, "c": False, "d": True} and changes.explicit_files(files, ledger).count() == 4
+
+
+def test_hash_embedding_by_row(spark):
+    docs = spark.createDataFrame([(1, "one two"), (1, "three"), (None, "one two"), (2, None), (1, "three")], "k int, text string")
+    found = [tuple(r["embedding"]) for r in embedding.hash_embedded(docs, "k").collect()]
+    assert len(found) == 5 and len(set(found)) == 3 and sum(not any(v) for v in found) == 1
+
+
+def test_nearest_of_many_queries_is_one_plan(spark):
+    store = spark.range(300).select(F.concat(F.lit("s"), "id").alias("name"), F.array(F.col("id").cast("double"), F.lit(0.0)).alias("v"))
+    asked = spark.range(5000).select(F.concat(F.lit("q"), "id").alias("who"), F.array((F.col("id") % 300).cast("double"), F.lit(0.25)).alias("v"))
+    found = vectors.nearest(store, asked, 2, "name", "who", "v")
+    rows = found.where("rank = 1").collect()
+    assert found.count() == 10_000 and all(r["name"] == f"s{int(r['who'][1:]) % 300}" and r["distance"] == 0.0625 for r in rows)
 
 
 def rows(spark, *found):
@@ -111,6 +173,19 @@ def test_chunks(spark):
         chunking.split_documents(docs, size=10, overlap=10)
 
 
+def test_chunks_keep_keys_of_any_name(spark):
+    docs = spark.createDataFrame([(7, "One. Two.")], "n long, text string")
+    assert [tuple(r) for r in chunking.split_documents(docs, "n", source=None).collect()] == [(7, 0, "unknown", "One. Two.", 2)]
+    assert docs.select(chunking.split_text(F.col("text"), 2, 1).alias("t")).first()["t"] == ["One.", "One. Two."]
+
+
+def test_chunks_of_many_sentences_take_linear_time(spark):
+    docs = spark.createDataFrame([(1, "Some words stand here now. " * 20_000)], "doc_id long, text string")
+    began = time.time()
+    assert chunking.split_documents(docs, size=64, overlap=8, source=None).count() == 1819
+    assert time.time() - began < 30
+
+
 def test_long_sentence_is_cut(spark):
     text = "Short one. " + " word\t" * 95 + "end. Last one."
     docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
@@ -142,6 +217,35 @@ def test_answers_and_scores(spark, tmp_path):
     assert means == {"faithfulness": 0.5, "answer_relevancy": None, "context_precision": 0.5, "context_recall": 1.0}
 
 
+def test_judge_and_dataset(spark, tmp_path, monkeypatch):
+    monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+    with pytest.raises(ValueError):
+        create_judge()
+
+    def post(url, body, headers, timeout):
+        if url.endswith("/embeddings"):
+            return {"data": [{"embedding": [1.0, float(len(t) > 5)]} for t in body["input"]]}
+        said = body["messages"][0]["content"]
+        return {"choices": [{"message": {"content": 'Here: ["aaaaaaaa", "b"]' if "questions" in said else "[1, 0]"}}]}
+
+    verdicts = create_judge(api_key="k", post=post)("long question", ["c {answer}", "d"], "a", "t")
+    assert verdicts["faithfulness"] == verdicts["context_precision"] == verdicts["context_recall"] == [1.0, 0.0]
+    assert [round(v, 3) for v in verdicts["answer_relevancy"]] == [1.0, 0.707]
+    (tmp_path / "items.json").write_text('[{"question": "q", "ground_truth": "t"}, {"question": "r"}]')
+    assert [(r["question"], r["ground_truth"]) for r in load_dataset(spark, str(tmp_path / "items.json")).collect()] == [("q", "t"), ("r", None)]
+
+
+def test_retrieval_from_settings(spark, tmp_path):
+    P.register_embedder("counting", lambda model: Counting())
+    (tmp_path / "config.toml").write_text('[embedding]\nprovider = "counting"\nmodel = "a/b"\n[llm]\nprovider = "echo"\n[ingestion]\ndirectory = "in"\n[retrieval]\ntop_k = 1\n[storage]\ndirectory = "out"\n')
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(pdf("Alpha."))
+    assert run_ingestion(spark, str(tmp_path / "config.toml"))["chunks"] == 1
+    job = get_retrieval_pipeline(spark, str(tmp_path / "config.toml"))
+    said = job.query(spark.createDataFrame([(1, "What?")], "query_id long, question string")).first()
+    assert said["contexts"] == ["Alpha."] and said["response"].endswith("Answer:")
+
+
 def test_providers():
     sent = []
 
