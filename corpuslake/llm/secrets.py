@@ -9,7 +9,7 @@ complementary parts lie in its scope.
 
 Positions come from the pieces between matches, so all of it is built-in functions in one pass over
 the rows, without a shuffle. Arrays are walked in blocks, so that no step copies more than a block;
-time is linear in the matches of a text (but for one copied reference a block and block).
+60,000 matches in one text take seconds, but 200,000 took over two minutes, so time is not linear there.
 """
 
 from __future__ import annotations
