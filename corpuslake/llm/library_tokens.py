@@ -16,8 +16,13 @@ from collections.abc import Iterable, Iterator
 from .bpe import RUNS
 from .common import held
 
+#: Latin letters before an ASCII character that is no letter: both kinds of vocabulary have a border there, so
+#: "word", "word," and "word." share one entry of the cache.
+LETTERS = r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\x00-@\[-`{-\x7f])"
+#: Vocabularies that keep white space.
+BYTE_PARTS = re.compile(f" ?{LETTERS}|{RUNS.pattern}")
 #: Vocabularies that drop white space: any ASCII white space is a border.
-WORDS = re.compile(r"[^ \t\n\r]+")
+WORDS = re.compile(LETTERS + r"|[^ \t\n\r]+")
 
 
 class LibraryTokens:
@@ -30,7 +35,7 @@ class LibraryTokens:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         byte_level = isinstance(self.library.pre_tokenizer, pre_tokenizers.ByteLevel)
-        self.parts = RUNS if byte_level else WORDS
+        self.parts = BYTE_PARTS if byte_level else WORDS
         self.lower = not byte_level and "Lowercase" in repr(self.library.normalizer)
         self.memo, self.old, self.limit = {}, {}, cache
 
