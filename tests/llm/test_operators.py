@@ -557,3 +557,48 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r["doc_id"] for r in seen[2].collect()} == {r["doc_id"] for r in exact_dedup.exact_duplicates(seen[1]).where("kept").collect()}
     assert {r["doc_id"] for r in seen[3].collect()} == {r["doc_id"] for r in minhash.near_duplicates(seen[2]).where("kept").collect()}
     assert {r["doc_id"] for r in seen[4].collect()} == {r["doc_id"] for r in seen[3].collect()} == {r["doc_id"] for r in seen[5].collect()}
+
+
+def test_pipeline_stages_against_plain_code(spark, empty):
+    """Null, empty, blank, repeated and near equal texts, and an empty table, through the stages behind the classifier."""
+    stages = dict(pytest.importorskip("corpus_pipeline").STAGES)
+    long = [f"w{k}" for k in range(60)]
+    key = "AKIA" + "A1" * 8
+    texts = [None, "", " \n", "one  two", "one two", " ".join(long), " ".join(long[:-1] + ["other"]), " ".join(reversed(long)), f"my password=hunter22 and {key} end", "plain words only"]
+    rows = [(i, t, 7) for i, t in enumerate(texts)] + [(5, " ".join(long), 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3)
+
+    first: dict[str, int] = {}
+    for i, t, _ in sorted(rows, key=lambda r: r[0]):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), i)
+    exact = stages["exact_dedup"](spark, docs, DATA)
+    assert exact.columns == docs.columns and sorted(r["doc_id"] for r in exact.collect()) == sorted(first.values())
+
+    def shingles(t):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    sets = {i: shingles(texts[i]) for i in first.values()}
+    linked = {b for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    near = stages["near_dedup"](spark, exact, DATA)
+    assert linked == {6} and {r["doc_id"] for r in near.collect()} == set(sets) - linked
+
+    clean = stages["secrets"](spark, near, DATA)
+    wanted = {i: texts[i] for i in set(sets) - linked} | {8: "my [REDACTED] and [REDACTED] end"}
+    found = by_id(clean)
+    assert clean.columns == docs.columns and {i: r["text"] for i, r in found.items()} == wanted
+    assert all(r["n_chars"] == (None if wanted[i] is None else len(wanted[i])) for i, r in found.items())
+
+    whole, places = defaultdict(list), defaultdict(list)
+    for p in stages["packing"](spark, clean, DATA).collect():
+        whole[p["doc_id"]].append(p)
+        places[p["sequence_id"]].append(p)
+    assert set(whole) == set(wanted)
+    for i, pieces in whole.items():
+        ids = [*library(BYTE, wanted[i]), 0]
+        assert sum(p["length"] for p in pieces) == len(ids)
+        assert all(p["ids_crc32"] == zlib.crc32(np.array(ids[p["start"] :][: p["length"]], "<u4").tobytes()) for p in pieces)
+    assert all(sum(p["length"] for p in own) == max(p["offset"] + p["length"] for p in own) <= 1024 for own in places.values())
+
+    for name, stage in list(stages.items())[1:]:
+        assert stage(spark, empty.withColumn("n_chars", F.lit(0)), DATA).count() == 0, name
