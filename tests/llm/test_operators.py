@@ -450,6 +450,36 @@ def test_quality_reads_the_whole_of_a_long_word():
         assert abs(share @ shares[at] + bias - z) < 1e-9
 
 
+def test_quality_score_is_the_softmax_of_the_mean_vector():
+    """Against training's own vectors, averaged over all features one by one."""
+    rng = np.random.default_rng(7)
+    vectors, soft = rng.normal(size=(quality.BUCKETS + quality.PAIRS, 4)), rng.normal(size=(4, 2))
+    model = vectors @ (soft[:, 1] - soft[:, 0]), 0.25
+    texts = ["one two two three", "one", "", "one one one", "é " * 50 + "x" * 200]
+    for text, z in zip(texts, quality.log_odds(model, texts)):
+        words = text.split()
+        own = [vectors[b] for w in words for b in quality.word_buckets(w)]
+        own += [vectors[quality.pair_buckets(quality.word_hashes([a, b]))[0]] for a, b in zip(words, words[1:])]
+        logits = (np.mean(own, axis=0) if own else np.zeros(4)) @ soft + [0, 0.25]
+        p = np.exp(logits) / np.exp(logits).sum()
+        assert abs(p[1] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_toxicity_score_sums_all_pairs():
+    """The machine's closed form against a loop over pairs of distinct terms present."""
+    rng = np.random.default_rng(8)
+    number = np.full(toxicity.BUCKETS, -1, np.int32)
+    known = sorted(toxicity.document_buckets("insult group gathering gathers kindly plain"))
+    number[known] = np.arange(len(known))
+    model = number, rng.normal(size=len(known)), rng.normal(size=(len(known), toxicity.RANK)), -0.5
+    _, w, v, bias = model
+    texts = ["Insult the GROUP", "insult insult insult", "", "unknown", "gathering gathers, group! kindly plain insult", "group"]
+    for text, z in zip(texts, toxicity.log_odds(model, texts)):
+        present = sorted({number[b] for b in toxicity.document_buckets(text)} - {-1})
+        plain = bias + sum(w[i] for i in present) + sum(v[i] @ v[j] for i in present for j in present if i < j)
+        assert abs(z - plain) < 1e-9
+
+
 @pytest.mark.parametrize("score, label, parts, odd_part, least", [(toxicity.toxicity_scores, "toxic", 3, 1, 0.9), (quality.quality_scores, "quality", 5, 0, 0.85)])
 def test_classifiers_on_held_out_rows(spark, docs, odd, empty, score, label, parts, odd_part, least):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
