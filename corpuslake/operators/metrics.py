@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import running_sums
+
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
 #: Those that need a ground truth.
 GROUNDED = ("context_precision", "context_recall")
@@ -25,10 +27,9 @@ def share(verdicts: DataFrame, key: str, verdict: str, name: str) -> DataFrame:
 
 def context_precision(verdicts: DataFrame, key: str, rank: str, verdict: str) -> DataFrame:
     """Mean of precision@rank over the ranks with a positive verdict; 0 without any."""
-    upto = Window.partitionBy(key).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
-    hit = F.col(verdict).cast("double")
-    rows = verdicts.select(key, hit.alias("v"), (F.sum(hit).over(upto) / F.count(F.lit(1)).over(upto)).alias("p"))
-    return rows.groupBy(key).agg(F.coalesce(F.sum(F.col("p") * F.col("v")) / F.nullif(F.sum("v"), F.lit(0.0)), F.lit(0.0)).alias("context_precision"))
+    rows = verdicts.select(key, rank, F.col(verdict).cast("double").alias("__hit"), F.lit(1).alias("__n"))
+    rows = running_sums(rows, key, rank, ["__hit", "__n"]).withColumn("__p", F.col("upto___hit") / F.col("upto___n"))
+    return rows.groupBy(key).agg(F.coalesce(F.sum(F.col("__p") * F.col("__hit")) / F.nullif(F.sum("__hit"), F.lit(0.0)), F.lit(0.0)).alias("context_precision"))
 
 
 def cosine(a: Column, b: Column) -> Column:

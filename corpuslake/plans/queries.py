@@ -153,8 +153,9 @@ FROM r GROUP BY source"""
 
 
 def _contexts(spark, d):
-    docs = read(spark, d, "documents").select("source", "doc_id", "text", T.count_tokens(F.col("text")).alias("n"))
-    return context.contexts(docs, "source", "doc_id", "text", "n", 4096)
+    n = T.count_tokens(F.col("text"))
+    docs = context.reachable(read(spark, d, "documents").select("source", "doc_id", "text"), "source", "doc_id", n, 4096)
+    return context.contexts(docs.withColumn("n", n), "source", "doc_id", "text", "n", 4096)
 
 
 @query(BUDGET)

@@ -17,8 +17,11 @@ def session(name: str = "corpuslake", master: str | None = None, partitions: int
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and kept in ``spark.checkpoint.dir`` (a temporary folder where that is unset)."""
+    """The rows of ``df``, computed once and kept in ``spark.checkpoint.dir`` (a temporary folder where that is unset on one machine)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpuslake-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="corpuslake-"))
     return df.checkpoint(eager=True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslake import config
 from corpuslake.functions import text as T
-from corpuslake.operators import changes, chunking, context, embedding, vectors
+from corpuslake.operators import changes, chunking, context, embedding, metrics, running, vectors
 from corpuslake.plans import evaluate, get_retrieval_pipeline, load_dataset, retrieve, run_ingestion
 from corpuslake.plans.ingest import Ingestion
 from corpuslake.plans.judge import create_judge
@@ -205,6 +205,31 @@ def test_budget_and_prompt(spark):
     assert said == "C has {question} in it Q why"
 
 
+def test_running_sums_of_a_hot_group(spark):
+    given = [("hot" if i % 5 else None if i % 2 else f"k{i % 7}", i * 7919 % 1009, None if i % 11 == 0 else i % 4) for i in range(1000)]
+    df = spark.createDataFrame(given, "q string, r int, n int").repartition(5)
+    found = {(x["q"], x["r"]): x["upto_n"] for x in running.running_sums(df, "q", "r", ["n"]).collect()}
+    sums: dict = {}
+    for q, r, n in sorted(given, key=lambda x: x[1]):
+        sums[q] = sums.get(q, 0) + (n or 0)
+        assert found[q, r] == sums[q]
+    assert running.running_sums(df.limit(0), "q", "r", ["n"]).count() == 0
+
+
+def test_reachable_rows_give_the_same_contexts(spark):
+    given = [("hot" if i % 3 else None if i % 2 else f"k{i % 5}", i * 7919 % 1009, f"t{i}", i % 4 if i % 100 else 500) for i in range(600)]
+    df = spark.createDataFrame(given + [("huge", 1, "x", 9999), ("huge", 2, "y", 1)], "q string, r int, t string, n int")
+    some = context.reachable(df, "q", "r", F.col("n"), 150)
+    plain, own = (sorted(map(tuple, context.contexts(x, "q", "r", "t", "n", 150).collect()), key=repr) for x in (df, some))
+    assert own == plain and some.count() < df.count() and some.columns == df.columns
+
+
+def test_context_precision_with_nulls(spark):
+    given = [("a", 1, 1), ("a", 2, 0), ("a", 3, 1), ("b", 1, 0), ("c", 1, None), ("c", 2, 1), (None, 1, 1)]
+    found = dict(map(tuple, metrics.context_precision(spark.createDataFrame(given, "k string, r int, v int"), "k", "r", "v").collect()))
+    assert found == {"a": pytest.approx((1 + 2 / 3) / 2), "b": 0.0, "c": 0.5, None: 1.0}
+
+
 def test_answers_and_scores(spark, tmp_path):
     table = VectorTable(spark, str(tmp_path / "v"), 3)
     table.add(rows(spark, ("a", "aaa", [3.0, 3.0, 0.0]), ("b", "bbb", [3.0, 0.0, 3.0])))
