@@ -84,11 +84,17 @@ def by_text(docs: DataFrame, made: Callable[[Iterator[tuple[pa.Array, list[str]]
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in made((b.column(0), b.column(1).to_pylist()) for b in sliced(batches)):
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names)
+        let_go()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     return chosen.mapInArrow(each, kind)
 
 
+def let_go() -> None:
+    """Gives back what a worker's Arrow buffers took: workers outlive tasks, and what they keep adds to the JVM's own memory."""
+    pa.default_memory_pool().release_unused()
+
+
 #: Ids are broadcast up to so many (16 MB); beyond, the other side is shuffled.
 SMALL = 1_000_000
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_text, sliced, text_of, written
+from .common import by_text, let_go, sliced, text_of, written
 
 
 def fold(id_col: str, parts: int):
@@ -69,5 +69,6 @@ def accepted(docs: DataFrame, model, score: Callable, threshold: float, text_col
         for batch in sliced(batches):
             texts = (t or "" for t in batch.column(at).to_pylist())
             yield batch.filter(pa.array([z >= line for z in score(shared.value, texts)], pa.bool_()))
+        let_go()
 
     return docs.mapInArrow(rows, docs.schema)

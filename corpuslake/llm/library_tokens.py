@@ -26,7 +26,7 @@ WORDS = re.compile(LETTERS + r"|[^ \t\n\r]+")
 
 
 class LibraryTokens:
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -87,6 +87,6 @@ class LibraryTokens:
             self.memo, self.old = {}, self.memo
 
 
-def library_tokens(path: str) -> LibraryTokens:
-    """One per vocabulary file and Python worker."""
-    return held("tokens", path, lambda: LibraryTokens(path))
+def library_tokens(path: str, cache: int = 500_000) -> LibraryTokens:
+    """One per vocabulary file and Python worker; up to twice ``cache`` parts are kept with their ids."""
+    return held("tokens", (path, cache), lambda: LibraryTokens(path, cache))

@@ -127,17 +127,18 @@ class Packer:
 PIECE = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, vocab: str, size: int = 1024, end_id: int = 0, most: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocab: str, size: int = 1024, end_id: int = 0, most: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache: int = 500_000) -> DataFrame:
     """One row per piece: which ids of which document lie where in which sequence.
 
     Ids are the tokenizers library's for ``vocab`` and ``end_id`` after them. Null and empty texts have
     only the end id; very long texts fill windows of their own and place the rest. Repeated rows and ids
     are packed each; null ids stay null; an empty table gives no rows; other columns of ``docs`` are not
-    read. ``with_ids`` adds the ids (array<int>) of each piece. ``most`` bounds the open windows of a task.
+    read. ``with_ids`` adds the ids (array<int>) of each piece. ``most`` bounds the open windows of a task,
+    ``cache`` the parts of texts that a worker keeps with their ids; results do not depend on the latter.
     """
 
     def rows(batches) -> Iterator[list]:
-        tokens, packer, number = library_tokens(vocab), Packer(size, most), TaskContext.get().partitionId() << 36
+        tokens, packer, number = library_tokens(vocab, cache), Packer(size, most), TaskContext.get().partitionId() << 36
         end = end_id.to_bytes(4, "little")
 
         def flushed() -> list:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -103,7 +104,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 8, rate: float = 1.0, s
     return vectors @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0])
 
 
-def log_odds(model: tuple[np.ndarray, float], texts: Iterable[str]) -> Iterator[float]:
+def log_odds(model: tuple[np.ndarray, float], texts: Iterable[str], cache: int = 400_000) -> Iterator[float]:
     shares, bias = model
 
     def describe(words: list[str]):
@@ -112,7 +113,7 @@ def log_odds(model: tuple[np.ndarray, float], texts: Iterable[str]) -> Iterator[
         sums = np.add.reduceat(shares[np.concatenate(own)], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
         return sums.astype(np.float64), sizes, word_hashes(words)
 
-    table = held("quality", id(shares), lambda: WordTable(describe))
+    table = held("quality", id(shares), lambda: WordTable(describe, cache))
     for text in texts:
         words = text.split()
         if not words:
@@ -138,9 +139,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", h
     return found.select(id_col, F.coalesce(fold(id_col, parts) == odd, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: tuple[int, int] = (5, 0), threshold: float = 0.3, per_class: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``quality_scores`` predicts as 1."""
+def quality_filter(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: tuple[int, int] = (5, 0), threshold: float = 0.3, per_class: int = 1000, id_col: str = "doc_id", text_col: str = "text", cache: int = 400_000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``quality_scores`` predicts as 1; a worker keeps ``cache`` words."""
     parts, odd = held_out
     texts, y, odds = training_rows(docs, labels, label, lambda c: fold(c, parts) != odd, per_class, id_col, text_col)
     shares, bias = train(texts, y)
-    return accepted(docs, (shares, bias + odds), log_odds, threshold, text_col)
+    return accepted(docs, (shares, bias + odds), partial(log_odds, cache=cache), threshold, text_col)
