@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secrets, url_filter
+from . import quality_rules, secrets, url_filter
 
 OP6 = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -108,3 +108,49 @@ SELECT doc_id, len(assign)::BIGINT AS n_assign, len(access)::BIGINT AS n_access,
        sha256({_listed('base')}) AS base_sha256, {_listed('base || accounts || opaques || endpoints')} AS spans
 FROM w
 """
+
+
+def op11() -> str:
+    """Windows are compared as strings; line counts by host over distinct texts."""
+    s, w = r"\x20\x09-\x0D", quality_rules.WINDOW
+    norm = f"regexp_replace(translate(trim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '{quality_rules.CAPITALS}', '{quality_rules.LETTERS}'), '[{s}]+', ' ', 'g')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+x AS (SELECT r, doc_id, host, t, regexp_extract_all(t, '[^{s}]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{s}]')) AS l FROM d),
+g AS (SELECT r, unnest(range(1, len(w) - {w - 2})) AS i, unnest(list_transform(range(1, len(w) - {w - 2}), lambda i: array_to_string(w[i:i + {w - 1}], ' '))) AS g FROM x WHERE len(w) > {w}),
+q AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g),
+p AS (SELECT r, count(DISTINCT k) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + {w})) AS k FROM q WHERE n > 1) GROUP BY r),
+u AS (SELECT DISTINCT host, t, l FROM x WHERE len(l) > 0),
+e AS (SELECT host, t, {norm} AS h, len(regexp_extract_all(x, '[^{s}]+')) AS n FROM (SELECT host, t, unnest(l) AS x FROM u)),
+f AS (SELECT host, h FROM e JOIN (SELECT host, count(*) AS documents FROM u GROUP BY host) USING (host) GROUP BY host, h, documents
+  HAVING count(DISTINCT t) >= {quality_rules.LEAST} AND count(DISTINCT t) > {quality_rules.SHARE} * documents),
+o AS (SELECT host, t, sum(n)::BIGINT AS removed_words FROM e JOIN f USING (host, h) GROUP BY host, t),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '{quality_rules.SYMBOLS}'))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed_words, 0)::BIGINT AS removed_words
+  FROM x LEFT JOIN p USING (r) LEFT JOIN o USING (host, t))
+SELECT *, n_words < {quality_rules.FEWEST_WORDS} OR 100 * n_repeat_words > {quality_rules.REPEATED_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {quality_rules.FEWEST_WORDS} OR 100 * n_repeat_words > {quality_rules.REPEATED_PERCENT} * n_words) AND removed_words <= {quality_rules.DEPLETED} * n_words AS kept
+FROM m
+"""
+
+
+def op12(k: int = 8, size: int = 64, scale: int = 1024, rounds: int = 10) -> str:
+    """Every vector against every centroid, round after round."""
+    distance = "list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT r, vec_id, v, min(struct_pack(d := d, c := c)) AS b FROM (SELECT x.r, x.vec_id, x.v, c.c, {distance} AS d FROM x, c{r} c) GROUP BY r, vec_id, v)")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT c, i, sum(e)::HUGEINT AS s, count(*) AS n FROM (SELECT b.c AS c, unnest(v) AS e, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i),
+m{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON m.c = c.c)""")
+    nl = ",\n"
+    return f"""
+WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda y: floor({scale} * y::DOUBLE)::BIGINT) AS v FROM e),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v FROM x QUALIFY c < {k}),
+{nl.join(steps)},
+t AS (SELECT b.c AS c, sum(b.d)::BIGINT AS own FROM a{rounds} GROUP BY 1)
+SELECT vec_id, b.c::INT AS cluster, b.d AS distance, own AS cluster_inertia, (SELECT sum(own)::BIGINT FROM t) AS inertia, sha256(array_to_string(f.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN t ON t.c = a.b.c JOIN c{rounds} f ON f.c = a.b.c
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, minhash, oracles, packing, quality, secrets, token_output, toxicity, url_filter
+from . import bpe, centroid_clusters, conversation_repair, embedding_dedup, exact_dedup, minhash, oracles, packing, quality, quality_rules, secrets, token_output, toxicity, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -64,9 +64,22 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.centroid_digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_toxicity, op4_token_output, op5_embedding_dedup, op6_exact_dedup, op7_packing, op8_quality, op9_minhash, op10_secrets)}
+    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_toxicity, op4_token_output, op5_embedding_dedup, op6_exact_dedup, op7_packing, op8_quality, op9_minhash, op10_secrets, op11_quality_rules, op12_centroids, op13_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": oracles.op2(), "op6_exact_dedup": oracles.OP6, "op9_minhash": oracles.OP9, "op10_secrets": oracles.op10()}
+    return {"op2_url_filter": oracles.op2(), "op6_exact_dedup": oracles.OP6, "op9_minhash": oracles.OP9, "op10_secrets": oracles.op10(), "op11_quality_rules": oracles.op11(), "op12_centroids": oracles.op12()}
