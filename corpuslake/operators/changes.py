@@ -14,6 +14,24 @@ def changed_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
     return files.join(known, "path", "left").where(F.col("listed").isNull() | ~F.col("known").eqNullSafe(F.col("md5"))).select("path", "md5", F.col("listed").isNull().alias("is_new"))
 
 
+def touched_files(listing: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Files of a ``listing`` (path, length, modified) that the ledger lacks or holds with another length or time: ``path``, ``is_new``, ``known`` (its hash there).
+
+    Whether they changed only their contents tell; all other files need not be read. A path may stand in the ledger more than once: its last time counts.
+    """
+    last = ledger.groupBy("path").agg(F.max_by(F.struct("length", "modified", "md5"), "modified").alias("l"), F.lit(True).alias("listed"))
+    met = listing.join(last, "path", "left")
+    same = F.col("l.length").eqNullSafe(F.col("length")) & F.col("l.modified").eqNullSafe(F.col("modified"))
+    return met.where(F.col("listed").isNull() | ~same).select("path", F.col("listed").isNull().alias("is_new"), F.col("l.md5").alias("known"))
+
+
+def event_kinds(events: DataFrame, ledger: DataFrame) -> DataFrame:
+    """File events with ``kind``: ``modified`` if the ledger has the path, else ``created``."""
+    known = ledger.select(F.col("path").alias("__path")).distinct()
+    met = events.join(known, F.col("path") == F.col("__path"), "left")
+    return met.withColumn("kind", F.when(F.col("__path").isNull(), "created").otherwise("modified")).drop("__path")
+
+
 def explicit_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
     """All of ``files``, whatever their hashes, with ``is_new``."""
     known = ledger.select("path").distinct().withColumn("known", F.lit(True))

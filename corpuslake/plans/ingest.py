@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from datetime import datetime
 
@@ -15,9 +16,14 @@ from ..operators import changes, chunking
 from ..session import checkpointed
 from ..sources import files as S
 from ..sources import providers
-from ..sources.snapshots import Snapshots, VectorTable
+from ..sources.log_table import LogTable
+from ..sources.shared_files import SharedFiles
+from ..sources.vector_table import VectorTable
 
-STATUS = "status string, at string, details map<string, string>"
+LEDGER = "path string, md5 string, length long, modified timestamp"
+STATUS = "ingestion_status.json"
+#: Files that are taken up together at most; so many paths are on the driver at a time.
+PATHS = 10_000
 
 
 def store_of(spark: SparkSession, storage: str, embedder, model: str) -> VectorTable:
@@ -28,65 +34,68 @@ def store_of(spark: SparkSession, storage: str, embedder, model: str) -> VectorT
 class Ingestion:
     """A file's path is its key: files of one name in other folders stay apart.
 
-    Only files that could be read enter the ledger, in every mode, so a broken file is tried again. A
-    changed file's old rows go even if it has no chunks any more.
+    A folder is listed first, without contents. Files whose length or time differ from the ledger's are read, by the tasks that parse
+    them, and those whose hash differs as well are taken up. Only files that could be read enter the ledger, in every mode, so a broken file is
+    tried again. A changed file's old rows go even if it has no chunks any more.
     """
 
     def __init__(self, spark: SparkSession, folder: str, storage: str, embedder, model: str = "default", size: int = 1024, overlap: int = 50, batch: int = 100):
         self.spark, self.folder, self.storage, self.embedder = spark, folder, storage.rstrip("/"), embedder
         self.size, self.overlap, self.batch = size, overlap, batch
         self.store = store_of(spark, self.storage, embedder, model)
-        self.ledger = Snapshots(spark, f"{self.storage}/ledger", "path string, md5 string")
+        self.ledger = LogTable(spark, f"{self.storage}/ledger", LEDGER, "path", buckets=1)
+        self._status = SharedFiles(spark, self.storage)
 
     def run(self, force: bool = False) -> dict:
         """All files; ``force`` clears table and ledger first."""
         if force:
             self.store.delete_all()
-            self.ledger.write(self.spark.createDataFrame([], self.ledger.schema))
-        found = S.discovered(self.spark, self.folder)
-        return self._step(changes.explicit_files(found, self._known()), found)
+            self.ledger.clear()
+        return self._step(S.discovered(self.spark, self.folder), self._known()) | {"total_vectors": self.store.count()}
 
     def run_incremental(self) -> dict:
-        """Files that are new or changed."""
-        found = S.discovered(self.spark, self.folder)
-        return self._step(changes.changed_files(found, self._known()), found)
+        """Files that are new or changed, ``PATHS`` at a time."""
+        return self._in_parts(PATHS)
 
     def run_files(self, paths: list[str]) -> dict:
         """The files at ``paths``, wherever they lie, changed or not; a bare name is one of the folder."""
-        found = S.discovered(self.spark, [p if "/" in p else f"{self.folder}/{p}" for p in paths])
-        return self._step(changes.explicit_files(found, self._known()), found)
+        return self._step(S.discovered(self.spark, [p if "/" in p else f"{self.folder}/{p}" for p in paths]), self._known()) | {"total_vectors": self.store.count()}
 
     def run_streaming(self) -> dict:
-        """New and changed files, ``batch`` at a time, each batch a snapshot of its own."""
-        found = S.discovered(self.spark, self.folder)
-        dealt = checkpointed(changes.in_batches(changes.changed_files(found, self._known()), self.batch))
+        """New and changed files, ``batch`` at a time, each batch a version of its own."""
+        return self._in_parts(self.batch)
+
+    def touched(self) -> DataFrame:
+        """Files that differ from the ledger by the folder's listing."""
+        return changes.touched_files(S.listed(self.spark, self.folder), self._known())
+
+    def _in_parts(self, size: int) -> dict:
+        dealt = checkpointed(changes.in_batches(self.touched(), size))
         last = dealt.agg(F.max("batch")).first()[0] or 0
         total = {"files": 0, "failed": 0, "new_files": 0, "updated_files": 0, "chunks": 0}
         for number in range(1, last + 1):
-            one = self._step(dealt.where(F.col("batch") == number).drop("batch"), found)
+            part = dealt.where(F.col("batch") == number).select("path", "known")
+            files = S.discovered(self.spark, [r["path"] for r in part.select("path").collect()])  # ``size`` paths at most
+            one = self._step(files.join(F.broadcast(part), "path", "left"), part)
             total = {k: v + one[k] for k, v in total.items()}
         return total | {"total_vectors": self.store.count()}
 
     def prune(self) -> None:
         """Drops rows and ledger entries of files that are gone."""
-        left = S.discovered(self.spark, self.folder).select("path")
-        ledger = checkpointed(self._known())
-        gone = ledger.join(left, "path", "left_anti").select(F.col("path").alias("source"))
-        self.store.add(self.spark.createDataFrame([], self.store.schema), gone)
-        self.ledger.write(ledger.join(left, "path", "left_semi"))
+        gone = checkpointed(self._known().join(S.listed(self.spark, self.folder), "path", "left_anti").select("path").distinct())
+        self.store.remove(gone.withColumnRenamed("path", "source"))
+        self.ledger.remove(gone)
 
     def status(self, state: str, **more) -> None:
         """Publishes the job's state; a reader sees this one or the one before."""
-        row = (state, datetime.now().isoformat(), {k: str(v) for k, v in more.items()})
-        Snapshots(self.spark, f"{self.storage}/status", STATUS, keep=2).write(self.spark.createDataFrame([row], STATUS).coalesce(1))
+        self._status.replace(STATUS, json.dumps({"status": state, "at": datetime.now().isoformat()} | {k: str(v) for k, v in more.items()}))
 
     def last_status(self) -> dict:
         """The state published last; ``idle`` without one that can be read."""
         try:
-            row = Snapshots(self.spark, f"{self.storage}/status", STATUS).read().first()
-        except PySparkException:
-            row = None
-        return {"status": row["status"], "at": row["at"], **row["details"]} if row else {"status": "idle"}
+            return json.loads(self._status.text(STATUS) or "")
+        except ValueError:
+            return {"status": "idle"}
 
     def wait(self, tries: int = 60, pause: float = 2.0) -> dict:
         """Asks for the state until it is neither ``processing`` nor ``idle``, or ``tries`` are over; the last one."""
@@ -101,22 +110,28 @@ class Ingestion:
         """The ledger; one that can't be read counts as empty, so that all files are taken anew."""
         try:
             return checkpointed(self.ledger.read())
-        except PySparkException:
+        except (PySparkException, ValueError):
             return self.spark.createDataFrame([], self.ledger.schema)
 
-    def _step(self, chosen: DataFrame, found: DataFrame) -> dict:
-        chosen = checkpointed(chosen)
-        pages = checkpointed(S.loaded(found.join(chosen.select("path"), "path", "left_semi")))
-        failed = pages.where("error is not null").select("path").distinct()
-        good = checkpointed(chosen.join(failed, "path", "left_anti"))
-        texts = pages.where("error is null").select(F.concat_ws("#", "path", "page_label").alias("page"), "path", "text")
+    def _step(self, files: DataFrame, known: DataFrame) -> dict:
+        """Takes up ``files`` with their contents; ``known`` has the paths of the ledger (more or fewer don't matter), with a null hash for new ones or none at all."""
+        pages = checkpointed(S.loaded(files))
+        failed = pages.where("error is not null").select("path").distinct().count()
+        read = pages.where("error is null").select("path", "md5", "length", "modified", "same").distinct()
+        hash_of = "known" if "known" in known.columns else "md5"
+        old = known.where(F.col(hash_of).isNotNull()).select(F.col("path").alias("__path")).distinct()
+        read = checkpointed(read.join(old, F.col("path") == F.col("__path"), "left").withColumn("is_new", F.col("__path").isNull()).drop("__path"))
+        good = read.where(~F.col("same"))
+        texts = pages.where("error is null and not same").select(F.concat_ws("#", "path", "page_label").alias("page"), "path", "text")
         chunks = chunking.split_documents(texts, "page", size=self.size, overlap=self.overlap, source="path")
         rows = chunks.select("source", F.concat_ws("#", "page", F.col("chunk_index").cast("string")).alias("chunk_id"), "text", "n_tokens")
         rows = checkpointed(providers.embedded(rows, self.embedder))
-        self.store.add(rows, good.select(F.col("path").alias("source")))
-        self.ledger.write(self._known().join(good, "path", "left_anti").unionByName(good.select("path", "md5")))
         counts = good.agg(F.count("*").alias("files"), F.count_if("is_new").alias("new_files"), F.count_if(~F.col("is_new")).alias("updated_files")).first().asDict()
-        return counts | {"failed": failed.count(), "chunks": rows.count(), "total_vectors": self.store.count()}
+        if counts["files"]:
+            self.store.add(rows, good.select(F.col("path").alias("source")))
+        if counts["files"] or not read.isEmpty():
+            self.ledger.upsert(read.select("path", "md5", "length", "modified"))  # of touched files that did not change, too: they are not read again
+        return counts | {"failed": failed, "chunks": rows.count()}
 
 
 def run_ingestion(spark: SparkSession, config_path: str | None = None, force: bool = False, incremental: bool = False, files: list[str] | None = None) -> dict:

@@ -9,7 +9,7 @@ from ..config import load_config, resolved, setting
 from ..functions import text as T
 from ..operators.context import contexts
 from ..sources import providers
-from ..sources.snapshots import VectorTable
+from ..sources.vector_table import VectorTable
 from .ingest import store_of, token_overhead
 
 

@@ -20,13 +20,26 @@ def admitted(content: Column, largest: int = MAX_UPLOAD, magic: bytes = b"%PDF-"
     return F.when(F.octet_length(content) > largest, "too large").when(~begins, "wrong type").otherwise("ok")
 
 
-def discovered(spark: SparkSession, folder: str | list[str], glob: str = "*.[pP][dD][fF]") -> DataFrame:
-    """Files of a folder (not of folders in it), or of a list of paths: path, file_name, length, modified, md5, content."""
+PDF = "*.[pP][dD][fF]"
+
+
+def _binary(spark: SparkSession, folder: str | list[str], glob: str) -> DataFrame:
     for path in [folder] if isinstance(folder, str) else folder:
-        if "://" not in path and not Path(path).exists():
+        if "://" not in path and not path.startswith("file:") and not Path(path).exists():
             raise FileNotFoundError(path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", F.col("modificationTime").alias("modified"), F.md5("content").alias("md5"), "content")
+    paths = folder if isinstance(folder, str) else [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in folder]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths)
+    return files.withColumns({"file_name": F.element_at(F.split("path", "/"), -1), "modified": F.col("modificationTime")})
+
+
+def listed(spark: SparkSession, folder: str, glob: str = PDF) -> DataFrame:
+    """Files of a folder (not of folders in it), from its listing alone: path, file_name, length, modified. No content is read."""
+    return _binary(spark, folder, glob).select("path", "file_name", "length", "modified")
+
+
+def discovered(spark: SparkSession, folder: str | list[str], glob: str = PDF) -> DataFrame:
+    """Files of a folder (not of folders in it), or of a list of paths: path, file_name, length, modified, md5, content."""
+    return _binary(spark, folder, glob).select("path", "file_name", "length", "modified", F.md5("content").alias("md5"), "content")
 
 
 def pdf_text(data: bytes) -> list[str]:
@@ -58,20 +71,36 @@ def pdf_text(data: bytes) -> list[str]:
     return pages
 
 
+PAGES = "path string, source string, page_label string, text string, error string, md5 string, length long, modified timestamp, same boolean"
+
+
 def loaded(files: DataFrame) -> DataFrame:
-    """Text of each file by page: path, source, page_label, text, error. A file that can't be read gives one row with ``error``."""
+    """Text of each file by page: path, source, page_label, text, error; and md5, length, modified of the file.
+
+    A file that can't be read, or has no text, gives one row with ``error``. With a column ``known`` (a hash) a file that has this very hash is not
+    parsed and gives one row that is ``same``. Contents are parsed by the tasks that read them.
+    """
+    if "known" not in files.columns:
+        files = files.withColumn("known", F.lit(None).cast("string"))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for path, name, data in zip(batch["path"], batch["file_name"], batch["content"]):
+            for path, name, data, md5, length, modified, known in batch.itertuples(index=False):
+                about = (md5, length, modified, md5 == known)
+                if md5 == known:
+                    out.append((path, name, None, None, None, *about))
+                    continue
                 try:
-                    out += [(path, name, str(i), text, None) for i, text in enumerate(pdf_text(bytes(data)), 1)]
+                    pages = pdf_text(bytes(data))
+                    if not any(text.strip() for text in pages):
+                        raise ValueError("no text found")
+                    out += [(path, name, str(i), text, None, *about) for i, text in enumerate(pages, 1)]
                 except Exception as error:  # one bad file must not stop the others; it is reported
-                    out.append((path, name, None, None, str(error)))
-            yield pd.DataFrame(out, columns=["path", "source", "page_label", "text", "error"])
+                    out.append((path, name, None, None, str(error), *about))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PAGES.split(", ")])
 
-    return files.select("path", "file_name", "content").mapInPandas(rows, "path string, source string, page_label string, text string, error string")
+    return files.select("path", "file_name", "content", "md5", "length", "modified", "known").mapInPandas(rows, PAGES)
 
 
 def load_file(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import time
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ from corpuslake.plans.ingest import Ingestion
 from corpuslake.plans.judge import create_judge
 from corpuslake.sources import files as S
 from corpuslake.sources import providers as P
-from corpuslake.sources.snapshots import Snapshots, VectorTable
+from corpuslake.sources.log_table import LogTable
+from corpuslake.sources.vector_table import VectorTable
 from corpuslake.streaming.watch import watched
 
 
@@ -64,6 +67,56 @@ def test_ingestion_modes(spark, tmp_path):
     assert job.run_files(["a.pdf"])["updated_files"] == 1
 
 
+def test_a_tick_over_unchanged_files_reads_no_content(spark, tmp_path):
+    """By a listing of 10,000 files: their contents could be anything, and are, behind the same length and time."""
+    docs = tmp_path / "in"
+    docs.mkdir()
+    for i in range(10_000):
+        (docs / f"f{i}.pdf").write_bytes(b"x")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64k")
+    try:
+        job = Ingestion(spark, str(docs), str(tmp_path / "out"), Counting())
+        job.ledger.upsert(S.listed(spark, str(docs)).withColumn("md5", F.lit("never looked at")))
+        assert job.touched().count() == 0
+        plan = job.touched()._jdf.queryExecution().executedPlan().toString()
+        assert "content" not in plan
+        assert job.run_incremental() == {"files": 0, "failed": 0, "new_files": 0, "updated_files": 0, "chunks": 0, "total_vectors": 0}
+        (docs / "f7.pdf").write_bytes(pdf("Seven."))
+        assert [(r["path"].rsplit("/", 1)[1], r["is_new"]) for r in job.touched().collect()] == [("f7.pdf", False)]
+        found = job.run_incremental()
+        assert (found["files"], found["updated_files"], found["chunks"]) == (1, 1, 1)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_files_touched_but_not_changed(spark, tmp_path):
+    docs = tmp_path / "in"
+    docs.mkdir()
+    for name in ("a [1]{x}*.pdf", "b?.pdf"):  # what looks like a pattern is a name
+        (docs / name).write_bytes(pdf(f"Text of {name[0]}."))
+    (docs / "empty.pdf").write_bytes(b"%PDF-1.4 nothing")
+    job = Ingestion(spark, str(docs), str(tmp_path / "out"), Counting())
+    first = job.run_incremental()
+    assert (first["new_files"], first["failed"], first["chunks"]) == (2, 1, 2)
+    version = max(job.store.versions())
+    os.utime(docs / "b?.pdf", (1, 1))
+    assert job.touched().count() == 2  # and the one without text, which is tried again
+    again = job.run_incremental()
+    assert (again["files"], again["failed"], again["total_vectors"]) == (0, 1, 2) and max(job.store.versions()) == version
+    assert {r["path"].rsplit("/", 1)[1] for r in job.touched().collect()} == {"empty.pdf"}
+    assert {r["error"] for r in S.load_folder(spark, str(docs)).where("error is not null").collect()} == {"no text found"}
+
+
+def test_touched_files_with_nulls_and_repeats(spark):
+    t = [datetime(2024, 1, d) for d in (1, 2, 3)]
+    files = spark.createDataFrame([("a", 1, t[0]), ("b", 1, t[0]), ("c", 2, t[1]), ("d", 1, t[0]), ("e", None, None)], "path string, length long, modified timestamp")
+    ledger = spark.createDataFrame([("a", "1", 1, t[0]), ("b", "x", 1, t[2]), ("b", "y", 1, t[0]), ("c", "2", 2, None), ("e", None, None, None)], "path string, md5 string, length long, modified timestamp")
+    found = {r["path"]: (r["is_new"], r["known"]) for r in changes.touched_files(files, ledger).collect()}
+    assert found.pop("b") == (False, "x") and found.pop("d") == (True, None) and set(found) == {"c"}
+    kinds = changes.event_kinds(spark.createDataFrame([("a",), ("z",), ("b",)], "path string"), ledger).collect()
+    assert {r["path"]: r["kind"] for r in kinds} == {"a": "modified", "b": "modified", "z": "created"}
+
+
 def test_stream_ingests(spark, tmp_path):
     docs = tmp_path / "in"
     docs.mkdir()
@@ -101,17 +154,20 @@ def test_explicit_files_elsewhere(spark, tmp_path):
         job.run_files([str(tmp_path / "none.pdf")])
 
 
-def test_snapshots_survive_a_writer_that_dies(spark, tmp_path):
-    table = Snapshots(spark, str(tmp_path), "a int", keep=2)
-    table.write(spark.createDataFrame([(1,)], "a int"))
-    broken = spark.createDataFrame([(1,)], "a int").select(F.raise_error(F.lit("lost")).cast("int").alias("a"))
+def test_log_table_survives_a_writer_that_dies(spark, tmp_path):
+    table = LogTable(spark, str(tmp_path), "k string, a int", "k", keep=2)
+    one = lambda k, a: spark.createDataFrame([(k, a)], "k string, a int")
+    assert table.upsert(one("x", 1)) == 1
+    broken = one("x", 1).select("k", F.raise_error(F.lit("lost")).cast("int").alias("a"))
     with pytest.raises(Exception, match="lost"):
-        table.write(broken)
-    (tmp_path / "v-00000002").write_text("")  # died between taking the number and naming the folder
+        table.upsert(broken)
+    (tmp_path / ".writing-0").write_text("half a mani")  # died while it wrote a manifest
     assert [r["a"] for r in table.read().collect()] == [1]
-    assert table.write(spark.createDataFrame([(3,)], "a int")) == 3 and [r["a"] for r in table.read().collect()] == [3]
-    table.write(spark.createDataFrame([(4,)], "a int"))
-    assert table.versions() == [3, 4] and [r["a"] for r in table.read().collect()] == [4]
+    assert table.upsert(one("x", 3)) == 2 and [r["a"] for r in table.read().collect()] == [3]
+    table.upsert(one("x", 4))
+    assert table.versions() == [2, 3] and [r["a"] for r in table.read().collect()] == [4] and [r["a"] for r in table.read(2).collect()] == [3]
+    with pytest.raises(ValueError):
+        table.read(1)
 
 
 def test_changed_files_with_nulls_and_repeats(spark):
