@@ -44,7 +44,7 @@ class Ingestion:
         self.size, self.overlap, self.batch = size, overlap, batch
         self.store = store_of(spark, self.storage, embedder, model)
         self.ledger = LogTable(spark, f"{self.storage}/ledger", LEDGER, "path", buckets=1)
-        self._status = SharedFiles(spark, self.storage)
+        self.files = SharedFiles(spark, self.storage)
 
     def run(self, force: bool = False) -> dict:
         """All files; ``force`` clears table and ledger first."""
@@ -88,12 +88,12 @@ class Ingestion:
 
     def status(self, state: str, **more) -> None:
         """Publishes the job's state; a reader sees this one or the one before."""
-        self._status.replace(STATUS, json.dumps({"status": state, "at": datetime.now().isoformat()} | {k: str(v) for k, v in more.items()}))
+        self.files.replace(STATUS, json.dumps({"status": state, "at": datetime.now().isoformat()} | {k: str(v) for k, v in more.items()}))
 
     def last_status(self) -> dict:
         """The state published last; ``idle`` without one that can be read."""
         try:
-            return json.loads(self._status.text(STATUS) or "")
+            return json.loads(self.files.text(STATUS) or "")
         except ValueError:
             return {"status": "idle"}
 
