@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Words whose hashes a worker keeps.
+KEPT = 200_000
+
+
+@lru_cache(KEPT)
+def word_hash(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+
 
 def hash_embedded(docs: DataFrame, key: str, text: str = "text", dimension: int = 64) -> DataFrame:
     """``key`` and ``embedding`` (array<double>): hashed lower-case words, signed, scaled to length 1.
 
-    Words are summed by component before the shuffle, so at most ``dimension`` numbers a document and
-    task are moved. Rows of null or repeated keys get the vector of their own text. Texts that are null or
-    hold no word get all zeros.
+    A vector is made from its row alone, where the row is read; nothing is shuffled. Texts that are null or hold no word get all zeros.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.md5(F.col(text)).alias("digest"))
-    words = rows.select("key", "digest", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
-    hashed = words.select("key", "digest", F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long").alias("h"))
-    signed = hashed.select("key", "digest", (F.col("h") % dimension).cast("int").alias("at"), F.when(F.floor(F.col("h") / dimension) % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
-    parts = signed.groupBy("key", "digest", "at").agg(F.sum("sign").alias("v"))
-    # Rows of one key and text add up to a multiple, which the scaling takes away.
-    vectors = parts.groupBy(F.col("key").alias("k"), F.col("digest").alias("d")).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("by"))
-    slots = F.sequence(F.lit(0), F.lit(dimension - 1))
-    full = F.transform(slots, lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("by", i), F.lit(0.0)) / F.col("norm")).otherwise(0.0))
-    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d"))
-    return rows.select("key", "digest").join(vectors, same, "left").select(F.col("key").alias(key), full.alias("embedding"))
+    rows = docs.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.zeros((batch.num_rows, dimension))
+            for i, said in enumerate(batch.column(1)):
+                h = np.fromiter(map(word_hash, re.findall("[a-z0-9]+", said.as_py() or "")), np.int64)
+                made[i] = np.bincount(h % dimension, np.where(h // dimension % 2 == 0, 1.0, -1.0), dimension)
+            lengths = np.sqrt((made * made).sum(axis=1, keepdims=True))
+            made = np.divide(made, lengths, out=np.zeros_like(made), where=lengths > 0)
+            at = pa.array(np.arange(0, made.size + 1, dimension, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(made.ravel()))], [key, "embedding"])
+
+    return rows.mapInArrow(each, f"`{key}` {rows.schema['key'].dataType.simpleString()}, embedding array<double>")

@@ -15,7 +15,8 @@ def running_sums(rows: DataFrame, key: str, order: str, sums: list[str]) -> Data
     What lies in the ranges before is added from one row a range and group. Rows of equal order follow each
     other in any order; null keys are a group; nulls add nothing.
     """
-    dealt = rows.select(key, order, *sums).repartitionByRange(key, order).withColumn("__part", F.spark_partition_id())
+    # What the sums are of is computed once: dealing by ranges looks at its input twice.
+    dealt = checkpointed(rows.select(key, order, *sums)).repartitionByRange(key, order).withColumn("__part", F.spark_partition_id())
     upto = Window.partitionBy("__part", key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     # Ranges are sampled; both uses below must see the same ones.
     local = checkpointed(dealt.select("*", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"__own_{c}") for c in sums]))

@@ -69,24 +69,43 @@ def nearest(store: DataFrame, queries: DataFrame, k: int = 4, key: str = "vec_id
 
 
 def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in vectors.to_pylist()]) if len(vectors) else np.zeros((0, 1))
+    """Vectors of one length as rows; null components are NaN."""
+    if not len(vectors):
+        return np.zeros((0, 1))
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
+
+#: Queries whose distances are computed together, and pairs whose exact distances are.
+TOGETHER, PAIRS = 128, 100_000
 
 
 def closest(q: pa.Array, wanted: np.ndarray, x: pa.Array, rows: np.ndarray, k: int, places: int | None) -> pa.Table:
-    """The ``k`` nearest rows of each query, ties by the smaller key."""
+    """The ``k`` nearest rows of each query, ties by the smaller key.
+
+    A matrix product gives distances that are off by rounding; rows that could be among the nearest within twice that error get their
+    distances computed directly, and those count.
+    """
     which, at, distance = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     if len(x):
         order = pc.sort_indices(x).to_numpy()
         rows = rows[order]
-        for i, one in enumerate(wanted):
-            d = ((rows - one) ** 2).sum(axis=1)
+        squares = (rows * rows).sum(axis=1)
+        largest = squares.max(initial=0, where=np.isfinite(squares))
+        for begin in range(0, len(wanted), TOGETHER):
+            some = wanted[begin : begin + TOGETHER]
+            own = (some * some).sum(axis=1)
+            with np.errstate(invalid="ignore"):
+                near = np.nan_to_num(own[:, None] + squares - 2 * (some @ rows.T), nan=np.inf)
+            slack = 1e-13 * rows.shape[1] * (own + largest) + (0 if places is None else 10.0**-places)
+            last = np.partition(near, k - 1, axis=1)[:, k - 1] if k < len(rows) else np.full(len(some), np.inf)
+            i, j = np.nonzero(near <= (last + slack)[:, None])
+            d = np.concatenate([np.zeros(0), *(((rows[j[p : p + PAIRS]] - some[i[p : p + PAIRS]]) ** 2).sum(axis=1) for p in range(0, len(i), PAIRS))])
             d = d if places is None else np.round(d, places)
-            if k < len(d):
-                some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-            else:
-                some = np.arange(len(d))
-            top = some[np.argsort(d[some], kind="stable")[:k]]
-            which.append(np.full(len(top), i))
-            at.append(order[top])
+            best = np.lexsort((j, d, i))
+            i, j, d = i[best], j[best], d[best]
+            top = np.arange(len(i)) - np.searchsorted(i, i) < k
+            which.append(i[top] + begin)
+            at.append(order[j[top]])
             distance.append(d[top])
     return pa.table({"q": q.take(pa.array(np.concatenate(which), pa.int64())), "x": x.take(pa.array(np.concatenate(at).astype(np.int64))), "distance": np.concatenate(distance)})

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import changes, chunking, context, embedding, metrics, vectors
+from ..operators import changes, chunking, context, embedding, metrics, token_counts, vectors
+from ..session import shared_folder
+from ..sources.log_table import LogTable
 from ..streaming import debounce
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str):
+def query(sql: str | None):
     def register(f):
-        FOUND[f.__name__], SQL[f.__name__] = f, sql
+        FOUND[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
         return f
 
     return register
@@ -81,7 +86,10 @@ NEW_ROWS = "SELECT doc_id + 1000000 AS doc_id, source, 'new ' || text AS text FR
 def q_upsert_by_source(spark, d):
     store = read(spark, d, "documents").select("doc_id", "source", "text")
     new = read(spark, d, "documents").where("source in ('src1', 'src2') and lang = 'en'").select((F.col("doc_id") + 1000000).alias("doc_id"), "source", F.concat(F.lit("new "), "text").alias("text"))
-    return vectors.upserted(store, new).select("doc_id", "source", F.md5("text").alias("text_md5"))
+    table = LogTable(spark, shared_folder(spark, "upsert"), "doc_id long, source string, text string", "source")
+    table.upsert(store)
+    table.upsert(new)
+    return table.read().select("doc_id", "source", F.md5("text").alias("text_md5"))
 
 
 @query("SELECT source, count(*) AS n FROM documents WHERE source NOT IN ('src3', 'src4') GROUP BY source")
@@ -110,6 +118,21 @@ def q_count_tokens(spark, d):
     return read(spark, d, "documents").select("doc_id", T.count_tokens(F.col("text")).alias("n_tokens"))
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary's file: in $TOKENIZERS_DIR, or beside the installed package."""
+    if folder := os.environ.get("TOKENIZERS_DIR"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query(None)  # the pattern looks ahead and merging is iterative; tested against a tokenizer over all documents
+def q_byte_pair_tokens(spark, d):
+    known = token_counts.Vocabulary(vocabulary("byte_bpe_50k.tiktoken"))
+    return token_counts.with_token_counts(read(spark, d, "documents").select("doc_id", "text"), known).select("doc_id", "n_tokens")
+
+
 def _chunk_sql(core: int, overlap: int) -> str:
     """Chunks of sentences; each but the first repeats the last sentences of the one before that fit into ``overlap``."""
     return f"""
@@ -196,7 +219,13 @@ def _files(spark, d):
 
 @query(f"SELECT f.path, f.md5, l.path IS NULL AS is_new FROM {FILES} f LEFT JOIN {LEDGER} l ON l.path = f.path WHERE l.path IS NULL OR l.md5 <> f.md5")
 def q_changed_files(spark, d):
-    return changes.changed_files(*_files(spark, d))
+    """Against a ledger of three versions: an old hash of every path, then what it holds now, then some files gone."""
+    files, now = _files(spark, d)
+    ledger = LogTable(spark, shared_folder(spark, "ledger"), "path string, md5 string", "path", buckets=1)
+    ledger.upsert(files.select("path", F.lit("older").alias("md5")))
+    ledger.upsert(now)
+    ledger.remove(files.where("doc_id % 3 = 0").select("path"))
+    return changes.changed_files(files, ledger.read())
 
 
 @query(f"SELECT f.path, f.md5, l.path IS NULL AS is_new FROM {FILES} f LEFT JOIN {LEDGER} l ON l.path = f.path WHERE f.source IN ('src5', 'src6')")
@@ -232,9 +261,9 @@ def q_sanitize(spark, d):
     return read(spark, d, "pages").select("page_id", T.sanitized(F.col("url")).alias("name"))
 
 
-@query("SELECT model, replace(replace(model, '/', '_'), '-', '_') AS stem FROM (VALUES ('org/some-model'), ('small')) t(model)")
+@query("SELECT page_id, replace(replace(url, '/', '_'), '-', '_') AS stem FROM pages")
 def q_store_path(spark, d):
-    return spark.createDataFrame([("org/some-model",), ("small",)], "model string").select("model", T.store_name(F.col("model")).alias("stem"))
+    return read(spark, d, "pages").select("page_id", T.store_name(F.col("url")).alias("stem"))
 
 
 @query("SELECT doc_id, md5(substr(text, 1, 500) || '...') AS preview_md5 FROM documents")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,12 +18,23 @@ def session(name: str = "corpuslake", master: str | None = None, partitions: int
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and kept in ``spark.checkpoint.dir`` (a temporary folder where that is unset on one machine)."""
-    context = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder, set as the checkpoint folder, where that is unset and Spark runs in one process."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
+        if folder is None and not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="corpuslake-"))
+    return folder or context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors both reach."""
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed once and kept in the shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)

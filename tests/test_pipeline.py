@@ -6,6 +6,8 @@ import os
 import time
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +185,22 @@ def test_hash_embedding_by_row(spark):
     assert len(found) == 5 and len(set(found)) == 3 and sum(not any(v) for v in found) == 1
 
 
+def test_closest_equals_all_distances():
+    """Ties, far from the origin, where a matrix product alone rounds too coarsely; more wanted than there are."""
+    rng = np.random.default_rng(7)
+    for far, k, places in ((0.0, 5, None), (1e6, 3, None), (1e3, 4, 6), (0.0, 99, 6)):
+        rows = far + rng.integers(0, 3, (60, 4)) * 0.5
+        rows[:6], rows[6, 0] = rows[0], np.nan
+        asked, keys = far + rng.integers(0, 3, (7, 4)) * 0.5, rng.permutation(60)
+        found = vectors.closest(pa.array([f"q{i}" for i in range(7)]), asked, pa.array(keys), rows, k, places).to_pylist()
+        for i in range(7):
+            d = ((rows - asked[i]) ** 2).sum(axis=1)
+            plain = sorted(zip(np.isnan(d), d if places is None else np.round(d, places), keys.tolist()))[:k]
+            got = [(r["distance"], r["x"]) for r in found if r["q"] == f"q{i}"]
+            assert [x for _, x in got] == [x for _, _, x in plain]
+            assert all(a == b or nan for (a, _), (nan, b, _) in zip(got, plain))
+
+
 def test_nearest_of_many_queries_is_one_plan(spark):
     store = spark.range(300).select(F.concat(F.lit("s"), "id").alias("name"), F.array(F.col("id").cast("double"), F.lit(0.0)).alias("v"))
     asked = spark.range(5000).select(F.concat(F.lit("q"), "id").alias("who"), F.array((F.col("id") % 300).cast("double"), F.lit(0.25)).alias("v"))
