@@ -1,9 +1,8 @@
-"""Token counts by byte pairs, as joins.
+"""Token counts by byte pairs, as joins over distinct pieces.
 
-Texts are split into pieces by the vocabulary's pattern. Distinct pieces are a table of their own, in which neighbouring tokens
-are merged in rounds: pairs are joined with the broadcast vocabulary, the pair of the least rank of each piece is merged, and
-pieces without such a pair are done. The numbers of tokens are then joined back and summed by text. A piece stands as text,
-``<68><65><6c6c6f>``, each token being its bytes in hexadecimal.
+Texts are split into pieces by the vocabulary's pattern, in Spark. Distinct pieces and how often they stand in all texts are a table;
+each is merged once, however often it stands. Frequent pieces, as many as may be broadcast, are counted by the tasks that read the texts;
+only the others are shuffled, so neither a piece that is everywhere nor the number of distinct pieces is a bottleneck.
 """
 
 from __future__ import annotations
@@ -17,16 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import count_tokens
 from ..session import checkpointed
 
 #: Fixed value: how a text is cut into pieces (letters, digits, other signs, white space), with Unicode's white space.
 PATTERN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces beyond so many bytes would take as many rounds; they are merged in a task, one piece at a time.
-LONG = 64
-#: Rounds between two checkpoints.
-ROUNDS = 4
-#: Distinct pieces whose counts are broadcast at most.
-SMALL = 500_000
+#: Pieces whose counts are broadcast at most (some 60 bytes each), the most frequent ones.
+SMALL = 300_000
 
 
 class Vocabulary:
@@ -39,16 +35,6 @@ class Vocabulary:
     def ranks(self) -> dict[bytes, int]:
         return _ranks(self.path)
 
-    def table(self, spark) -> DataFrame:
-        """``token``, ``rank``, ``alone``.
-
-        Merging all pairs of one rank at once is right unless a merged token is at once part of one of a smaller rank. Tokens that are, at either
-        end, are ``alone``: of those one pair is merged in a round.
-        """
-        ranks = self.ranks
-        alone = {part for token, rank in ranks.items() for i in range(1, len(token)) for part in (token[:i], token[i:]) if ranks.get(part, -1) > rank}
-        return spark.createDataFrame([(token.hex(), rank, token in alone) for token, rank in ranks.items()], "token string, rank int, alone boolean")
-
 
 @lru_cache(4)
 def _ranks(path: str) -> dict[bytes, int]:
@@ -74,32 +60,6 @@ def pieces_of(text: Column, pattern: str = PATTERN) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _tokens(piece: Column) -> Column:
-    return F.regexp_extract_all(piece, F.lit("[0-9a-f]+"), F.lit(0))
-
-
-def _merged(piece: Column, token: Column, alone: Column) -> Column:
-    """Neighbours that make ``token`` become it, from the left; only the first of them if it is ``alone``."""
-
-    def step(s: Column, t: Column) -> Column:
-        fits = (s["held"] != "") & (F.concat(s["held"], t) == token) & ~(alone & s["any"])
-        out = F.when(fits | (s["held"] == ""), s["out"]).otherwise(F.concat(s["out"], F.lit("<"), s["held"], F.lit(">")))
-        return F.struct(out.alias("out"), F.when(fits, token).otherwise(t).alias("held"), (s["any"] | fits).alias("any"))
-
-    start = F.struct(F.lit("").alias("out"), F.lit("").alias("held"), F.lit(False).alias("any"))
-    return F.aggregate(_tokens(piece), start, step, lambda s: F.concat(s["out"], F.lit("<"), s["held"], F.lit(">")))
-
-
-def merge_round(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``rows`` (piece, tokens) after one round, with ``done`` where nothing could be merged."""
-    pairs = F.transform(F.array(_tokens(F.col("tokens"))), lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat(F.element_at(t, i), F.element_at(t, i + 1))))[0]
-    pairs = F.when(F.locate("><", F.col("tokens")) > 0, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
-    by_token, by_rank = F.broadcast(vocabulary.select("token", "rank")), F.broadcast(vocabulary)
-    least = rows.select("piece", "tokens", F.explode_outer(pairs).alias("token")).join(by_token, "token", "left").groupBy("piece", "tokens").agg(F.min("rank").alias("rank"))
-    met = least.join(by_rank, "rank", "left")
-    return met.select("piece", F.when(F.col("rank").isNull(), F.col("tokens")).otherwise(_merged(F.col("tokens"), F.col("token"), F.col("alone"))).alias("tokens"), F.col("rank").isNull().alias("done"))
-
-
 def merged_length(piece: bytes, ranks: dict[bytes, int]) -> int:
     """Tokens of one piece, by a heap of pairs; for pieces of any length."""
     parts: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
@@ -122,48 +82,48 @@ def merged_length(piece: bytes, ranks: dict[bytes, int]) -> int:
 
 
 def piece_counts(pieces: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``piece`` (distinct), ``n``: its tokens."""
-    spark = pieces.sparkSession
-    table = checkpointed(vocabulary.table(spark).coalesce(1))
-    coded = pieces.select("piece", F.lower(F.hex(F.encode("piece", "utf-8"))).alias("code"))
-    coded = checkpointed(coded.repartition("piece"))
-    where = F.length("code") <= 2 * LONG
-
-    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``pieces`` (a column ``piece``, distinct) with ``n``: the tokens of each."""
+    shared = pieces.sparkSession.sparkContext.broadcast(vocabulary.ranks)
+    at, names = pieces.columns.index("piece"), [*pieces.columns, "n"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([merged_length(bytes.fromhex(x.as_py()), vocabulary.ranks) for x in batch.column(1)], pa.int32())], ["piece", "n"])
+            n = [merged_length(x.as_py().encode(), shared.value) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32())], names)
 
-    found = coded.where(~where).mapInArrow(alone, "piece string, n int")
-    left = coded.where(where).select("piece", F.regexp_replace("code", "(..)", "<$1>").alias("tokens"))
-    while True:
-        for _ in range(ROUNDS):
-            left = merge_round(left.select("piece", "tokens"), table)
-        left = checkpointed(left)
-        found = found.unionByName(left.where("done").select("piece", F.size(_tokens(F.col("tokens"))).alias("n")))
-        left = left.where("not done")
-        if left.isEmpty():
-            return found
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    return pieces.mapInArrow(each, f"{kinds}, n int")
+
+
+def _frequent(counts: DataFrame) -> DataFrame:
+    """Those of ``counts`` (piece, times, n) that stand most often, ``SMALL`` at most: from some power of two of times on."""
+    levels = sorted((r["level"], r["count"]) for r in counts.groupBy(F.floor(F.log2("times")).alias("level")).count().collect())  # 64 at most
+    total, least = 0, None
+    for level, n in reversed(levels):
+        total += n
+        if total > SMALL:
+            break
+        least = level
+    return counts.where(F.floor(F.log2("times")) >= least) if least is not None else counts.limit(0)
 
 
 def with_token_counts(docs: DataFrame, vocabulary: Vocabulary | None, text: str = "text", into: str = "n_tokens") -> DataFrame:
     """``docs`` with ``into``: the tokens of the text under ``vocabulary`` (words between white space without one); null and empty texts have none.
 
-    Where distinct pieces are few their counts are broadcast and summed in the tasks that read the texts; a text is never shuffled but to its own row
-    (by digest, for the result). Repeated rows and texts each keep their row.
+    Counts are made once for each distinct text; repeated rows and texts each keep their row. A long text, or a long piece, is one row.
     """
-    from ..functions.text import count_tokens
-
     if vocabulary is None:
         return docs.withColumn(into, F.coalesce(count_tokens(F.col(text)), F.lit(0)).cast("long"))
     digest = F.unhex(F.sha2(F.col(text), 256))
-    said = docs.select(digest.alias("__digest"), F.explode(pieces_of(F.col(text), vocabulary.pattern)).alias("piece"))
-    counts = checkpointed(piece_counts(said.select("piece").distinct(), vocabulary))
-    if counts.count() <= SMALL:
-        summed = said.join(F.broadcast(counts), "piece").groupBy("__digest").agg(F.sum("n").alias("__n"))
-    else:
-        times = said.groupBy("__digest", "piece").agg(F.count(F.lit(1)).alias("times"))  # a hot piece is one row a text
-        summed = times.join(counts, "piece").groupBy("__digest").agg(F.sum(F.col("n") * F.col("times")).alias("__n"))
+    pieces = F.explode(pieces_of(F.col(text), vocabulary.pattern)).alias("piece")
+    counts = checkpointed(piece_counts(docs.select(pieces).groupBy("piece").agg(F.count(F.lit(1)).alias("times")), vocabulary)).select("piece", "times", "n")
+    known = F.broadcast(_frequent(counts).select(F.col("piece").alias("__piece"), "n"))
+    said = docs.select(digest.alias("__digest"), pieces).join(known, F.col("piece") == F.col("__piece"), "left")
+    # One row a text for all frequent pieces, and one for each other piece.
+    sums = checkpointed(said.groupBy("__digest", F.when(F.col("n").isNull(), F.col("piece")).alias("piece")).agg(F.sum("n").alias("__n"), F.count(F.lit(1)).alias("__times")))
+    others = sums.where("piece is not null").join(counts, "piece").select("__digest", (F.col("n") * F.col("__times")).alias("__n"))
     rows = docs.groupBy(digest.alias("__digest")).agg(F.count(F.lit(1)).alias("__rows"))
-    whole = summed.join(rows, "__digest").select(F.col("__digest").alias("__known"), F.expr("__n div __rows").alias(into))  # copies were summed together
+    whole = sums.where("piece is null").select("__digest", "__n").unionByName(others).groupBy("__digest").agg(F.sum("__n").alias("__n")).join(rows, "__digest")
+    whole = whole.select(F.col("__digest").alias("__known"), F.expr("__n div __rows").alias(into))  # copies were summed together
     met = docs.drop(into).withColumn("__digest", digest).join(whole, F.col("__digest") == F.col("__known"), "left")
     return met.withColumn(into, F.coalesce(into, F.lit(0)).cast("long")).drop("__digest", "__known")
