@@ -115,14 +115,15 @@ def with_token_counts(docs: DataFrame, vocabulary: Vocabulary | None, text: str
     if vocabulary is None:
         return docs.withColumn(into, F.coalesce(count_tokens(F.col(text)), F.lit(0)).cast("long"))
     digest = F.unhex(F.sha2(F.col(text), 256))
+    texts = docs.select(digest.alias("__digest"), F.col(text))  # a select of its own: once a text, not once a piece
     pieces = F.explode(pieces_of(F.col(text), vocabulary.pattern)).alias("piece")
     counts = checkpointed(piece_counts(docs.select(pieces).groupBy("piece").agg(F.count(F.lit(1)).alias("times")), vocabulary)).select("piece", "times", "n")
     known = F.broadcast(_frequent(counts).select(F.col("piece").alias("__piece"), "n"))
-    said = docs.select(digest.alias("__digest"), pieces).join(known, F.col("piece") == F.col("__piece"), "left")
+    said = texts.select("__digest", pieces).join(known, F.col("piece") == F.col("__piece"), "left")
     # One row a text for all frequent pieces, and one for each other piece.
     sums = checkpointed(said.groupBy("__digest", F.when(F.col("n").isNull(), F.col("piece")).alias("piece")).agg(F.sum("n").alias("__n"), F.count(F.lit(1)).alias("__times")))
     others = sums.where("piece is not null").join(counts, "piece").select("__digest", (F.col("n") * F.col("__times")).alias("__n"))
-    rows = docs.groupBy(digest.alias("__digest")).agg(F.count(F.lit(1)).alias("__rows"))
+    rows = texts.groupBy("__digest").agg(F.count(F.lit(1)).alias("__rows"))
     whole = sums.where("piece is null").select("__digest", "__n").unionByName(others).groupBy("__digest").agg(F.sum("__n").alias("__n")).join(rows, "__digest")
     whole = whole.select(F.col("__digest").alias("__known"), F.expr("__n div __rows").alias(into))  # copies were summed together
     met = docs.drop(into).withColumn("__digest", digest).join(whole, F.col("__digest") == F.col("__known"), "left")
