@@ -55,6 +55,11 @@ def metric_label(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
 
 
+def score_text(value: Column) -> Column:
+    """A score with four places; ``N/A`` for one that is missing."""
+    return F.when(value.isNull() | F.isnan(value.cast("double")), "N/A").otherwise(F.format_string("%.4f", value.cast("double")))
+
+
 def prompt(context: Column, question: Column, template: str = PROMPT) -> Column:
     """The template with both parts filled in; parts that look like placeholders stay as they are."""
     before, _, rest = template.partition("{context}")

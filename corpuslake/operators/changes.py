@@ -43,7 +43,12 @@ def in_batches(files: DataFrame, size: int = 100) -> DataFrame:
 
     Ranks come from counts by range partition, so no task sorts all files.
     """
-    return _ranked(files.withColumn("__new", (~F.col("is_new")).cast("int")), ["__new", "path"]).withColumn("batch", (F.floor((F.col("rank") - 1) / size) + 1).cast("long")).drop("__new", "rank")
+    return batched(files.withColumn("__new", (~F.col("is_new")).cast("int")), ["__new", "path"], size).drop("__new")
+
+
+def batched(rows: DataFrame, order: list[str], size: int) -> DataFrame:
+    """``rows`` with ``batch``, numbered from 1 in ``order``, ``size`` rows each."""
+    return _ranked(rows, order).withColumn("batch", (F.floor((F.col("rank") - 1) / size) + 1).cast("long")).drop("rank")
 
 
 def reindexed(rows: DataFrame, order: str) -> DataFrame:
