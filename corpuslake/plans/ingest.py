@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.errors import PySparkException
@@ -36,10 +37,12 @@ class Ingestion:
 
     A folder is listed first, without contents. Files whose length or time differ from the ledger's are read, by the tasks that parse
     them, and those whose hash differs as well are taken up. Only files that could be read enter the ledger, in every mode, so a broken file is
-    tried again. A changed file's old rows go even if it has no chunks any more.
+    tried again. A changed file's old rows go even if it has no chunks any more. ``parse`` makes pages from contents, ``split`` chunks from pages, with
+    the signatures of ``pdf_text`` and ``split_documents``.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, storage: str, embedder, model: str = "default", size: int = 1024, overlap: int = 50, batch: int = 100):
+    def __init__(self, spark: SparkSession, folder: str, storage: str, embedder, model: str = "default", size: int = 1024, overlap: int = 50, batch: int = 100, parse: Callable = S.pdf_text, split: Callable = chunking.split_documents):
+        self.parse, self.split = parse, split
         self.spark, self.folder, self.storage, self.embedder = spark, folder, storage.rstrip("/"), embedder
         self.size, self.overlap, self.batch = size, overlap, batch
         self.store = store_of(spark, self.storage, embedder, model)
@@ -115,7 +118,7 @@ class Ingestion:
 
     def _step(self, files: DataFrame, known: DataFrame) -> dict:
         """Takes up ``files`` with their contents; ``known`` has the paths of the ledger (more or fewer don't matter), with a null hash for new ones or none at all."""
-        pages = checkpointed(S.loaded(files))
+        pages = checkpointed(S.loaded(files, self.parse))
         failed = pages.where("error is not null").select("path").distinct().count()
         read = pages.where("error is null").select("path", "md5", "length", "modified", "same").distinct()
         hash_of = "known" if "known" in known.columns else "md5"
@@ -123,7 +126,7 @@ class Ingestion:
         read = checkpointed(read.join(old, F.col("path") == F.col("__path"), "left").withColumn("is_new", F.col("__path").isNull()).drop("__path"))
         good = read.where(~F.col("same"))
         texts = pages.where("error is null and not same").select(F.concat_ws("#", "path", "page_label").alias("page"), "path", "text")
-        chunks = chunking.split_documents(texts, "page", size=self.size, overlap=self.overlap, source="path")
+        chunks = self.split(texts, "page", size=self.size, overlap=self.overlap, source="path")
         rows = chunks.select("source", F.concat_ws("#", "page", F.col("chunk_index").cast("string")).alias("chunk_id"), "text", "n_tokens")
         rows = checkpointed(providers.embedded(rows, self.embedder))
         counts = good.agg(F.count("*").alias("files"), F.count_if("is_new").alias("new_files"), F.count_if(~F.col("is_new")).alias("updated_files")).first().asDict()

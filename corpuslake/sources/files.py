@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -74,11 +74,11 @@ def pdf_text(data: bytes) -> list[str]:
 PAGES = "path string, source string, page_label string, text string, error string, md5 string, length long, modified timestamp, same boolean"
 
 
-def loaded(files: DataFrame) -> DataFrame:
+def loaded(files: DataFrame, parse: Callable[[bytes], list[str]] = pdf_text) -> DataFrame:
     """Text of each file by page: path, source, page_label, text, error; and md5, length, modified of the file.
 
     A file that can't be read, or has no text, gives one row with ``error``. With a column ``known`` (a hash) a file that has this very hash is not
-    parsed and gives one row that is ``same``. Contents are parsed by the tasks that read them.
+    parsed and gives one row that is ``same``. ``parse`` makes the pages of a file's content (any loader with this signature will do). Contents are parsed by the tasks that read them.
     """
     if "known" not in files.columns:
         files = files.withColumn("known", F.lit(None).cast("string"))
@@ -92,7 +92,7 @@ def loaded(files: DataFrame) -> DataFrame:
                     out.append((path, name, None, None, None, *about))
                     continue
                 try:
-                    pages = pdf_text(bytes(data))
+                    pages = parse(bytes(data))
                     if not any(text.strip() for text in pages):
                         raise ValueError("no text found")
                     out += [(path, name, str(i), text, None, *about) for i, text in enumerate(pages, 1)]

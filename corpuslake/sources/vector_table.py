@@ -34,3 +34,7 @@ class VectorTable(LogTable):
 
     def delete_all(self) -> None:
         self.clear()
+
+
+#: The name under which a store of vectors is known where its kind does not matter.
+VectorStore = VectorTable

@@ -109,6 +109,18 @@ def test_files_touched_but_not_changed(spark, tmp_path):
     assert {r["error"] for r in S.load_folder(spark, str(docs)).where("error is not null").collect()} == {"no text found"}
 
 
+def test_loaders_and_splitters_of_ones_own(spark, tmp_path):
+    docs = tmp_path / "in"
+    docs.mkdir()
+    (docs / "a.pdf").write_bytes(b"one|two three")
+
+    def split(texts, key, size, overlap, source):
+        return texts.select(key, F.col(source).alias("source"), F.lit(0).alias("chunk_index"), F.upper("text").alias("text"), F.lit(1).cast("long").alias("n_tokens"))
+
+    job = Ingestion(spark, str(docs), str(tmp_path / "out"), Counting(), parse=lambda data: data.decode().split("|"), split=split)
+    assert job.run()["chunks"] == 2 and {r["text"] for r in job.store.read().collect()} == {"ONE", "TWO THREE"}
+
+
 def test_touched_files_with_nulls_and_repeats(spark):
     t = [datetime(2024, 1, d) for d in (1, 2, 3)]
     files = spark.createDataFrame([("a", 1, t[0]), ("b", 1, t[0]), ("c", 2, t[1]), ("d", 1, t[0]), ("e", None, None)], "path string, length long, modified timestamp")

@@ -9,7 +9,9 @@ import pytest
 import tiktoken
 from conftest import DATA
 
+from corpuslake.functions import text as T
 from corpuslake.operators import token_counts as C
+from corpuslake.plans import retrieve
 from corpuslake.plans.queries import FOUND, vocabulary
 
 WIDE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,3 +69,15 @@ def test_vocabulary_by_model(spark, monkeypatch):
     C.register_vocabulary("", one)
     C.register_vocabulary("gpt-4", other)
     assert C.vocabulary_for("gpt-4-small") is other and C.vocabulary_for("gpt-3") is one
+
+
+def test_prompts_under_a_byte_pair_budget(spark):
+    known = C.Vocabulary(vocabulary("byte_bpe_50k.tiktoken"))
+    own = encoding(known.path)
+    asked = spark.createDataFrame([(1, "Who?"), (2, "Unrelatedness?")], "query_id long, question string")
+    hits = spark.createDataFrame([(1, 1, "antidisestablishmentarianism", 1), (1, 2, "zyx " * 40, 1)], "query_id long, rank int, text string, n_tokens long")
+    shell = len(own.encode_ordinary(T.PROMPT.format(context="", question="Who?")))
+    room = shell + len(own.encode_ordinary("antidisestablishmentarianism"))
+    found = {r["query_id"]: r for r in retrieve.prompts(asked, hits, room, vocabulary=known).collect()}
+    assert (found[1]["context"], found[1]["truncated"], found[1]["context_tokens"]) == ("antidisestablishmentarianism", True, room - shell)
+    assert found[2]["context"] == "" and retrieve.prompts(asked, hits, room - 1, vocabulary=known).where("context <> ''").count() == 0
