@@ -4,10 +4,14 @@
 2. On a sample, k-means finds the centres of the coarse lists (in two levels) and, in each of ``PARTS``
    subspaces, the codewords of the residuals. Lists grow with the root of the number of vectors, the
    sample with the lists. Every vector is coded once and the code is stored.
-3. A vector's code is posted in its ``PROBES`` nearest lists; as a query it goes, whole, to its nearest list
-   only. Lists are dealt out in blocks; a task gets the queries and the codes of one block pair. The
-   product of a query with a coded vector is a sum of table entries (asymmetric). The coding error is
-   known, so a bound tells which codes could still lie within the radius: coding loses nothing.
+3. As a query a vector goes, whole, to its nearest list only. Its code is posted in every list whose border is
+   near enough for a linked query to lie beyond it: a difference of the radius's length moves a vector by
+   about the radius over the root of the dimensions toward any border, and ``REACH`` times that is covered
+   (dimensions as the residuals of the sample fill them), however many lists that are; the ``PROBES``
+   nearest borders are covered up to the whole radius. Lists are dealt out in blocks; a task gets the queries
+   and the codes of one block pair. The product of a query with a coded vector is a sum of table entries
+   (asymmetric). The coding error is known, so a bound tells which codes could still lie within the
+   radius: coding loses nothing.
 4. Only queries and members that such a candidate touches fetch their vectors; exact cosines in double
    precision judge them. A task returns, for each vector, the weight of its links (class sizes), and a
    spanning forest of the links, never the pairs themselves.
@@ -30,10 +34,16 @@ from .common import cut, written
 from .components import connected_components
 
 PARTS, WORDS, PROBES = 16, 256, 8
+#: Standard deviations of a random difference of the radius's length that lists are posted for.
+REACH = 1.5
 #: Vectors of the sample to a list, bytes of the sample (as 32-bit numbers), vectors that codewords are fitted on, iterations of k-means.
 PER_LIST, SAMPLE, FITTED, ROUNDS = 20, 1 << 26, 20_000, 8
 #: Queries and codes of a list in a block.
 QUERIES, MEMBERS = 2_048, 16_384
+#: Queries whose products are held at a time.
+ROWS = 128
+#: Distances to centres that are held at a time, and residuals that the dimensions are taken from.
+HELD, SPREAD = 1 << 22, 2_000
 #: What rounding to 32 bits may change in a product.
 SLACK = 1e-4
 
@@ -59,6 +69,11 @@ def nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def filled(rest: np.ndarray) -> float:
+    """How many dimensions rows fill: the squared sum of the eigenvalues of their products over the sum of their squares (few rows: rather too few)."""
+    return max(1.0, float((rest.astype(np.float64) ** 2).sum()) ** 2 / max(float(((rest.astype(np.float64) @ rest.T.astype(np.float64)) ** 2).sum()), 1e-300))
+
+
 class Quantiser:
     """Lists and codewords for vectors of one length; its lists are numbered from ``first``."""
 
@@ -73,26 +88,45 @@ class Quantiser:
         fitted = sample[:FITTED]
         rest = fitted - self.centres[nearest(fitted, self.centres, 1)[:, 0]]
         self.cuts = np.linspace(0, sample.shape[1], min(PARTS, sample.shape[1]) + 1).astype(int)
+        self.dimensions = filled(rest[:SPREAD])
         self.books = [k_means(rest[:, a:b], min(WORDS, len(rest)), rng) for a, b in zip(self.cuts, self.cuts[1:])]
 
-    def code(self, x: np.ndarray, least: float) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Lists to be posted in (the first is home), codes, and the product with the coded vector that a link needs at least.
+    def posts(self, x: np.ndarray, radius: float) -> list[np.ndarray]:
+        """Lists of each row, its home (the nearest) first.
 
-        A list is left out if its centre is farther than the home's by more than two radii: then no
-        vector within the radius has its home there.
+        A query within the radius has its home in another list only if it lies beyond the border between
+        that list and this home, so a border farther than the radius is never needed.
         """
+        out, norms = [], (self.centres**2).sum(axis=1)
+        reach = min(radius, REACH * radius / self.dimensions**0.5) + SLACK
+        rows, k = max(1, HELD // len(norms)), min(PROBES, len(norms))
+        for at in range(0, len(x), rows):
+            away = norms - 2 * x[at : at + rows] @ self.centres.T
+            home = away.argmin(axis=1)
+            each = np.arange(len(home))
+            apart = norms + norms[home, None] - 2 * self.centres[home] @ self.centres.T
+            border = (away - away[each, home][:, None]) / (2 * np.sqrt(np.maximum(apart, 1e-12)))
+            near = border <= reach
+            first = np.argpartition(border, k - 1, axis=1)[:, :k]
+            near[each[:, None], first] |= np.take_along_axis(border, first, axis=1) <= radius + SLACK
+            near[each, home] = False
+            r, c = np.nonzero(near)
+            others = np.split(c, np.cumsum(np.bincount(r, minlength=len(home)))[:-1])
+            out += [np.concatenate([[h], o]) for h, o in zip(home, others)]
+        return out
+
+    def code(self, x: np.ndarray, least: float) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Lists to be posted in (the first is home), codes, and the product with the coded vector that a link needs at least."""
         radius = (2 - 2 * least) ** 0.5
-        lists = nearest(x, self.centres, PROBES)
-        away = np.sqrt(((x[:, None] - self.centres[lists]) ** 2).sum(axis=2))
-        home = self.centres[lists[:, 0]]
+        lists = self.posts(x, radius)
+        home = self.centres[[own[0] for own in lists]]
         rest = x - home
         codes = np.stack([nearest(rest[:, a:b], book, 1)[:, 0] for a, b, book in zip(self.cuts, self.cuts[1:], self.books)], axis=1).astype(np.uint8)
         coded = home + np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], axis=1)
         error = np.sqrt(((x - coded) ** 2).sum(axis=1))
         # With y = coded + e: q.y <= q.coded + |e|, and |q - coded| <= |q - y| + |e|.
         needed = np.maximum(least - error, (1 + (coded**2).sum(axis=1) - (radius + error) ** 2) / 2)
-        near = away <= away[:, :1] + 2 * radius + SLACK
-        return [(own[ok] + self.first).astype(np.int32) for own, ok in zip(lists, near)], codes, needed - SLACK
+        return [(own + self.first).astype(np.int32) for own in lists], codes, needed - SLACK
 
     def products(self, queries: np.ndarray, home: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Products of coded members (rows) with queries (columns), from tables."""
@@ -106,8 +140,9 @@ class Quantiser:
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1 in double precision; very small and very large components neither vanish nor overflow."""
     x = x.astype(np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return x
 
 
 def stacked(column: pa.ChunkedArray | pa.Array, kind) -> np.ndarray:
@@ -127,8 +162,8 @@ def candidates(key: tuple, table: pa.Table, quantisers: dict[int, Quantiser]) ->
         q, codes = stacked(asking["data"], np.float32), stacked(own["data"], np.uint8)
         needed, home = own["needed"].to_numpy()[:, None], own["home"].to_numpy()
         q_hit, x_hit = np.zeros(len(q), bool), np.zeros(len(codes), bool)
-        for at in range(0, len(q), 256):
-            part = slice(at, at + 256)
+        for at in range(0, len(q), ROWS):
+            part = slice(at, at + ROWS)
             close = (quantiser.products(q[part], home, codes) >= needed) & (nodes[~asks][:, None] != nodes[asks][part])
             x_hit |= close.any(axis=1)
             q_hit[part] = close.any(axis=0)
@@ -138,40 +173,60 @@ def candidates(key: tuple, table: pa.Table, quantisers: dict[int, Quantiser]) ->
     return pa.table([*place, pa.array(nodes[touched]), pa.array(asks[touched])], ["at", "q", "x", "node", "asks"])
 
 
+def joined(group: np.ndarray, close: np.ndarray) -> None:
+    """Gives the columns of each row of ``close`` one number in ``group``, and all that had their numbers before."""
+    for row in close:
+        found = group[row]
+        first = found.min()
+        if (found != first).any():
+            merged = np.zeros(len(group), bool)
+            merged[found] = True
+            group[merged[group]] = first
+
+
+def posted_in(lists: pa.ChunkedArray, homes: np.ndarray) -> np.ndarray:
+    """For each row, which of the sorted ``homes`` are among its lists."""
+    lists = pa.concat_arrays(lists.chunks) if lists.num_chunks != 1 else lists.chunk(0)
+    rows, values = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    at = np.minimum(np.searchsorted(homes, values), len(homes) - 1)
+    found = np.zeros((len(lists), len(homes)), bool)
+    ok = homes[at] == values
+    found[rows[ok], at[ok]] = True
+    return found
+
+
 def links_in(table: pa.Table, kind, least: float) -> pa.Table:
-    """Link weights of vectors, and the smallest node each reaches (a forest edge), between the queries and the members of one block pair."""
+    """Link weights of vectors, and the smallest node each reaches (a forest edge), between the queries and the members of one block pair.
+
+    Links are added up slice by slice, so memory is that of the vectors and of one slice's products.
+    """
     asks = table["asks"].to_numpy(zero_copy_only=False)
     asking, own = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
     qi, xi = asking["node"].to_numpy(), own["node"].to_numpy()
     qn, xn = asking["n"].to_numpy(), own["n"].to_numpy()
     weight_q, weight_x = np.zeros(len(qi), np.int64), np.zeros(len(xi), np.int64)
     label_q, label_x = qi.copy(), xi.copy()
-    rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if len(qi) and len(xi):
         q, x = unit(stacked(asking["vec"], kind)), unit(stacked(own["vec"], kind))
         # A link is seen from both sides if the query is posted in the member's home, too; else it counts for both here.
-        posted = np.full((len(qi), PROBES), -1)
-        for k, v in enumerate(asking["lists"].to_pylist()):
-            posted[k, : len(v)] = v
-        home = np.array([v[0] for v in own["lists"].to_pylist()])
-        for at in range(0, len(qi), 256):
-            close = q[at : at + 256] @ x.T >= least
-            close &= qi[at : at + 256, None] != xi
-            r, c = np.nonzero(close)
-            r += at
-            weight_q += np.bincount(r, xn[c], len(qi)).astype(np.int64)
-            unseen = ~(posted[r] == home[c][:, None]).any(axis=1)
-            weight_x += np.bincount(c[unseen], qn[r[unseen]], len(xi)).astype(np.int64)
-            rows.append(r)
-            columns.append(c)
-    r, c = np.concatenate(rows), np.concatenate(columns)
-    while len(r):  # smallest node reachable inside the block
-        low = np.minimum(label_q[r], label_x[c])
-        before = label_q.sum() + label_x.sum()
-        np.minimum.at(label_q, r, low)
-        np.minimum.at(label_x, c, low)
-        if label_q.sum() + label_x.sum() == before:
-            break
+        homes, home = np.unique([v[0].as_py() for v in own["lists"]], return_inverse=True)
+        group, anchor = np.arange(len(xi)), np.full(len(qi), -1)
+        for at in range(0, len(qi), ROWS):
+            part = slice(at, at + ROWS)
+            close = q[part] @ x.T >= least
+            close &= qi[part, None] != xi
+            weight_q[part] = close @ xn
+            linked = np.flatnonzero(close.any(axis=1))
+            anchor[at + linked] = close[linked].argmax(axis=1)
+            joined(group, close[linked])
+            close &= ~posted_in(asking["lists"].slice(at, ROWS), homes)[:, home]
+            weight_x += qn[part] @ close
+        low = np.full(len(xi), np.iinfo(np.int64).max)
+        np.minimum.at(low, group, xi)
+        has = anchor >= 0
+        np.minimum.at(low, group[anchor[has]], qi[has])
+        label_x = low[group]
+        label_q[has] = low[group[anchor[has]]]
     nodes, labels, weights = np.concatenate([qi, xi]), np.concatenate([label_q, label_x]), np.concatenate([weight_q, weight_x])
     said = (weights > 0) | (labels != nodes)
     return pa.table({"node": pa.array(nodes[said], pa.int64()), "other": pa.array(labels[said], pa.int64()), "weight": pa.array(weights[said], pa.int64())})
