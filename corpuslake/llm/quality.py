@@ -27,33 +27,48 @@ from .labelled import accepted, fold, scored, training_rows
 
 BUCKETS, PAIRS, DIM = 1 << 17, 1 << 15, 16
 SIZES = (2, 3, 4)
-#: Characters from which a word's n-grams are found with arrays, and bytes that are looked at together.
-LONG, SLICE = 60, 1 << 20
+#: Characters from which a word's n-grams are found with arrays, and characters that are looked at together.
+LONG, SLICE = 60, 1 << 18
 _CRC = np.array([zlib.crc32(bytes([i]), 0xFFFFFFFF) ^ 0xFFFFFFFF for i in range(256)], np.uint32)
 
 
-def gram_buckets(marked: bytes, n: int) -> np.ndarray:
-    """Buckets of the distinct n-grams of a long word, as ``zlib.crc32`` gives them."""
-    raw, codes = np.frombuffer(marked, np.uint8), np.zeros(0, np.uint32)
-    for at in range(0, len(raw) - n + 1, SLICE):
-        part = raw[at : at + SLICE + n - 1].astype(np.uint32)
-        code = np.zeros(len(part) - n + 1, np.uint32)
+def _stepped(crc: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """States of crc32 after the UTF-8 bytes of one code point each."""
+    size = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+    mark = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)[size]
+    for behind in reversed(range(int(size.max(initial=1)))):
+        bits = points >> np.uint32(6 * behind)
+        byte = np.where(size == behind + 1, bits | mark, bits & np.uint32(63) | np.uint32(128))
+        crc = np.where(size > behind, _CRC[(crc ^ byte) & np.uint32(255)] ^ crc >> np.uint32(8), crc)
+    return crc
+
+
+def gram_buckets(marked: str, n: int) -> np.ndarray:
+    """Buckets of the distinct n-grams of a long word, as ``zlib.crc32`` of their UTF-8 bytes gives them.
+
+    N-grams are told apart by 64 bits: the bucket and 47 bits of another hash.
+    """
+    found = np.zeros(0, np.uint64)
+    for at in range(0, len(marked) - n + 1, SLICE):
+        points = np.frombuffer(marked[at : at + SLICE + n - 1].encode("utf-32-le"), np.uint32)
+        count = len(points) - n + 1
+        crc, code = np.full(count, 0xFFFFFFFE, np.uint32), np.zeros(count, np.uint64)  # crc32 that starts from 1
         for k in range(n):
-            code = code << np.uint32(8) | part[k : len(code) + k]
-        codes = np.union1d(codes, code)
-    crc = np.full(len(codes), 0xFFFFFFFE, np.uint32)  # crc32 that starts from 1
-    for k in reversed(range(n)):
-        crc = _CRC[(crc ^ codes >> np.uint32(8 * k)) & np.uint32(255)] ^ crc >> np.uint32(8)
-    return ((crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(BUCKETS)).astype(np.int64)
+            crc = _stepped(crc, points[k : k + count])
+            code = mixed(code + points[k : k + count] + np.uint64(1))
+        bucket = (crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(BUCKETS)
+        found = np.union1d(found, code // np.uint64(BUCKETS) * np.uint64(BUCKETS) + bucket)
+    return (found % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def word_buckets(word: str) -> list[int] | np.ndarray:
-    """Buckets of a word and of its distinct character n-grams (with marks at its borders), whatever its length."""
-    marked = f"<{word}>".encode()
+    """Buckets of a word and of its distinct character n-grams (with marks at its borders), whatever its length or letters."""
+    marked = f"<{word}>"
+    whole = zlib.crc32(marked.encode()) % BUCKETS
     if len(word) > LONG:
-        return np.concatenate([[zlib.crc32(marked) % BUCKETS], *(gram_buckets(marked, n) for n in SIZES)])
+        return np.concatenate([[whole], *(gram_buckets(marked, n) for n in SIZES)])
     grams = {marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)}
-    return [zlib.crc32(marked) % BUCKETS, *(zlib.crc32(g, 1) % BUCKETS for g in grams)]
+    return [whole, *(zlib.crc32(g.encode(), 1) % BUCKETS for g in grams)]
 
 
 def pair_buckets(hashes: np.ndarray) -> np.ndarray:
@@ -130,7 +145,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", h
 
     Rows whose crc32(id) modulo ``held_out[0]`` is ``held_out[1]`` are never trained on. At most
     ``per_class`` labelled documents a class are. Null and empty texts score by the bias alone; without
-    labels every text does. Null ids are never held out. Only the two columns of ``docs`` are read.
+    labels every text does. Null ids are never held out. Very long texts are read whole, repeated rows are
+    scored each, an empty table gives an empty table. Only the two columns of ``docs`` are read, so
+    others may have any names.
     """
     parts, odd = held_out
     texts, y, odds = training_rows(docs, labels, label, lambda c: fold(c, parts) != odd, per_class, id_col, text_col)
@@ -140,7 +157,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", h
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: tuple[int, int] = (5, 0), threshold: float = 0.3, per_class: int = 1000, id_col: str = "doc_id", text_col: str = "text", cache: int = 400_000) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``quality_scores`` predicts as 1; a worker keeps ``cache`` words."""
+    """The rows of ``docs``, with all their columns, that ``quality_scores`` predicts as 1; a worker keeps ``cache`` words.
+
+    Each row is judged by its own text, read whole: repeated rows stay or go together, null and empty texts
+    by the bias alone. An empty table gives an empty table; other columns pass through, whatever their names.
+    """
     parts, odd = held_out
     texts, y, odds = training_rows(docs, labels, label, lambda c: fold(c, parts) != odd, per_class, id_col, text_col)
     shares, bias = train(texts, y)

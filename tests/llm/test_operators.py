@@ -7,10 +7,12 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -396,6 +398,86 @@ def test_embeddings_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, embedding_dedup.embedding_duplicates(df).collect())) == whole and sum(r[1] for r in whole) > 0
 
 
+def test_links_of_small_groups_by_size(spark):
+    """Groups of 2 to 5 vectors whose cosines are 0.90 to 0.92, among unstructured ones: recall for each size of group."""
+    rng = np.random.default_rng(12)
+    rows, groups = [], []
+    for size in (2, 3, 4, 5):
+        for _ in range(120):
+            base = embedding_dedup.unit(rng.normal(size=(1, 64)))[0]
+            groups.append((size, list(range(len(rows), len(rows) + size))))
+            for c in [1.0] + [float(rng.uniform(0.90, 0.92)) for _ in range(size - 1)]:
+                away = rng.normal(size=64)
+                away -= (away @ base) * base
+                rows.append(c * base + (1 - c * c) ** 0.5 * away / np.linalg.norm(away))
+    x = np.concatenate([rows, rng.normal(size=(10_000, 64))])
+    found = by_id(embedding_dedup.embedding_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(6)), "vec_id")
+    y = embedding_dedup.unit(x)
+    for size in (2, 3, 4, 5):
+        own = [g for n, g in groups if n == size]
+        right = sum(int((y[g] @ y[g].T >= 0.9).sum()) - size for g in own)
+        recall = sum(found[i]["n_links"] for g in own for i in g) / right
+        print(f"groups of {size}: recall {recall:.4f} of {right // 2}")
+        assert 0.98 <= recall <= 1
+
+
+@pytest.mark.parametrize("n", [10_000, 100_000])
+def test_linked_vectors_meet_in_a_list(n):
+    """Pairs at the threshold meet in a list of either, however many lists the size of the table makes."""
+    rng = np.random.default_rng(2)
+    own = embedding_dedup.Quantiser(embedding_dedup.unit(rng.normal(size=(int(20 * n**0.5), 64))), n)
+    a = embedding_dedup.unit(rng.normal(size=(3000, 64)))
+    away = rng.normal(size=a.shape)
+    away -= (away * a).sum(axis=1, keepdims=True) * a
+    b = 0.905 * a + (1 - 0.905**2) ** 0.5 * embedding_dedup.unit(away)
+    radius = 0.2**0.5
+    met = np.mean([x[0] in y or y[0] in x for x, y in zip(own.posts(a, radius), own.posts(b, radius))])
+    assert met >= 0.995
+
+
+def links_table(rng, x, asks, lists):
+    n = len(x)
+    return pa.table({"node": pa.array(np.arange(n)), "asks": pa.array(asks), "n": pa.array(rng.integers(1, 4, n)), "vec": pa.array([v.tobytes() for v in x]), "lists": pa.array(lists, pa.list_(pa.int32()))})
+
+
+def test_links_of_a_block_against_plain_code(monkeypatch):
+    """Weights and smallest nodes of a block pair against loops over its pairs."""
+    monkeypatch.setattr(embedding_dedup, "ROWS", 16)
+    rng = np.random.default_rng(5)
+    x = planted(rng, 40, 5, 16)
+    x = x[rng.permutation(len(x))]
+    asks = rng.random(len(x)) < 0.5
+    lists = [[0, *range(1, int(rng.integers(1, 4)))] if a else [int(rng.integers(0, 4)), 0] for a in asks]
+    t = links_table(rng, x, asks, lists)
+    size, y = t["n"].to_pylist(), embedding_dedup.unit(x)
+    weight, label, pairs = defaultdict(int), list(range(len(x))), []
+    for q in np.flatnonzero(asks).tolist():
+        for m in np.flatnonzero(~asks).tolist():
+            if y[q] @ y[m] >= 0.9:
+                pairs.append((q, m))
+                weight[q] += size[m]
+                if lists[m][0] not in lists[q]:
+                    weight[m] += size[q]
+    for _ in range(len(x)):
+        for q, m in pairs:
+            label[q] = label[m] = min(label[q], label[m])
+    expected = {(i, label[i], weight[i]) for i in range(len(x)) if weight[i] or label[i] != i}
+    assert pairs and {(r["node"], r["other"], r["weight"]) for r in embedding_dedup.links_in(t, np.float64, 0.9).to_pylist()} == expected
+
+
+def test_links_of_a_dense_block_keep_no_pairs():
+    """Every query of a full block is linked with every member: 33 million links in bounded memory."""
+    rng = np.random.default_rng(6)
+    n = embedding_dedup.QUERIES + embedding_dedup.MEMBERS
+    x = (rng.normal(size=64) + 0.01 * rng.normal(size=(n, 64))).astype(np.float32)
+    t = links_table(rng, x, np.arange(n) < embedding_dedup.QUERIES, [[0]] * n)
+    tracemalloc.start()
+    found = embedding_dedup.links_in(t, np.float32, 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and found.num_rows == n and set(found["other"].to_pylist()) == {0}
+
+
 def test_product_bounds_lose_nothing():
     """No pair within the radius is below the bound that its code gives."""
     rng = np.random.default_rng(8)
@@ -431,15 +513,28 @@ def test_embeddings_of_every_length_are_searched(spark):
     assert own == sorted(expected)
 
 
+def plain_buckets(word):
+    marked = f"<{word}>"
+    grams = {marked[i : i + k] for k in (2, 3, 4) for i in range(len(marked) - k + 1)}
+    return sorted([zlib.crc32(marked.encode()) % quality.BUCKETS, *(zlib.crc32(g.encode(), 1) % quality.BUCKETS for g in grams)])
+
+
+def test_quality_takes_ngrams_of_characters(monkeypatch):
+    """Letters of two, three and four bytes count as one each, in short and long words and across slices."""
+    assert len(quality.word_buckets("天地人山")) == 13 and len(quality.word_buckets("мост")) == 13
+    for word in ("天地人山", "мост", "plain", "ab\U0001f600中é", "x"):
+        assert sorted(quality.word_buckets(word)) == plain_buckets(word)
+    monkeypatch.setattr(quality, "SLICE", 7)
+    for word in ("天地人山" * 20, "мостовая" * 9, "a\U0001f600" * 40):
+        assert sorted(quality.word_buckets(word)) == plain_buckets(word)
+
+
 def test_quality_reads_the_whole_of_a_long_word():
-    """Words of 61 and more characters: every n-gram counts, and what tells the classes apart may stand behind the 60th character."""
+    """Words of 61 and more characters: every n-gram of characters counts, and what tells the classes apart may stand behind the 60th character."""
     rng = random.Random(6)
     for n in (60, 61, 500, 3000):
-        word = "".join(rng.choice("abcxyz09+/é中") for _ in range(n))
-        marked = f"<{word}>".encode()
-        grams = {marked[i : i + k] for k in (2, 3, 4) for i in range(len(marked) - k + 1)}
-        plain = [zlib.crc32(marked) % quality.BUCKETS, *(zlib.crc32(g, 1) % quality.BUCKETS for g in grams)]
-        assert sorted(quality.word_buckets(word)) == sorted(plain)
+        word = "".join(rng.choice("abcxyz09+/é中\U0001f600") for _ in range(n))
+        assert sorted(quality.word_buckets(word)) == plain_buckets(word)
     texts = ["好" * 80 + "".join(rng.choice("天地人山水" if i % 2 else "买卖钱赌彩") for _ in range(200)) for i in range(80)]
     y = np.arange(80) % 2
     shares, bias = quality.train(texts[:60], y[:60])
@@ -480,6 +575,43 @@ def test_toxicity_score_sums_all_pairs():
         assert abs(z - plain) < 1e-9
 
 
+def test_toxicity_learns_pairs_whose_terms_say_nothing_alone():
+    """Toxic is exactly one of two words: neither depends on the label by itself."""
+    rng = random.Random(1)
+
+    def rows(n):
+        both = [(rng.random() < 0.5, rng.random() < 0.5) for _ in range(n)]
+        texts = [" ".join(rng.sample([f"w{k}" for k in range(300)], 30) + ["alpha"] * a + ["omega"] * b) for a, b in both]
+        return texts, np.array([int(a != b) for a, b in both])
+
+    texts, y = rows(600)
+    model = toxicity.train(texts, y)
+    new, right = rows(400)
+    odds = np.array(list(toxicity.log_odds(model, new)))
+    assert ((odds > 0) == right).mean() > 0.95
+    single, _, _, _ = toxicity.train(texts, y, gain=float("inf"))
+    assert (single >= 0).sum() < (model[0] >= 0).sum()
+
+
+def test_toxicity_pairs_in_blocks(monkeypatch):
+    """The search for pairs gives the same for any size of block, and what a loop over pairs gives."""
+    rng = np.random.default_rng(3)
+    docs = [set(np.flatnonzero(rng.random(40) < 0.3).tolist()) for _ in range(200)]
+    rest = np.array([1.0 if (1 in d) == (7 in d) else -1.0 for d in docs]) + 0.1 * rng.normal(size=200)
+    x = np.array([[b in d for b in range(40)] for d in docs], float)
+    x -= x.mean(axis=0)
+    plain = set()
+    for i in range(40):
+        for j in range(i, 40):
+            both = rest * x[:, i] * x[:, j]
+            if both.sum() ** 2 >= 45 * (both**2).sum():
+                plain |= {i, j}
+    assert {1, 7} <= plain
+    for size in (3, 16, 1024):
+        monkeypatch.setattr(toxicity, "PART", size)
+        assert toxicity.paired(docs, rest, list(range(40)), 45.0) == plain
+
+
 @pytest.mark.parametrize("score, label, parts, odd_part, least", [(toxicity.toxicity_scores, "toxic", 3, 1, 0.9), (quality.quality_scores, "quality", 5, 0, 0.85)])
 def test_classifiers_on_held_out_rows(spark, docs, odd, empty, score, label, parts, odd_part, least):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
