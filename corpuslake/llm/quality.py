@@ -64,11 +64,15 @@ def gram_buckets(marked: str, n: int) -> np.ndarray:
 def word_buckets(word: str) -> list[int] | np.ndarray:
     """Buckets of a word and of its distinct character n-grams (with marks at its borders), whatever its length or letters."""
     marked = f"<{word}>"
-    whole = zlib.crc32(marked.encode()) % BUCKETS
+    raw = marked.encode()
+    whole = zlib.crc32(raw) % BUCKETS
     if len(word) > LONG:
         return np.concatenate([[whole], *(gram_buckets(marked, n) for n in SIZES)])
-    grams = {marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)}
-    return [whole, *(zlib.crc32(g.encode(), 1) % BUCKETS for g in grams)]
+    if len(raw) == len(marked):  # characters are bytes
+        grams = {raw[i : i + n] for n in SIZES for i in range(len(raw) - n + 1)}
+    else:
+        grams = [g.encode() for g in {marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)}]
+    return [whole, *(zlib.crc32(g, 1) % BUCKETS for g in grams)]
 
 
 def pair_buckets(hashes: np.ndarray) -> np.ndarray:
