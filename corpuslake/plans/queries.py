@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import changes, chunking, context, embedding, metrics, token_counts, vectors
+from ..operators import changes, chunking, context, embedding, metrics, pivots, token_counts, vectors
 from ..session import shared_folder
 from ..sources.log_table import LogTable
 from ..streaming import debounce
@@ -59,6 +59,14 @@ def q_knn_l2(spark, d):
     return _knn(e, e.where(ASKED), 4)
 
 
+@query(_knn_sql(ASKED, 4))
+def q_knn_pruned(spark, d):
+    """The same rows by rings around pivots, of which those too far away are skipped."""
+    e = read(spark, d, "embeddings")
+    found = pivots.PivotIndex(e).search(e.where(ASKED).select(F.col("vec_id").alias("query_id"), "embedding"), 4)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 @query(_knn_sql(ASKED, 1))
 def q_knn_single(spark, d):
     e = read(spark, d, "embeddings")
