@@ -176,7 +176,7 @@ def write_tokens(docs: DataFrame, vocab: str, folder: str, end_id: int = 2, id_c
                 store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                 stream = store.open_output_stream(inner)
                 writer = FileWriter(stream)
-            for doc, coded in zip(doc_ids.to_pylist(), tokens.encode_all(texts)):
+            for doc, coded in zip(doc_ids.to_pylist(), tokens.encode_all(texts, 2_000_000)):
                 writer.add(doc, coded + end)
         if writer is not None:
             writer.close()

@@ -74,6 +74,31 @@ def test_library_tokens_of_letters_that_compose():
         assert np.frombuffer(coded, "<u4").tolist() == library(WORD, text), ascii(text)
 
 
+def test_library_tokens_leave_plain_words_to_the_model():
+    """Words of Latin letters don't go to the library one by one, whatever stands around them; ids stay the library's."""
+    from corpuslake.llm.library_tokens import LibraryTokens
+
+    rng, own, sent = random.Random(3), LibraryTokens(WORD, 500), []
+    library_itself = own.library
+
+    class Told:
+        def encode_batch_fast(self, words, **more):
+            sent.extend(words)
+            return library_itself.encode_batch_fast(words, **more)
+
+        def encode(self, text, **more):
+            return library_itself.encode(text, **more)
+
+    own.library = Told()
+    plain = ["", " ", "A plain text, of words.  Été, (garçon) Straße ÿ\n", "don't x's", *("".join(rng.choice("abéÀß .,(\n") for _ in range(200)) for _ in range(200))]
+    odd = ["".join(rng.choice("astlAST''..,<|>\x7f\x00 \t\n\x0b\x0c\x1c\x1f\x85\xa0\u2028\u30001½éÀ×ẞ\u0338\u0301\u0345Σς中🙂") for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    for texts in (plain, odd):
+        for text, coded in zip(texts, own.encode_all(texts, 3000), strict=True):
+            assert np.frombuffer(coded, "<u4").tolist() == library(WORD, text), ascii(text)
+        if texts is plain:
+            assert not [w for w in sent if w.isalpha()]
+
+
 def test_training_rows_are_one_a_document_and_bounded(spark):
     from corpuslake.llm import labelled
 
