@@ -30,7 +30,8 @@ class Debounce(StatefulProcessor):
 
     Paths are a map in the state store, read key by key, so a key with very many pending files is no larger in memory than its
     timer. Times are microseconds. With event time the timer follows the watermark and an event beyond the gap
-    closes what is open; without, it follows the clock and first and last are when events were seen.
+    closes what is open; without, it follows the clock and first and last are when events were seen. There only the timer closes: an event
+    is seen when its micro-batch starts, so a slow micro-batch before it looks like a gap that the events themselves don't have.
     """
 
     def __init__(self, gap: int, event_time: bool):
@@ -55,7 +56,7 @@ class Debounce(StatefulProcessor):
         timer = state[4] if state else None
         for ts, path in came:
             at = ts if now is not None else int(ts.value // 1000)
-            if state and at - state[1] > self.gap * 1000:
+            if self.event_time and state and at - state[1] > self.gap * 1000:
                 self.open.update((*state[:4], timer))
                 yield self._fired(key)
                 state = None

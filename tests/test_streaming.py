@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import os
 import time
+from types import SimpleNamespace
 
+import pandas as pd
 from conftest import DATA
 from pyspark.sql import functions as F
 
@@ -92,6 +94,41 @@ def test_closed_sessions_equal_the_batch(spark, tmp_path):
     assert len(wanted) > 100 and found == wanted
 
 
+class Kept:
+    """State and timers of one key, kept in memory."""
+
+    def __init__(self):
+        self.value, self.paths, self.timers = None, set(), set()
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+        self.exists, self.get = lambda: self.value is not None, lambda: self.value
+        self.containsKey, self.updateValue = self.paths.__contains__, lambda key, _: self.paths.add(key)
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+        self.paths.clear()
+
+
+def test_a_slow_micro_batch_is_no_quiet():
+    """By the clock events are seen when their micro-batch starts; one that comes late starts the timer anew, as it hasn't run out yet."""
+    kept, one = Kept(), debounce.Debounce(3000, event_time=False)
+    one.init(kept)
+    seen = lambda at, *paths: list(one.handleInputRows(("in",), iter([pd.DataFrame({"key": "in", "path": list(paths)})]), SimpleNamespace(getCurrentProcessingTimeInMs=lambda: at)))
+    ran_out = lambda at: list(one.handleExpiredTimer(("in",), None, SimpleNamespace(getExpiryTimeInMs=lambda: at)))
+    assert seen(1300, "a") == [] and kept.timers == {4301}
+    assert seen(5000, "b", "c") == [] and kept.timers == {8001}  # the micro-batch of "a" took longer than the gap
+    assert ran_out(4301) == []
+    (fired,) = ran_out(8001)
+    assert fired[["n_events", "n_pending"]].values.tolist() == [[3, 3]] and not kept.exists()
+
+
 def test_ingestion_waits_for_quiet(spark, tmp_path):
     docs = tmp_path / "in"
     docs.mkdir()
