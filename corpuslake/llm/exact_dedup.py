@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, few, shared_dir, text_of, without, written
+from .common import cut, few, no_rows, shared_dir, text_of, without, written
 
 #: Many partitions hold little state each, so their logs take no disk in advance; an executor's stores share a bounded cache.
 STATE = {
@@ -51,7 +51,7 @@ def journalled(spark: SparkSession, journal: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema + ", run int").parquet(journal)
     except AnalysisException:  # no such folder
-        return spark.createDataFrame([], schema + ", run int")
+        return no_rows(spark, schema + ", run int")
 
 
 def absorb(spark: SparkSession, state: str) -> DataFrame:
@@ -61,7 +61,7 @@ def absorb(spark: SparkSession, state: str) -> DataFrame:
     again overwrites itself.
     """
     kind = f"digest string, first {FIRST}, n long"
-    spark.createDataFrame([], kind).write.mode("overwrite").parquet(f"{state}/groups/batch=-1")
+    no_rows(spark, kind).write.mode("overwrite").parquet(f"{state}/groups/batch=-1")
     before = {name: spark.conf.get(name, None) for name in STATE}
     for name, value in STATE.items():
         spark.conf.set(name, value)

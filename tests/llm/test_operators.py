@@ -225,6 +225,13 @@ def test_exact_dedup_edges(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == sum(r["kept"] for r in found)
 
 
+def test_exact_dedup_starts_no_python(spark, monkeypatch):
+    """Python workers of another kind than those that run functions would take memory of every executor beside them."""
+    docs = spark.sql("select id as doc_id, concat('text ', id % 3) as text from range(9)")
+    monkeypatch.setattr(spark.sparkContext, "pythonExec", "/no/python/here")
+    assert sorted(r["doc_id"] for r in exact_dedup.without_exact_duplicates(docs).collect()) == [0, 1, 2]
+
+
 def groups_by_hand(rows):
     """(keep_id, size, number of the row that stays) of each of ``rows`` (run, id, text)."""
     groups = defaultdict(list)
@@ -789,3 +796,19 @@ def test_pipeline_stages_against_plain_code(spark, empty):
 
     for name, stage in list(stages.items())[1:]:
         assert stage(spark, empty.withColumn("n_chars", F.lit(0)), DATA).count() == 0, name
+
+
+def test_pipeline_reads_texts_in_small_batches(spark):
+    """Executors hold few megabytes of texts at a time, whatever 10,000 of them take; a longer text stays whole. Near duplicates are the same for any size."""
+    stages = dict(pytest.importorskip("corpus_pipeline").STAGES)
+    docs = spark.range(0, 800, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('text', id, ' '), if(id = 7, 1000000, 4000))").alias("text"))
+    stages["packing"](spark, docs, DATA)
+    sizes = [r["n"] for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()]
+    assert sum(s > 5_000_000 for s in sizes) == 1 and len(sizes) > 5 and max(sizes) > 6_000_000
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    found = []
+    for most in ("64m", "20k"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+        found.append(sorted(minhash.near_duplicates(table).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert found[0] == found[1] and any(not r["kept"] for r in found[0])
